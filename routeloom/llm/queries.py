@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from routeloom.llm._common import read
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm.decontaminate import find_contamination
+
+    found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm.substring_dedup import remove_repeats
 
@@ -16,7 +31,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op6_substring_dedup": op6_substring_dedup}
+    return {"op2_decontaminate": op2_decontaminate, "op6_substring_dedup": op6_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
