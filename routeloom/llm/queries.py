@@ -23,6 +23,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm.packing import pack
+
+    out = pack(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm.substring_dedup import remove_repeats
 
@@ -30,8 +37,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from routeloom.llm._common import scratch_root
+    from routeloom.llm.token_files import read_tokens, write_tokens
+
+    path = f"{scratch_root(spark)}/token-files-{uuid.uuid4().hex[:12]}"
+    write_tokens(read(spark, sf_dir, "documents"), path)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
-    return {"op2_decontaminate": op2_decontaminate, "op6_substring_dedup": op6_substring_dedup}
+    return {"op2_decontaminate": op2_decontaminate, "op4_pack": op4_pack, "op6_substring_dedup": op6_substring_dedup, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
