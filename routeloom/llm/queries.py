@@ -30,6 +30,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm.quality_rules import assess
+
+    return assess(read(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm.substring_dedup import remove_repeats
 
@@ -37,6 +43,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -49,7 +61,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": op2_decontaminate, "op4_pack": op4_pack, "op6_substring_dedup": op6_substring_dedup, "op8_token_files": op8_token_files}
+    return {"op2_decontaminate": op2_decontaminate, "op4_pack": op4_pack, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op8_token_files": op8_token_files, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
