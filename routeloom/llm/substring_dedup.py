@@ -121,8 +121,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 10) -> DataFrame:
     texts = rows.select("rid", "text")
     grams = texts.mapInArrow(_emit_paths(window, k, True), "m long").groupBy("m").count().filter("count > 1").select("m")
     found = materialise(texts.mapInArrow(_emit_paths(window, k, False), PATHS).join(grams, "m"), "paths")
-    branching = found.groupBy("m").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("m")
-    several = found.join(branching, "m").groupBy("m", "c").agg(F.min(F.struct("rid", "s", "n")).alias("at"), F.count("*").alias("weight"))
+    contents = found.groupBy("m", "c").agg(F.min(F.struct("rid", "s", "n")).alias("at"), F.count("*").alias("weight"))
+    contents = materialise(contents, "contents")
+    branching = contents.groupBy("m").count().filter("count > 1").select("m")
+    several = contents.join(branching, "m")
     wanted = several.select("at.rid", F.struct("at.s", "at.n", "m", "c", "weight").alias("p")).groupBy("rid").agg(F.collect_list("p").alias("paths"))
     edges = materialise(texts.join(wanted, "rid").select("text", "paths").mapInArrow(_emit_edges(window), EDGES), "edges")
     twice = edges.groupBy("m", "e").agg(F.sum("weight").alias("x")).filter("x > 1").select("m", "e")
