@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from routeloom.llm._common import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm.pii import KINDS, find_personal_data, summarise
+
+    out = summarise(*find_personal_data(read(spark, sf_dir, "documents")))
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm.decontaminate import find_contamination
 
@@ -61,7 +68,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": op2_decontaminate, "op4_pack": op4_pack, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op8_token_files": op8_token_files, "op10_near_dedup": op10_near_dedup}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op4_pack": op4_pack, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op8_token_files": op8_token_files, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
