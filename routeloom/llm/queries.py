@@ -30,6 +30,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm.token_counts import count_tokens
+
+    return count_tokens(read(spark, sf_dir, "documents"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm.packing import pack
 
@@ -56,6 +62,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm.quality_model import score, train
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -68,7 +81,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op4_pack": op4_pack, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op8_token_files": op8_token_files, "op10_near_dedup": op10_near_dedup}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op3_token_counts": op3_token_counts, "op4_pack": op4_pack, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op7_quality": op7_quality, "op8_token_files": op8_token_files, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
