@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
-#: What materialise() has written and release() hasn't deleted, oldest first.
+#: What materialise() has written, oldest first.
 _written: list[str] = []
 
 
@@ -44,13 +44,16 @@ def written_so_far() -> int:
     return len(_written)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes what was materialised after the given count; for callers that have written their result elsewhere."""
+def written_since(n: int) -> list[str]:
+    return _written[n:]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes materialised tables; for callers that have written what rests on them elsewhere."""
     jvm = spark.sparkContext._jvm
-    for path in _written[since:]:
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    del _written[since:]
 
 
 def with_row_id(df: DataFrame, keep: list[str]) -> DataFrame:

@@ -95,14 +95,14 @@ def learn(seen: DataFrame, turns: int, least_seeds: int, least_score: float) ->
     return best.select("context", "top.kind")
 
 
-def find_personal_data(docs: DataFrame, turns: int = 3, least_seeds: int = 5, least_score: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows (rid, doc_id, text) of docs, and spans (rid, kind, start, end, base), in code points, end exclusive.
+def find_personal_data(docs: DataFrame, turns: int = 3, least_seeds: int = 5, least_score: float = 0.8, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): rows (rid, doc_id, extra columns, text) of docs, and spans (rid, kind, start, end, base), in code points, end exclusive.
 
     base tells the spans that have a form from those that a context gave away. Null and empty
     texts have none. Rows with equal doc_id stay apart, by rid; a span that overlaps one with
     a form is not added, and equal spans of one kind count once.
     """
-    rows = with_row_id(docs, ["text"])
+    rows = with_row_id(docs, [*extra, "text"])
     found = materialise(find_forms(rows.select("rid", "text")).filter("valid").drop("valid"), "forms")
     base = found.filter("kind <> 'other'")
     taken = base.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("taken"))

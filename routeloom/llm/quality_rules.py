@@ -81,14 +81,14 @@ def _measure(batches):
 
 
 def assess(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs: int = 50, max_share: float = 0.05, min_left: float = 0.1) -> DataFrame:
-    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept) for each row of docs.
+    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, left_words, text_hash) for each row of docs.
 
     A document fails the base rules with fewer than min_words words, or with over max_repeat
     per cent of its words in 5-word windows that occur twice in it. Beyond these, a line is
     boilerplate on its host (column source; null is a host too) if more than max_docs distinct
     texts and more than max_share of the host's distinct texts hold it; a document with less
     than min_left of its letter and digit words outside boilerplate (left_words) is rejected.
-    Null texts count as empty; empty ones fail. Rows with equal doc_id stay apart.
+    text_hash is xxhash64 of the text, 0 for null. Null texts count as empty; empty ones fail. Rows with equal doc_id stay apart.
     """
     doc = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
@@ -104,4 +104,4 @@ def assess(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs:
     left = F.col("plain") - F.coalesce("lost", F.lit(0))
     # lost holds only texts with boilerplate; documents keep their rows whatever it says
     out = rows.drop("lines", "line_words").join(lost, ["host", "text_hash"], "left")
-    return out.select("doc_id", *MEASURES, failed.alias("base_failed"), left.alias("left_words"), (~failed & (left >= F.col("plain") * F.lit(min_left))).alias("kept"))
+    return out.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & (left >= F.col("plain") * F.lit(min_left))).alias("kept"), left.alias("left_words"), "text_hash")

@@ -80,8 +80,33 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm.toxicity import score, train
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op3_token_counts": op3_token_counts, "op4_pack": op4_pack, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op7_quality": op7_quality, "op8_token_files": op8_token_files, "op10_near_dedup": op10_near_dedup}
+    return {
+        "op1_pii": op1_pii,
+        "op2_decontaminate": op2_decontaminate,
+        "op3_token_counts": op3_token_counts,
+        "op4_pack": op4_pack,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op7_quality": op7_quality,
+        "op8_token_files": op8_token_files,
+        "op9_toxicity": op9_toxicity,
+        "op10_near_dedup": op10_near_dedup,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
