@@ -1,12 +1,14 @@
 """Whole-text token ids from a public tokenizer whose pre-tokens never hold white space.
 
 Such a tokenizer (word_bpe_49k) gives a text the ids of its space-separated stretches, one
-after another, so each worker encodes a stretch once and remembers its ids. The memory is
-emptied when it holds `limit` stretches; results don't depend on it.
+after another, so each worker encodes a stretch once and remembers its ids. The memory
+holds up to `limit` new stretches and as many older ones; results don't depend on it.
 """
 
 from __future__ import annotations
 
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,29 +19,37 @@ _TRAIL = ".,;:!?%&$#*|"
 class Encoder(dict):
     """Maps a stretch to its ids as little-endian uint16 bytes; encode() takes whole texts."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.old: dict[str, bytes] = {}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        ids = array("H", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, stretch: str) -> bytes:
-        base = stretch.rstrip(_TRAIL)
-        if base and base.isalpha() and len(stretch) <= 64:
+        ids = self.old.get(stretch)
+        if ids is None:
+            base = stretch.rstrip(_TRAIL)
             # letters and the signs after them are separate pre-tokens; in ASCII, case is folded by the tokenizer
             lower = base.lower() if base.isascii() else base
-            if lower != stretch:
+            if lower != stretch and base.isalpha() and len(stretch) <= 64:
+                seen = lower in self or lower in self.old
                 ids = self[lower] + (self[stretch[len(base) :]] if len(base) < len(stretch) else b"")
+                if not seen:
+                    return ids
             else:
-                ids = self._ids(stretch)
-        else:
-            ids = self._ids(stretch) if stretch else b""
+                ids = self._ids(stretch) if stretch else b""
         if len(stretch) <= 64:
             if len(self) >= self.limit:
+                self.old = {}
+                self.old = self.copy()
                 self.clear()
             self[stretch] = ids
         return ids

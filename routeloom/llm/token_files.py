@@ -57,7 +57,7 @@ class Coder:
         self.c = np.concatenate([[0], np.cumsum(self.f)[:-1]]).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(self.f), dtype=np.uint32), self.f.astype(np.int64))
 
-    def encode(self, ids: np.ndarray, lanes: int = 1024, every: int = 64) -> bytes:
+    def encode(self, ids: np.ndarray, lanes: int = 4096, every: int = 128) -> bytes:
         n = len(ids)
         lanes = max(1, min(lanes, n))
         rows = -(-n // lanes)
@@ -116,30 +116,29 @@ class Coder:
         return ids
 
 
+_TOKENS = ["doc_id", "part", "start", "n", "ids", "counts"]
+
+
 def _tokenise(path: str, end_id: int):
+    """A row for each document, and a last one with the partition's counts of every id."""
+
     def run(batches):
         encode, part, start = encoder(path).encode, TaskContext.get().partitionId(), 0
+        counts = np.zeros(1 << 16, np.int64)
         for b in batches:
             ids = [np.append(encode(t), np.uint16(end_id)).astype("<u2") for t in b.column("text").to_pylist()]
             n = np.array([len(x) for x in ids], np.int64)
+            for k in range(0, len(ids), 64):
+                counts += np.bincount(np.concatenate(ids[k : k + 64]), minlength=1 << 16)
             ends = start + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(ends - n), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "part", "start", "n", "ids"])
-            start = int(ends[-1]) if len(n) else start
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(ends - n), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(n), pa.list_(pa.int64()))], _TOKENS)
+            start, kind = int(ends[-1]) if len(n) else start, b.column("doc_id").type
+        if start:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([part]), pa.array([0]), pa.array([start]), pa.nulls(1, pa.binary()), pa.array([counts], pa.list_(pa.int64()))], _TOKENS)
 
     return run
 
 
-def _count(batches):
-    total = np.zeros(1 << 16, np.int64)
-    for b in batches:
-        for x in b.column("ids").to_pylist():
-            total += np.bincount(np.frombuffer(x, "<u2"), minlength=1 << 16) if len(x) > 1 << 14 else 0
-        short = b"".join(x for x in b.column("ids").to_pylist() if len(x) <= 1 << 14)
-        total += np.bincount(np.frombuffer(short, "<u2"), minlength=1 << 16)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], ["id", "n"])
-
-
 def _encode(box, doc_type: pa.DataType, block_tokens: int):
     def block(coder, start, docs, ids):
         lengths = [len(x) // 2 for x in ids]
@@ -167,7 +166,7 @@ def _encode(box, doc_type: pa.DataType, block_tokens: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, block_tokens: int = 1 << 18) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, block_tokens: int = 1 << 20) -> None:
     """Writes the ids of every text (null counts as empty), each followed by end_id, to path.
 
     Documents are in ascending order of doc_id, null first, equal ones in the order of their
@@ -178,14 +177,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # blocks and starts rest on the order within partitions: both keys decide it, so a task run again gives the same
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    tokens = materialise(ordered.mapInArrow(_tokenise(tokenizer_path(tokenizer), end_id), f"doc_id {doc}, part long, start long, n long, ids binary"), "tokens")
+    tokens = materialise(ordered.mapInArrow(_tokenise(tokenizer_path(tokenizer), end_id), f"doc_id {doc}, part long, start long, n long, ids binary, counts array<long>"), "tokens")
+    sums = tokens.filter("counts IS NOT NULL")
     counts = np.zeros(1 << 16, np.int64)
-    for i, n in tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # at most 2**16 rows
+    for i, n in sums.select(F.posexplode("counts").alias("id", "n")).filter("n > 0").groupBy("id").agg(F.sum("n")).collect():  # at most 2**16 rows
         counts[i] = n
     frequencies = scaled(counts)
-    sizes = tokens.groupBy("part").agg(F.sum("n")).orderBy("part").collect()  # one row for each partition
+    sizes = sums.select("part", "n").orderBy("part").collect()  # one row for each partition
     ends = np.cumsum([r[1] for r in sizes]).tolist()
     bases = {r[0]: e - r[1] for r, e in zip(sizes, ends, strict=True)}
+    tokens = tokens.filter("counts IS NULL").drop("counts")
     spark.createDataFrame([(int(i), int(frequencies[i])) for i in np.flatnonzero(frequencies)], "id int, frequency long").coalesce(1).write.parquet(f"{path}/table")
     kind = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
     box = spark.sparkContext.broadcast((frequencies, bases))
