@@ -123,10 +123,10 @@ def _tokenise(path: str, end_id: int):
     """A row for each document, and a last one with the partition's counts of every id."""
 
     def run(batches):
-        encode, part, start = encoder(path).encode, TaskContext.get().partitionId(), 0
+        stream, part, start = encoder(path).stream, TaskContext.get().partitionId(), 0
         counts = np.zeros(1 << 16, np.int64)
         for b in batches:
-            ids = [np.append(encode(t), np.uint16(end_id)).astype("<u2") for t in b.column("text").to_pylist()]
+            ids = [np.append(x, np.uint16(end_id)).astype("<u2") for x in stream(b.column("text").to_pylist())]
             n = np.array([len(x) for x in ids], np.int64)
             for k in range(0, len(ids), 64):
                 counts += np.bincount(np.concatenate(ids[k : k + 64]), minlength=1 << 16)
@@ -139,6 +139,24 @@ def _tokenise(path: str, end_id: int):
     return run
 
 
+def _sum(batches):
+    """One row with the sum of the partition's arrays of counts."""
+    total = np.zeros(1 << 16, np.int64)
+    for b in batches:
+        total += b.column("counts").flatten().to_numpy().reshape(-1, 1 << 16).sum(axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["counts"])
+
+
+def _total(sums: DataFrame, arrays: int, fan_in: int = 64) -> np.ndarray:
+    """Sum of arrays of counts, in turns in which a task adds about fan_in of them."""
+    sums = sums.select("counts")
+    while arrays > 1:
+        arrays = -(-arrays // fan_in)
+        sums = sums.repartition(arrays).mapInArrow(_sum, "counts array<long>")
+    row = sums.first()
+    return np.array(row[0] if row else np.zeros(1 << 16), np.int64)
+
+
 def _encode(box, doc_type: pa.DataType, block_tokens: int):
     def block(coder, start, docs, ids):
         lengths = [len(x) // 2 for x in ids]
@@ -179,11 +197,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     tokens = materialise(ordered.mapInArrow(_tokenise(tokenizer_path(tokenizer), end_id), f"doc_id {doc}, part long, start long, n long, ids binary, counts array<long>"), "tokens")
     sums = tokens.filter("counts IS NOT NULL")
-    counts = np.zeros(1 << 16, np.int64)
-    for i, n in sums.select(F.posexplode("counts").alias("id", "n")).filter("n > 0").groupBy("id").agg(F.sum("n")).collect():  # at most 2**16 rows
-        counts[i] = n
-    frequencies = scaled(counts)
     sizes = sums.select("part", "n").orderBy("part").collect()  # one row for each partition
+    frequencies = scaled(_total(sums, len(sizes)))
     ends = np.cumsum([r[1] for r in sizes]).tolist()
     bases = {r[0]: e - r[1] for r, e in zip(sizes, ends, strict=True)}
     tokens = tokens.filter("counts IS NULL").drop("counts")
