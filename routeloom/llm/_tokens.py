@@ -1,63 +1,106 @@
 """Whole-text token ids from a public tokenizer whose pre-tokens never hold white space.
 
 Such a tokenizer (word_bpe_49k) gives a text the ids of its space-separated stretches, one
-after another, so each worker encodes a stretch once and remembers its ids. The memory
-holds up to `limit` new stretches and as many older ones; results don't depend on it.
+after another, so each worker encodes a stretch once and remembers its ids. New stretches of
+many texts go to the tokenizer together, with a mark between them. The memory holds about
+`limit` new stretches and as many older ones; results don't depend on it.
 """
 
 from __future__ import annotations
 
-import sys
-from array import array
 from functools import lru_cache
 
 import numpy as np
 
+#: A stretch of its own id that stands between others; stretches that hold it are encoded alone.
+_MARK = "\x01"
 _TRAIL = ".,;:!?%&$#*|"
 
 
-class Encoder(dict):
-    """Maps a stretch to its ids as little-endian uint16 bytes; encode() takes whole texts."""
+def _lowered(text: str) -> str:
+    """The text with its letters lowered, as the tokenizer does itself, where that goes letter by letter; else as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
-    def __init__(self, path: str, limit: int = 500_000):
+
+class Encoder:
+    """Maps texts to their ids as little-endian uint16 arrays."""
+
+    def __init__(self, path: str, limit: int = 400_000, together: int = 128):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.together = Tokenizer.from_file(path), limit, together
+        self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        mark = self._ids(_MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
-    def _ids(self, text: str) -> bytes:
-        ids = array("H", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self.old.get(stretch)
-        if ids is None:
-            base = stretch.rstrip(_TRAIL)
-            # letters and the signs after them are separate pre-tokens; in ASCII, case is folded by the tokenizer
-            lower = base.lower() if base.isascii() else base
-            if lower != stretch and base.isalpha() and len(stretch) <= 64:
-                seen = lower in self or lower in self.old
-                ids = self[lower] + (self[stretch[len(base) :]] if len(base) < len(stretch) else b"")
-                if not seen:
-                    return ids
+    def _learn(self, stretches: set[str]) -> None:
+        """Adds the stretches to known. Letters and the signs after them are separate pre-tokens."""
+        known, old = self.known, self.old
+        plain, made = set(), []
+        for s in stretches:
+            base = s.rstrip(_TRAIL)
+            if base is not s and base.isalpha():
+                made.append(s)
+                plain.add(base)
+                plain.add(s[len(base) :])
             else:
-                ids = self._ids(stretch) if stretch else b""
-        if len(stretch) <= 64:
-            if len(self) >= self.limit:
-                self.old = {}
-                self.old = self.copy()
-                self.clear()
-            self[stretch] = ids
-        return ids
+                plain.add(s)
+        rest = []
+        for s in plain.difference(known):
+            if s in old:
+                known[s] = old[s]
+            elif self.mark is None or _MARK in s:
+                known[s] = self._ids(s).tobytes()
+            else:
+                rest.append(s)
+        for i in range(0, len(rest), self.together):
+            part = rest[i : i + self.together]
+            ids = self._ids(f" {_MARK} ".join(part))
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            raw, begin = ids.tobytes(), 0
+            for s, end in zip(part, ends.tolist(), strict=True):
+                known[s] = raw[2 * begin : 2 * end]
+                begin = end + 1
+        for s in made:
+            base = s.rstrip(_TRAIL)
+            known[s] = known[base] + known[s[len(base) :]]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [_lowered(t).replace("\n", " ").split(" ") if t else [] for t in texts]
+        new = set().union(*split).difference(self.known)
+        if new:
+            self._learn(new)
+        get = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(get, s)), "<u2") for s in split]
+        for s in [s for s in new if len(s) > 64]:
+            del self.known[s]
+        if len(self.known) > self.limit:
+            self.old, self.known = self.known, {}
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u2")
-        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), "<u2")
+        return self.encode_all([text])[0]
+
+    def stream(self, texts: list[str | None], target: int = 1 << 20):
+        """encode_all for stretches of texts of about `target` characters, one array after another."""
+        i = 0
+        while i < len(texts):
+            j, n = i, 0
+            while j < len(texts) and (j == i or n < target):
+                n += len(texts[j] or "")
+                j += 1
+            yield from self.encode_all(texts[i:j])
+            i = j
 
 
 @lru_cache(2)

@@ -116,11 +116,11 @@ def _places(bins: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarr
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches):
-        encode = encoder(path).encode
+        stream = encoder(path).stream
         for b in batches:
             at, piece, start, length, ids = [], [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                own = np.append(encode(text), end_id).astype("<u4")
+            for i, own in enumerate(stream(b.column("text").to_pylist())):
+                own = np.append(own, end_id).astype("<u4")
                 for k, s in enumerate(range(0, len(own), capacity)):
                     part = own[s : s + capacity]
                     at.append(i)
