@@ -1,0 +1,153 @@
+"""Points of interest: brands, confidence, duplicates, search, reports."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from routeloom.functions import geo, rules
+from routeloom.functions.scalars import first_filled
+from routeloom.functions.similarity import ratio
+from routeloom.functions.text import brand_text
+
+
+def detect_brands(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """texts (id, ord, value) and aliases (brand, alias, ord) give (id, brand, alias): of a text's aliases the whole one, else the longest that it holds.
+
+    A row of the lesser ord decides where it names a brand. Aliases of up to two characters must
+    be the whole text. Of equal aliases the last one holds; of equally long ones the first.
+    The alias list is a table of chains: its checked size decides whether it is broadcast.
+    """
+    a = aliases.select(brand_text(F.col("alias")).alias("akey"), "brand", "alias", F.col("ord").alias("aord")).filter("akey <> ''")
+    a = a.groupBy("akey").agg(F.max_by(F.struct("brand", "alias"), "aord").alias("a"), F.min("aord").alias("aord"))
+    values = texts.select(brand_text(F.col("value")).alias("vkey")).filter("vkey <> ''").distinct()
+    from routeloom.functions.similarity import containing_pairs
+
+    held = containing_pairs(a.select(F.col("akey").alias("l")), values.select(F.col("vkey").alias("r")))
+    met = held.filter((F.length("l") > 2) | (F.col("l") == F.col("r"))).join(a, F.col("l") == F.col("akey"))
+    best = met.groupBy(F.col("r").alias("vkey")).agg(F.min_by("a", F.struct(F.col("l") != F.col("r"), -F.length("l"), "aord")).alias("a"))
+    own = texts.withColumn("vkey", brand_text(F.col("value"))).join(best, "vkey")
+    return own.groupBy("id").agg(F.min_by("a", "ord").alias("a")).select("id", "a.brand", "a.alias")
+
+
+def address_fields(tags: Column) -> dict[str, Column]:
+    get = lambda k: F.nullif(F.element_at(tags, k), F.lit(""))
+    return {c: get(f"addr:{t}") for c, t in (("city", "city"), ("region", "region"), ("district", "district"), ("suburb", "suburb"), ("street", "street"), ("house_number", "housenumber"), ("postcode", "postcode"), ("place", "place"), ("full", "full"))}
+
+
+def built_address(f: dict[str, Column]) -> Column:
+    """city, street, house; without a city; a place with a house; or the full text."""
+    have = lambda *names: [f[n].isNotNull() for n in names]
+    all_ = lambda names: have(*names)[0] & have(*names)[1] & (have(*names)[2] if len(names) > 2 else F.lit(True))
+    out = F.when(all_(("city", "street", "house_number")), F.concat_ws(", ", f["city"], f["street"], f["house_number"]))
+    out = out.when(all_(("street", "house_number")), F.concat_ws(", ", f["street"], f["house_number"]))
+    return out.when(all_(("place", "house_number")), F.concat_ws(", ", f["place"], f["house_number"])).otherwise(f["full"])
+
+
+def completeness(*fields: Column) -> Column:
+    out = F.lit(0)
+    for f in fields:
+        out = out + F.when(F.length(f) > 0, 1).otherwise(0)
+    return out
+
+
+def confidence(brand: Column, shop: Column, street: Column, house: Column, city: Column, region: Column, valid: Column, warnings: Column) -> Column:
+    """0 to 1 from what is known of a place, less what its warnings cost."""
+    full = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    part = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(0.0)
+    score = part(brand, 0.4) + part(shop.isin(*rules.GOOD_SHOPS), 0.2) + part(full(street) & full(house), 0.2) + part(full(city) | full(region), 0.1) + part(valid, 0.1)
+    cost = F.create_map(*(F.lit(v) for kv in rules.WARNING_COSTS.items() for v in kv))
+    lost = F.aggregate(warnings, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(cost, w), F.lit(0.0)))
+    return F.round(F.greatest(F.lit(0.0), F.least(score - F.coalesce(lost, F.lit(0.0)), F.lit(1.0))), 4)
+
+
+def duplicate_pairs(places: DataFrame, same_m: float = 30.0, near_m: float = 80.0, least: float = 0.86) -> DataFrame:
+    """Pairs (brand, a, b, distance_m), a before b in `ord`, of one brand within same_m, or within near_m with like addresses."""
+    left = places.select("brand", "lat", "lon", F.col("id").alias("a"), F.col("ord").alias("ao"), F.col("address").alias("aa"))
+    right = places.select("brand", "lat", "lon", F.col("id").alias("b"), F.col("ord").alias("bo"), F.col("address").alias("ba"))
+    met = geo.pairs_within(left, right, near_m, ("brand",)).filter("ao < bo")
+    close = met.filter(F.col("distance_m") <= same_m)
+    # only these need the costly comparison
+    far = met.filter((F.col("distance_m") > same_m) & (F.length("aa") > 0) & (F.length("ba") > 0)).filter(ratio("aa", "ba") >= least)
+    return close.unionByName(far).select("brand", "a", "b", "distance_m")
+
+
+def _replay(keys: tuple, parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    rows = pd.concat(parts).sort_values("ord", kind="stable")
+    score = dict(zip(rows["id"], rows["confidence"], strict=True))
+    rank = {r.id: (r.filled, r.kind) for r in rows.itertuples()}
+    of: dict = {}
+    for r in rows.itertuples():
+        if r.id in of or r.near is None or not len(r.near):
+            continue
+        group = [r.id, *r.near]
+        keeper = max(group, key=lambda i: (*rank[i], score[i]))
+        for i in group:
+            if i != keeper:
+                of[i] = keeper
+                score[i] = round(max(0.0, score[i] - 0.2), 4)
+    ids = rows["id"].tolist()
+    return pd.DataFrame({"id": ids, "duplicate_of": pd.array([of.get(i) for i in ids], dtype="Int64"), "confidence": [score[i] for i in ids]})
+
+
+def mark_duplicates(places: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, duplicate_of, confidence) for places (id, ord, filled, kind, confidence): greedy, in `ord`.
+
+    A place that isn't marked yet gathers its later neighbours; the best of the group by
+    (filled, kind, confidence) keeps, the others are marked and lose 0.2. That depends on the
+    order, but only within a component of the pairs: components are what one task gets, never a
+    whole brand, and places without a pair don't go there at all.
+    """
+    from routeloom.operators.graph import components
+
+    labels = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    near = pairs.join(places.select(F.col("id").alias("b"), F.col("ord").alias("bo")), "b").groupBy(F.col("a").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("bo", "b"))), lambda s: s["b"]).alias("near"))
+    rows = places.select("id", "ord", "filled", "kind", "confidence").join(labels, "id").join(near, "id", "left")
+    marked = rows.groupBy("label").applyInPandas(_replay, "id long, duplicate_of long, confidence double")
+    alone = places.join(labels, "id", "left_anti").select("id", F.lit(None).cast("long").alias("duplicate_of"), F.col("confidence").cast("double").alias("confidence"))
+    return marked.unionByName(alone)
+
+
+def text_score(query: Column, address: Column, name: Column, brand: Column) -> Column:
+    """How well a query names a place: the blocks that match, more if the query is the address or stands in the place's words, less if it is only the brand."""
+    a, n, b, q = (brand_text(c) for c in (address, name, brand, query))
+    hay = F.concat_ws(" ", *(F.nullif(x, F.lit("")) for x in (a, n, b)))
+    located = (F.size(F.split(q, " ")) >= 3) | F.rlike(q, F.lit("[0-9]"))
+    base = F.when((q != "") & (hay != ""), ratio(q, hay)).otherwise(0.0)
+    held = F.contains(hay, q)
+    score = F.when((q != "") & (q == a), 1.0).when((q != "") & held & located, F.greatest(base, F.lit(0.96))).when((q != "") & held, F.greatest(base, F.lit(0.88))).otherwise(base)
+    return F.when((q != "") & (q == b), F.least(score, F.lit(0.72))).otherwise(score)
+
+
+def place_score(text: Column, sure: Column, distance_m: Column) -> Column:
+    near = F.when(distance_m.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance_m / 5000))).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), text * 0.62 + F.coalesce(sure, F.lit(0.65)) * 0.28 + near * 0.10)), 4)
+
+
+def search(queries: DataFrame, places: DataFrame, radius_m: float = 5000.0, top: int = 5) -> DataFrame:
+    """(query_id, id, distance_m, score, place) for queries (query_id, text, lat, lon): the best places within radius_m."""
+    p = places.select("id", "name", "brand", "address", F.col("confidence").alias("sure"), "lat", "lon")
+    met = geo.pairs_within(queries.select("query_id", "text", "lat", "lon"), p, radius_m)
+    scored = met.withColumn("score", place_score(text_score(F.col("text"), F.col("address"), F.col("name"), F.col("brand")), F.col("sure"), F.col("distance_m")))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select("query_id", "id", "distance_m", "score", "place")
+
+
+def resolve(found: DataFrame) -> DataFrame:
+    """(query_id, status, id) from search: matched if the best has 0.86 and leads by 0.08, else ambiguous."""
+    out = found.groupBy("query_id").agg(F.max(F.when(F.col("place") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("s2"), F.max(F.when(F.col("place") == 1, F.col("id"))).alias("first"))
+    sure = (F.col("s1") >= 0.86) & (F.col("s2").isNull() | (F.col("s1") - F.col("s2") >= 0.08))
+    return out.select("query_id", F.when(sure, "matched").otherwise("ambiguous").alias("status"), F.when(sure, F.col("first")).alias("id"))
+
+
+def report(places: DataFrame) -> DataFrame:
+    """Counts for each brand: all, duplicates, low confidence (under 0.75), without an address."""
+    return places.groupBy("brand").agg(F.count("*").alias("n"), F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates"), F.count_if(F.col("confidence") < 0.75).alias("low"), F.count_if(first_filled(F.col("address")).isNull()).alias("no_address"))
+
+
+def reverse_confidence(city: Column, street: Column, house: Column) -> Column:
+    full = lambda c: F.coalesce(F.length(F.trim(c)) > 0, F.lit(False))
+    return F.when(full(street) & full(house) & full(city), 0.95).when(full(street) & full(house), 0.75).when(full(street) | full(city), 0.65).otherwise(0.0)
