@@ -8,9 +8,12 @@ many texts go to the tokenizer together, with a mark between them. The memory ho
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A stretch of its own id that stands between others; stretches that hold it are encoded alone.
 _MARK = "\x01"
@@ -29,7 +32,7 @@ def _lowered(text: str) -> str:
 class Encoder:
     """Maps texts to their ids as little-endian uint16 arrays."""
 
-    def __init__(self, path: str, limit: int = 400_000, together: int = 128):
+    def __init__(self, path: str, limit: int = 200_000, together: int = 128):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.together = Tokenizer.from_file(path), limit, together
@@ -91,15 +94,21 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def stream(self, texts: list[str | None], target: int = 1 << 20):
-        """encode_all for stretches of texts of about `target` characters, one array after another."""
+    def rest(self) -> None:
+        """Gives back what a task has needed; the newer memory stays for the next one."""
+        self.old = {}
+        pa.default_memory_pool().release_unused()
+
+
+def slices(batches: Iterable[pa.RecordBatch], target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `target` bytes of text, one row at least."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         i = 0
-        while i < len(texts):
-            j, n = i, 0
-            while j < len(texts) and (j == i or n < target):
-                n += len(texts[j] or "")
-                j += 1
-            yield from self.encode_all(texts[i:j])
+        while i < b.num_rows:
+            before = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + target, "right")))
+            yield b.slice(i, j - i)
             i = j
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeloom.llm._common import materialise, tokenizer_path, with_row_id
-from routeloom.llm._tokens import encoder
+from routeloom.llm._tokens import encoder, slices
 
 #: Rows of a salted group, and the most groups that there can be besides one for each length.
 GROUP, GROUPS = 128, 200_000
@@ -116,10 +116,10 @@ def _places(bins: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarr
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches):
-        stream = encoder(path).stream
-        for b in batches:
+        e = encoder(path)
+        for b in slices(batches):
             at, piece, start, length, ids = [], [], [], [], []
-            for i, own in enumerate(stream(b.column("text").to_pylist())):
+            for i, own in enumerate(e.encode_all(b.column("text").to_pylist())):
                 own = np.append(own, end_id).astype("<u4")
                 for k, s in enumerate(range(0, len(own), capacity)):
                     part = own[s : s + capacity]
@@ -133,6 +133,7 @@ def _cut(path: str, end_id: int, capacity: int):
                 [b.column("doc_id").take(at), b.column("rid").take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "rid", "piece", "start", "length", "ids"],
             )
+        e.rest()
 
     return run
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.llm._common import materialise, tokenizer_path
-from routeloom.llm._tokens import encoder
+from routeloom.llm._tokens import encoder, slices
 
 SCALE = 20
 _LOW = np.uint64(1 << 31)
@@ -123,16 +123,17 @@ def _tokenise(path: str, end_id: int):
     """A row for each document, and a last one with the partition's counts of every id."""
 
     def run(batches):
-        stream, part, start = encoder(path).stream, TaskContext.get().partitionId(), 0
+        e, part, start = encoder(path), TaskContext.get().partitionId(), 0
         counts = np.zeros(1 << 16, np.int64)
-        for b in batches:
-            ids = [np.append(x, np.uint16(end_id)).astype("<u2") for x in stream(b.column("text").to_pylist())]
+        for b in slices(batches):
+            ids = [np.append(x, np.uint16(end_id)).astype("<u2") for x in e.encode_all(b.column("text").to_pylist())]
             n = np.array([len(x) for x in ids], np.int64)
             for k in range(0, len(ids), 64):
                 counts += np.bincount(np.concatenate(ids[k : k + 64]), minlength=1 << 16)
             ends = start + np.cumsum(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(ends - n), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(n), pa.list_(pa.int64()))], _TOKENS)
             start, kind = int(ends[-1]) if len(n) else start, b.column("doc_id").type
+        e.rest()
         if start:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([part]), pa.array([0]), pa.array([start]), pa.nulls(1, pa.binary()), pa.array([counts], pa.list_(pa.int64()))], _TOKENS)
 
