@@ -15,6 +15,12 @@ def _reliable(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='routeloom-')}")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint, for tables that several joins read."""
+    _reliable(df.sparkSession)
+    return df.checkpoint()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label) for the ids in links (u, v), label the least id of the component.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from routeloom.functions import text as T
 from routeloom.functions.rules import REGION_CODES
 from routeloom.functions.similarity import containing_pairs, similar_pairs, trigram_similarity
+from routeloom.operators.graph import written
 
 
 def object_rows(objects: DataFrame, hierarchy: DataFrame) -> DataFrame:
@@ -35,6 +36,8 @@ def candidate_streets(names: DataFrame, streets: DataFrame, regions: list[str] |
         streets = streets.filter(F.col("region_code").isin(*regions))
     q = names.select("street").filter("street IS NOT NULL").distinct().withColumns({"lookup": T.lookup(F.col("street")), "bare": T.street_name(F.col("street"))})
     s = streets.select(F.lower("full_name").alias("f"), F.lower("name").alias("n")).distinct()
+    # both are read by several joins: written once, they cost one reading of the addresses
+    q, s = written(q), written(s)
     key = F.when(F.col("bare") != "", F.col("bare")).otherwise(F.col("lookup"))
     found = None
     for l, r, pairs in (
@@ -99,8 +102,8 @@ def verdicts(requests: DataFrame, streets: DataFrame, houses: DataFrame, regions
 
     Work is done once for each different street, and each different street with a house.
     """
-    read = T.parsed(requests.select("id", "raw")).select("id", "street", "house", "corpus", "settlement", "clean")
-    found = candidate_streets(read, streets, regions)
+    read = written(T.parsed(requests.select("id", "raw")).select("id", "street", "house", "corpus", "settlement", "clean"))
+    found = written(candidate_streets(read, streets, regions))
     asked = read.select("street", "house", "corpus").distinct()
     own = asked.join(found, "street")
     met = _with_houses(own, match_houses(own, houses))

@@ -1,0 +1,48 @@
+"""Suggestions while an address is typed: merge, dedupe, rank."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from routeloom.functions import text as T
+
+
+def dedupe(items: DataFrame) -> DataFrame:
+    """Of items (query_id, pos, name, lat, lon) with the same name and place to six decimals, the first."""
+    w = Window.partitionBy("query_id", F.round("lat", 6), F.round("lon", 6), F.lower(F.trim("name"))).orderBy("pos")
+    return items.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def has_house_number(query: Column) -> Column:
+    q = F.trim(T.folded(query))
+    return F.rlike(q, F.lit(r"(?U)(^|[\s,])(дом|д)\.?\s*\d")) | F.rlike(q, F.lit(r"(?U)(^|[\s,])\d+[0-9а-яa-z/-]*$"))
+
+
+def names_street(name: Column, query: Column) -> Column:
+    """Whether each token of the query begins some token of the name."""
+    n, q = T.match_tokens(name), T.match_tokens(query)
+    return (F.size(q) > 0) & F.forall(q, lambda t: F.exists(n, lambda w: F.startswith(w, t)))
+
+
+def rank(items: DataFrame, limit: int = 10) -> DataFrame:
+    """The best `limit` (1 to 10) of items (query_id, query, pos, name, is_street, source, confidence), with place: streets first unless a house is asked for, then what the database has, then confidence."""
+    street = ~has_house_number(F.col("query")) & F.col("is_street") & names_street(F.col("name"), F.col("query"))
+    w = Window.partitionBy("query_id").orderBy(F.when(street, 0).otherwise(1), F.col("source") != "database", F.desc(F.coalesce("confidence", F.lit(0.0))), "pos")
+    return items.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= max(1, min(limit, 10)))
+
+
+def complete_streets(items: DataFrame) -> DataFrame:
+    """One item for each set of street tokens of a query, that of the highest confidence, the first of equal ones."""
+    key = F.array_join(F.array_sort(F.array_distinct(T.match_tokens(F.col("name")))), " ")
+    w = Window.partitionBy("query_id", "key").orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "pos")
+    named = items.withColumn("key", key).filter((F.col("key") != "") & names_street(F.col("name"), F.col("query")))
+    return named.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def main_text(address: Column, display: Column) -> Column:
+    """A road with its house, a named thing, or the display name's first two parts."""
+    get = lambda *keys: F.coalesce(*(F.nullif(F.element_at(address, k), F.lit("")) for k in keys))
+    road, name, house = get("road", "pedestrian", "footway", "path", "neighbourhood"), get("building", "amenity", "shop"), get("house_number")
+    parts = F.filter(F.transform(F.split(display, ","), F.trim), lambda p: p != "")
+    return F.coalesce(F.when(road.isNotNull(), F.concat_ws(", ", road, house)), F.when(name.isNotNull(), F.concat_ws(", ", name, house)), F.array_join(F.slice(parts, 1, 2), ", "))

@@ -1,0 +1,69 @@
+"""Views that derive the engine's inputs from the tables at hand, in SQL that Spark and other engines read alike."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
+
+#: Views by name; {table} stands for a table, [view] for another view.
+VIEWS = {
+    "places": """SELECT c_custkey AS id, c_custkey AS ord, c_mktsegment AS brand, c_name AS name, concat('street ', cast(c_custkey % 40 AS string), ', ', cast(c_custkey % 7 AS string)) AS address,
+        cast(59.9 AS double) + cast((c_custkey * 37) % 300 AS double) / 10000 AS lat, cast(30.3 AS double) + cast((c_custkey * 53) % 300 AS double) / 10000 AS lon,
+        cast(c_custkey % 100 AS double) / 100 AS confidence, cast(c_custkey % 9 AS int) AS filled, cast(c_custkey % 2 AS int) AS kind FROM {customer}""",
+    "queries": """SELECT s_suppkey AS query_id, s_name AS text, cast(59.9 AS double) + cast((s_suppkey * 41) % 300 AS double) / 10000 AS lat, cast(30.3 AS double) + cast((s_suppkey * 59) % 300 AS double) / 10000 AS lon FROM {supplier}""",
+    "streets": """SELECT p_partkey AS object_id, p_name AS name, concat(lower(p_type), ' ', p_name) AS full_name, CASE p_size % 2 WHEN 0 THEN '78' ELSE '47' END AS region_code FROM {part}""",
+    "houses": """SELECT l_partkey AS parent_object_id, l_orderkey * 10 + l_linenumber AS house_id, cast(l_linenumber * 10 + l_suppkey % 10 AS string) AS house_number,
+        nullif(cast(l_suppkey % 4 AS string), '0') AS building_number, cast(NULL AS string) AS structure_number FROM {lineitem}""",
+    "requests": """SELECT o_orderkey AS id, p_name AS name, cast(o_orderkey % 6 AS int) AS form, cast(o_custkey % 60 + 10 AS string) AS house, nullif(cast(o_orderkey % 4 AS string), '0') AS corpus,
+        CASE o_orderkey % 6
+          WHEN 0 THEN concat('СПб, ул. ', p_name, ' д. ', cast(o_custkey % 60 + 10 AS string), coalesce(concat(' к. ', nullif(cast(o_orderkey % 4 AS string), '0')), ''))
+          WHEN 1 THEN concat('Гатчина, ', upper(p_name), ' пр-т, ', cast(o_custkey % 60 + 10 AS string), coalesce(concat('к', nullif(cast(o_orderkey % 4 AS string), '0')), ''))
+          WHEN 2 THEN concat('ул ', p_name, '  ', cast(o_custkey % 60 + 10 AS string))
+          WHEN 3 THEN concat('наб. ', p_name, ' | дом ', cast(o_custkey % 60 + 10 AS string))
+          WHEN 4 THEN concat('Мурино; ш. ', p_name, ' д ', cast(o_custkey % 60 + 10 AS string))
+          ELSE concat('бул. ', p_name) END AS raw
+        FROM {orders} JOIN {part} ON p_partkey = o_orderkey % 200""",
+    "stops": """SELECT l_partkey AS job, cast(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount) AS int) AS ord, 'waypoint' AS type,
+        CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE concat('d', cast(l_linenumber % 3 AS string)) END AS district FROM {lineitem}""",
+    "points": """SELECT job, ord, type, CASE WHEN ord % 5 < 3 THEN concat('d', cast(job % 3 AS string)) END AS district FROM [stops]
+        UNION ALL SELECT job, cast(0 AS int), 'start', cast(NULL AS string) FROM [stops] GROUP BY job
+        UNION ALL SELECT job, cast(max(ord) + 1 AS int), 'end', cast(NULL AS string) FROM [stops] GROUP BY job""",
+    "small_jobs": "SELECT l_orderkey AS job, count(*) + 2 AS n FROM {lineitem} GROUP BY l_orderkey",
+    "matrix": """SELECT job, cast(i AS int) AS i, cast(j AS int) AS j, CASE WHEN i = j THEN cast(0 AS double) ELSE cast((job * 31 + i * 17 + j * 29) % 97 + 1 AS double) END AS cost
+        FROM [small_jobs] JOIN (SELECT DISTINCT l_linenumber + 0 AS i FROM {lineitem} UNION SELECT 0 AS i UNION SELECT 8 AS i UNION SELECT 9 AS i) a ON a.i < n
+        JOIN (SELECT DISTINCT l_linenumber + 0 AS j FROM {lineitem} UNION SELECT 0 AS j UNION SELECT 8 AS j UNION SELECT 9 AS j) b ON b.j < n WHERE n <= 10""",
+    "old_rows": "SELECT c_custkey AS id, c_name AS name, c_acctbal AS score, CASE c_custkey % 4 WHEN 0 THEN 'manual' WHEN 1 THEN cast(NULL AS string) ELSE 'auto' END AS provider, true AS is_active FROM {customer} WHERE c_nationkey < 18",
+    "new_rows": "SELECT c_custkey AS id, concat(c_name, '*') AS name, c_acctbal + 1 AS score, CASE c_custkey % 2 WHEN 0 THEN 'auto' ELSE cast(NULL AS string) END AS provider, true AS is_active FROM {customer} WHERE c_nationkey >= 8",
+    "attempts": "SELECT o_custkey AS id, o_orderkey AS pos, o_orderstatus AS query, cast(o_orderkey % 100 AS double) AS score, o_orderkey % 3 > 0 AS house_match FROM {orders}",
+    "items": """SELECT o_custkey AS query_id, concat(substr(p_name, 1, 3), CASE o_orderkey % 5 WHEN 0 THEN ' 12' ELSE '' END) AS query, o_orderkey AS pos, p_name AS name, o_orderkey % 2 = 0 AS is_street,
+        CASE o_orderkey % 3 WHEN 0 THEN 'database' ELSE 'remote' END AS source, cast(o_orderkey % 50 AS double) AS confidence, cast(o_orderkey % 4 AS double) AS lat, cast(o_orderkey % 3 AS double) AS lon
+        FROM {orders} JOIN {part} ON p_partkey = o_orderkey % 200""",
+    "calls": "SELECT event_type AS status, cast(event_id % 3 AS string) AS provider, CASE event_id % 10 WHEN 0 THEN cast(NULL AS string) ELSE cast(event_id % 4 AS string) END AS source, value AS latency FROM {events}",
+    "words": "SELECT l_orderkey AS image, l_linenumber % 2 AS block, 0 AS par, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS pos, concat('w', cast(l_partkey AS string)) AS text, cast(l_suppkey % 12 - 1 AS double) AS confidence FROM {lineitem}",
+    "marks": "SELECT DISTINCT l_suppkey AS grp, l_partkey AS v FROM {lineitem}",
+}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sql = VIEWS[name]
+    named = {v: view(spark, sf_dir, v) for v in re.findall(r"\[(\w+)\]", sql)}
+    named |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    return spark.sql(re.sub(r"\[(\w+)\]", r"{\1}", sql), **named)
+
+
+def with_views(*names: str) -> str:
+    """The views, and those under them, as a WITH clause that reads plain table names."""
+    done: list[str] = []
+
+    def add(name: str) -> None:
+        for v in re.findall(r"\[(\w+)\]", VIEWS[name]):
+            add(v)
+        if name not in done:
+            done.append(name)
+
+    for name in names:
+        add(name)
+    return "WITH " + ",\n".join(f"{n} AS ({re.sub(r'[\[\]{}]', '', VIEWS[n])})" for n in done)
