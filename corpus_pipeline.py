@@ -22,6 +22,8 @@ from routeloom.llm.quality_rules import assess
 _REST = "routeloom_rest"
 #: Tables that the last stage rests on: once the next one starts, its rows are written and these can go.
 _left: list[str] = []
+#: Rows that Spark hands to Python at once; its default of 10,000 whole texts takes much memory in every task.
+_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
 def _stage(function):
@@ -30,6 +32,8 @@ def _stage(function):
         if function is not _FIRST:
             _common.release(spark, _left)
         _left.clear()
+        if spark.conf.get(_BATCH[0], _BATCH[1]) == _BATCH[1]:
+            spark.conf.set(_BATCH[0], _BATCH[2])
         n = _common.written_so_far()
         out = function(spark, docs, sf_dir)
         _left.extend(_common.written_since(n))

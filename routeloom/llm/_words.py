@@ -107,7 +107,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def pieces(column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, target: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of stretches of about target bytes; null counts as empty, a long row stays whole."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -126,6 +126,6 @@ def pieces(column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, int,
         i = j
 
 
-def scan(column: pa.Array, separators: tuple[int, ...] = SPACES, fold_case: bool = False, target: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def scan(column: pa.Array, separators: tuple[int, ...] = SPACES, fold_case: bool = False, target: int = 1 << 18) -> Iterator[tuple[int, int, Words]]:
     for i, j, data, offsets in pieces(column, target):
         yield i, j, Words(data, offsets, separators, fold_case)

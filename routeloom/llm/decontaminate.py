@@ -207,7 +207,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, bloc
 
 
 def _remove(batches):
-    for b in batches:
+    for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
         out = []
         for text, begins, ends in zip(b.column("text").to_pylist(), b.column("begins").to_pylist(), b.column("ends").to_pylist(), strict=True):
             if begins:
