@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,8 +73,8 @@ def duplicate_pairs(places: DataFrame, same_m: float = 30.0, near_m: float = 80.
     return close.unionByName(far).select("brand", "a", "b", "distance_m")
 
 
-def _replay(keys: tuple, parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(parts).sort_values("ord", kind="stable")
+def _replay(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("ord", kind="stable")
     score = dict(zip(rows["id"], rows["confidence"], strict=True))
     rank = {r.id: (r.filled, r.kind) for r in rows.itertuples()}
     of: dict = {}
