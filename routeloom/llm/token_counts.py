@@ -40,8 +40,10 @@ def allot(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tuple[
     "last": the section of its first or last character.
     """
     starts = np.concatenate([[0], token_ends[:-1]])
-    a = np.searchsorted(section_ends, starts, "right")
-    b = np.searchsorted(section_ends, token_ends, "left")
+    last = len(section_ends) - 1
+    a = np.minimum(np.searchsorted(section_ends, starts, "right"), last)
+    # a token without characters ends where it starts, and crosses nothing
+    b = np.maximum(np.minimum(np.searchsorted(section_ends, token_ends, "left"), last), a)
     crosses = a != b
     out = b if rule == "last" else a
     if rule == "most" and crosses.any():

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.llm.token_counts import count_tokens
+from routeloom.llm.token_counts import RULES, count_tokens
 
 ODD = [None, "", "\n", "one\n\n\n  two\n", "é\nñandú 🙂🙂\n日本\n", "no newline", "a\n" * 300, "x" * 3000 + "\n", "<|endoftext|>\n#%&\n\n\n\n\n"]
 
@@ -43,3 +43,13 @@ def test_empty(spark):
     df = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "c")], "doc_id long, text string")
     assert count_tokens(df).count() == 5
     assert count_tokens(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rule", RULES)
+def test_characters_of_several_tokens_at_the_end_of_a_section(spark, rule):
+    texts = ["ab\n\U00013000", "\U00013000\n\U00013000\U00013001", "\U00013000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i, text in enumerate(texts):
+        own = [r for r in count_tokens(df, rule).collect() if r.doc_id == i]
+        assert len(own) == text.count("\n") + 1 and all(0 <= r.n_crossing <= r.n_tokens for r in own)
+        assert own[-1].n_tokens > 1
