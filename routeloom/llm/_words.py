@@ -74,6 +74,20 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
 
+    @classmethod
+    def joined(cls, parts: list[Words]) -> Words:
+        """The rows of several, one after another."""
+        if not parts:
+            return cls(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        out = cls.__new__(cls)
+        before = np.cumsum([0, *(len(p.data) for p in parts)])
+        words = np.cumsum([0, *(len(p) for p in parts)])
+        out.data, out.hashes, out.counts = (np.concatenate([getattr(p, a) for p in parts]) for a in ("data", "hashes", "counts"))
+        out.starts, out.ends = (np.concatenate([getattr(p, a) + n for p, n in zip(parts, before, strict=False)]) for a in ("starts", "ends"))
+        out.offsets = np.concatenate([*(p.offsets[:-1] + n for p, n in zip(parts, before, strict=False)), before[-1:]])
+        out.first = np.concatenate([*(p.first[:-1] + n for p, n in zip(parts, words, strict=False)), words[-1:]])
+        return out
+
     def __len__(self) -> int:
         return len(self.starts)
 

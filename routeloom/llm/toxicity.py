@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm._words import NON_ALNUM, Words, mix, pieces
+from routeloom.llm._words import NON_ALNUM, Words, mix, pieces, scan
 from routeloom.llm.quality_model import held_out, sample_labels
 
 WINDOW, STRIDE = 16, 8
@@ -176,9 +176,9 @@ class Network:
         return 1 / (1 + np.exp(-(self.scale * worst + self.shift)))
 
 
-def _words(texts: list[str]) -> Words:
-    data = [t.encode() for t in texts]
-    return Words(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64), NON_ALNUM, True)
+def _words(texts: list[str], target: int = 1 << 18) -> Words:
+    """The words of all texts, hashed some texts at a time."""
+    return Words.joined([w for _, _, w in scan(pa.array(texts, pa.large_string()), NON_ALNUM, True, target)])
 
 
 def fit(texts: list[str], y: np.ndarray, turns: int = 4, seed: int = 1) -> Network:
@@ -192,7 +192,7 @@ def fit(texts: list[str], y: np.ndarray, turns: int = 4, seed: int = 1) -> Netwo
     y = y.astype(np.int64)
     positive = y[row] == 1
     # first guess: words that toxic texts hold more often than others
-    pairs = np.unique(np.stack([w.rows(), number]), axis=1)
+    pairs = np.divmod(np.unique(w.rows() * len(buckets) + number), len(buckets))
     seen = [np.bincount(pairs[1][y[pairs[0]] == k], minlength=len(buckets)) for k in (0, 1)]
     share = [(s + 0.5) / (1 + (y == k).sum()) for k, s in enumerate(seen)]
     odds = np.where(seen[1] >= 3, np.log(share[1] / share[0]), -5.0)
