@@ -176,15 +176,16 @@ class Network:
         return 1 / (1 + np.exp(-(self.scale * worst + self.shift)))
 
 
-def _words(texts: list[str], target: int = 1 << 18) -> Words:
-    """The words of all texts, hashed some texts at a time."""
-    return Words.joined([w for _, _, w in scan(pa.array(texts, pa.large_string()), NON_ALNUM, True, target)])
+def _parts(texts: list[str], target: int = 1 << 18) -> list[Words]:
+    """The words of the texts, some texts at a time."""
+    return [w for _, _, w in scan(pa.array(texts, pa.large_string()), NON_ALNUM, True, target)]
 
 
 def fit(texts: list[str], y: np.ndarray, turns: int = 4, seed: int = 1) -> Network:
     """Trains on texts with labels 0 and 1; with one class only the network learns to say that."""
     net, r = Network(seed=seed), np.random.default_rng(seed)
-    w = _words(texts)
+    parts = _parts(texts)
+    w = Words.joined(parts)
     start, n, row = windows(w.counts, w.first)
     if not len(row):
         return net
@@ -231,7 +232,7 @@ def fit(texts: list[str], y: np.ndarray, turns: int = 4, seed: int = 1) -> Netwo
                 own = mixed[k : k + 256]
                 count += 1
                 net.step(sub(chosen[own]), target[own], known, 0.01 if turn < turns - 2 else 0.003, moments, count)
-        guess, _ = net.window_scores(w)
+        guess = np.concatenate([net.window_scores(p)[0] for p in parts])
     # worst windows are far apart for the two classes; a line through them gives the text's score
     worst = np.full(len(y), -8.0)
     np.maximum.at(worst, row, guess)
