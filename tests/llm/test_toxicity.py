@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 
+from routeloom.llm._words import Words
 from routeloom.llm.toxicity import STRIDE, WINDOW, fit, score, train, windows
 
 
@@ -24,10 +25,10 @@ def test_gradient_learns_order():
             w[int(r.integers(0, 30))] = ["awful", "vile"][i % 2]
         texts.append(" ".join(w))
         y.append(int(i % 3 == 0))
-    from routeloom.llm.toxicity import _words
+    from routeloom.llm.toxicity import _parts
 
     net = fit(texts[:480], np.array(y[:480]))
-    p = net.score(_words(texts[480:]))
+    p = net.score(Words.joined(_parts(texts[480:])))
     assert ((p > 0.5) == np.array(y[480:])).mean() > 0.9
 
 
