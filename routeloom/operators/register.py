@@ -12,10 +12,16 @@ from routeloom.operators.graph import written
 
 
 def object_rows(objects: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """objects with path, parent and region filled from the hierarchy (object_id, parent_object_id, region_code, path), whose values win."""
-    h = hierarchy.select("object_id", *(F.col(c).alias(f"_{c}") for c in ("parent_object_id", "region_code", "path")))
+    """objects with what the hierarchy (object_id, parent_object_id, region_code, path[, is_active], one row for each) knows of them.
+
+    Parent, path and activity are the hierarchy's wherever it has the object, even where null
+    there; an object's own region wins over the hierarchy's.
+    """
+    known = [c for c in ("parent_object_id", "path", "is_active") if c in hierarchy.columns and c in objects.columns]
+    h = hierarchy.select("object_id", F.lit(True).alias("_met"), F.col("region_code").alias("_region_code"), *(F.col(c).alias(f"_{c}") for c in known))
     out = objects.join(h, "object_id", "left")
-    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in ("parent_object_id", "region_code", "path")}).drop("_parent_object_id", "_region_code", "_path")
+    made = {c: F.when(F.col("_met"), F.col(f"_{c}")).otherwise(F.col(c)) for c in known} | {"region_code": F.coalesce("region_code", "_region_code")}
+    return out.withColumns(made).select(*objects.columns)
 
 
 def in_regions(df: DataFrame, codes: list[str]) -> DataFrame:

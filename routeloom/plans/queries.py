@@ -376,10 +376,11 @@ def combined_confidence(v):
     return v("places").select("id", scalars.combined_confidence(F.col("confidence"), F.col("filled").cast("double")).alias("c"))
 
 
-@query("SELECT s.object_id, s.full_name, coalesce(h.region_code, s.region_code) AS region_code, h.path FROM streets s LEFT JOIN (SELECT s_suppkey AS object_id, CASE s_suppkey % 3 WHEN 0 THEN NULL ELSE '01' END AS region_code, s_name AS path FROM supplier) h ON h.object_id = s.object_id", ("streets",))
+@query("SELECT s.object_id, s.full_name, coalesce(CASE WHEN s.object_id % 4 > 0 THEN s.region_code END, h.region_code) AS region_code, h.path FROM streets s LEFT JOIN (SELECT s_suppkey AS object_id, CASE s_suppkey % 3 WHEN 0 THEN NULL ELSE '01' END AS region_code, s_name AS path FROM supplier) h ON h.object_id = s.object_id", ("streets",))
 def hierarchy_join(v):
     h = v("queries").select(F.col("query_id").alias("object_id"), F.lit(None).cast("long").alias("parent_object_id"), F.when(F.col("query_id") % 3 != 0, "01").alias("region_code"), F.col("text").alias("path"))
-    s = v("streets").withColumns({"parent_object_id": F.lit(None).cast("long"), "path": F.lit(None).cast("string")})
+    own = F.when(F.col("object_id") % 4 > 0, F.col("region_code"))
+    s = v("streets").withColumns({"parent_object_id": F.lit(None).cast("long"), "path": F.lit(None).cast("string"), "region_code": own})
     return register.object_rows(s, h).select("object_id", "full_name", "region_code", "path")
 
 
