@@ -55,6 +55,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return _f(1) / (_f(1) + np.exp(-x))
 
 
+def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values summed by their number in at, for the numbers below n."""
+    order = np.argsort(at, kind="stable")
+    own = at[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    out = np.zeros((n, values.shape[1]), _f)
+    out[own[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 class Network:
     def __init__(self, size: int = 12, hidden: int = 8, seed: int = 1):
         r = np.random.default_rng(seed)
@@ -68,14 +78,14 @@ class Network:
 
     def vectors(self, buckets: np.ndarray, tri: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         n = np.diff(bounds)
-        total = np.concatenate([np.zeros((1, self.size)), np.cumsum(self.p["tri"][tri], axis=0, dtype=np.float64)])
-        return self.p["words"][buckets] + ((total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(1, n)[:, None]).astype(_f)
+        total = np.add.reduceat(self.p["tri"][tri], bounds[:-1], axis=0)  # no word is empty
+        return self.p["words"][buckets] + total / n[:, None].astype(_f)
 
-    def forward(self, projected: dict[str, np.ndarray], at: np.ndarray, real: np.ndarray, keep: bool = False):
-        """Scores of windows: at (windows, places) are rows of the projected inputs, real marks places that hold a word."""
+    def forward(self, projected: dict[str, np.ndarray], at: np.ndarray, real: np.ndarray):
+        """Scores of windows, and all that lies on the way there: at (windows, places) are rows of the projected inputs, real marks places that hold a word."""
         n, t = at.shape
         h = self.hidden
-        states, kept = np.zeros((n, t, 2 * h), _f), {}
+        states, kept = np.empty((n, t, 2 * h), _f), {}
         for d in "fb":
             x, u, s = projected[d], self.p[f"U{d}"], np.zeros((n, h), _f)
             part = slice(0, h) if d == "f" else slice(h, 2 * h)
@@ -88,19 +98,51 @@ class Network:
                 q = v[:, 2 * h :]
                 c = np.tanh(i[:, 2 * h :] + r * q)
                 m = real[:, k : k + 1]
-                new = s + m * (1 - z) * (c - s)
-                if keep:
-                    steps.append((k, s, r, z, q, c, m))
-                s = new
+                steps.append((k, s, r, z, q, c, m))
+                s = s + m * (1 - z) * (c - s)
                 states[:, k, part] = s
             kept[d] = steps
-        e = np.tanh(states @ self.p["A"])
+        e = np.tanh((states.reshape(n * t, 2 * h) @ self.p["A"]).reshape(n, t, h))
         w = e @ self.p["a"] + np.where(real > 0, _f(0), _f(-1e9))
         w = np.exp(w - w.max(1, keepdims=True))
         w /= w.sum(1, keepdims=True)
-        pooled = np.einsum("nt,nth->nh", w, states)
-        out = pooled @ self.p["o"] + self.p["bias"][0]
-        return (out, (states, kept, e, w, pooled)) if keep else out
+        pooled = (w[:, None, :] @ states)[:, 0]
+        return pooled @ self.p["o"] + self.p["bias"][0], (states, kept, e, w, pooled)
+
+    def infer(self, inputs: dict[str, np.ndarray], at: np.ndarray, real: np.ndarray, room: dict) -> np.ndarray:
+        """What forward gives, and nothing of the way: places and features come before windows (inputs (features, words), at and real (places, windows)), so that every operation runs along the windows; room keeps the arrays for the next windows."""
+        t, n = at.shape
+        h, p = self.hidden, self.p
+        if room.get("n") != n:  # large arrays made anew for every operation cost more than the arithmetic
+            empty = lambda *shape: np.empty((*shape, n), _f)
+            room |= {"n": n, "states": empty(t, 2 * h), "i": empty(3 * h), "v": empty(3 * h), "z": empty(h), "e": empty(t, h), "zero": np.zeros((h, n), _f)}
+        states, i, v, one_z, e = (room[k] for k in ("states", "i", "v", "z", "e"))
+        rz, c = i[: 2 * h], v[2 * h :]
+        whole = bool(real.all())
+        for d in "fb":
+            x, u, s = inputs[d], np.ascontiguousarray(p[f"U{d}"].T), room["zero"]
+            part = slice(0, h) if d == "f" else slice(h, 2 * h)
+            for k in range(t) if d == "f" else range(t - 1, -1, -1):
+                x.take(at[k], axis=1, out=i, mode="clip")
+                np.matmul(u, s, out=v)
+                rz += v[: 2 * h]
+                np.negative(rz, out=rz)
+                np.exp(rz, out=rz)
+                rz += _f(1)
+                np.reciprocal(rz, out=rz)
+                c *= rz[:h]
+                c += i[2 * h :]
+                np.tanh(c, out=c)
+                c -= s
+                np.subtract(_f(1), rz[h:], out=one_z)
+                c *= one_z
+                if not whole:
+                    c *= real[k]
+                s = np.add(s, c, out=states[k, part])
+        np.matmul(np.ascontiguousarray(p["A"].T), states, out=e)
+        w = p["a"] @ np.tanh(e, out=e) + np.where(real > 0, _f(0), _f(-1e9))
+        w = np.exp(w - w.max(0))
+        return (w * (p["o"] @ states)).sum(0) / w.sum(0) + p["bias"][0]
 
     def project(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
         return {d: vectors @ self.p[f"W{d}"] + self.p[f"c{d}"] for d in "fb"}
@@ -111,7 +153,7 @@ class Network:
         h, p = self.hidden, self.p
         x = self.vectors(buckets, tri, bounds)
         projected = self.project(x)
-        out, (states, kept, e, w, pooled) = self.forward(projected, at, real, True)
+        out, (states, kept, e, w, pooled) = self.forward(projected, at, real)
         d_out = ((_sigmoid(out) - y) / len(y)).astype(_f)
         g = {"o": pooled.T @ d_out, "bias": np.array([d_out.sum()], _f)}
         d_pooled = d_out[:, None] * p["o"]
@@ -125,7 +167,7 @@ class Network:
         d_x = np.zeros_like(x)
         for d, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
             u = p[f"U{d}"]
-            d_u, d_i_all, d_s = np.zeros_like(u), np.zeros_like(projected[d]), np.zeros((len(y), h), _f)
+            d_u, d_is, d_s = np.zeros_like(u), np.zeros((*at.shape, 3 * h), _f), np.zeros((len(y), h), _f)
             for k, s, r, z, q, c, m in reversed(kept[d]):
                 d_s = d_s + d_states[:, k, part]
                 d_c = d_s * m * (1 - z) * (1 - c * c)
@@ -134,8 +176,9 @@ class Network:
                 d_q = d_c * r
                 d_i = np.concatenate([d_r, d_z, d_c], axis=1)
                 d_u += np.concatenate([s.T @ d_r, s.T @ d_z, s.T @ d_q], axis=1)
-                np.add.at(d_i_all, at[:, k], d_i)
+                d_is[:, k] = d_i
                 d_s = d_s * (1 - m * (1 - z)) + d_r @ u[:, :h].T + d_z @ u[:, h : 2 * h].T + d_q @ u[:, 2 * h :].T
+            d_i_all = _summed(at.ravel(), d_is.reshape(-1, 3 * h), len(x))
             g |= {f"U{d}": d_u, f"W{d}": x.T @ d_i_all, f"c{d}": d_i_all.sum(0)}
             d_x += d_i_all @ p[f"W{d}"].T
         n = np.maximum(1, np.diff(bounds))
@@ -147,25 +190,24 @@ class Network:
             p[k] -= (rate * (a / (1 - 0.9**turn)) / (np.sqrt(b / (1 - 0.99**turn)) + 1e-7)).astype(_f)
         for k, (own, grad) in rows.items():  # only the rows that the batch holds
             some, where = np.unique(own, return_inverse=True)
-            total = np.zeros((len(some), self.size), _f)
-            np.add.at(total, where, grad)
+            total = _summed(where, grad, len(some))
             b = moments.setdefault(k, np.zeros(len(p[k]), _f))
             b[some] += (total * total).mean(1)
             p[k][some] -= rate * 5 * total / (np.sqrt(b[some])[:, None] + _f(1e-6))
 
-    def window_scores(self, w: Words, batch: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    def window_scores(self, w: Words, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """(score, row) of every window of some texts."""
         start, n, row = windows(w.counts, w.first)
         if not len(row):
             return np.zeros(0, _f), row
         number, buckets, tri, bounds = word_inputs(w)
-        projected = self.project(self.vectors(buckets, tri, bounds))
-        place = np.arange(WINDOW)
-        out = []
+        inputs = {d: np.ascontiguousarray(x.T) for d, x in self.project(self.vectors(buckets, tri, bounds)).items()}
+        place = np.arange(WINDOW)[:, None]
+        out, room = [], {}
         for i in range(0, len(row), batch):
             s, m = start[i : i + batch], n[i : i + batch]
-            real = (place < m[:, None]).astype(_f)
-            out.append(self.forward(projected, number[np.minimum(s[:, None] + place, len(number) - 1)], real))
+            real = (place < m).astype(_f)
+            out.append(self.infer(inputs, number[np.minimum(s + place, len(number) - 1)], real, room))
         return np.concatenate(out), row
 
     def score(self, w: Words) -> np.ndarray:

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 
+from routeloom.llm import toxicity
 from routeloom.llm._words import Words
 from routeloom.llm.toxicity import STRIDE, WINDOW, fit, score, train, windows
 
@@ -48,3 +49,24 @@ def test_odd_rows(spark):
         rows = score(docs, train(docs, known)).collect()
         assert len(rows) == 6 and len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
     assert score(docs.limit(0), train(docs.limit(0), labels)).count() == 0
+
+
+def test_windows_score_alike_with_and_without_their_way():
+    r = np.random.default_rng(4)
+    net = toxicity.Network()
+    net.p["words"][:] = 0.1 * r.standard_normal(net.p["words"].shape)
+    x = r.standard_normal((30, net.size)).astype(np.float32)
+    for least in (1, 16):
+        at = r.integers(0, 30, (9, 16))
+        real = (np.arange(16) < r.integers(least, 17, 9)[:, None]).astype(np.float32)
+        p = net.project(x)
+        got = net.infer({d: np.ascontiguousarray(v.T) for d, v in p.items()}, np.ascontiguousarray(at.T), np.ascontiguousarray(real.T), {})
+        assert np.allclose(got, net.forward(p, at, real)[0], atol=1e-5)
+
+
+def test_sums_by_number():
+    r = np.random.default_rng(2)
+    at, values = r.integers(0, 7, 50), r.standard_normal((50, 3)).astype(np.float32)
+    want = np.zeros((8, 3), np.float32)
+    np.add.at(want, at, values)
+    assert np.allclose(toxicity._summed(at, values, 8), want, atol=1e-5)
