@@ -9,7 +9,9 @@ Copies of one word sequence are put together first. In a bucket, nobody meets ev
 most central text (the one whose sketches are the commonest, so rather an original than one
 of its edited copies) meets the others, candidates are verified by a banded alignment of
 the shingle sequences, and what is verified joins into classes. Buckets that still hold more
-than one class go on with the next leader, and so on; small rests meet pairwise.
+than one class go on with the next leader, and so on; small rests meet pairwise. The texts of
+large rests meet by an exact prefix filter: ordered from rare to common, two texts that are
+alike have a shingle in common so early that those of a shared template seldom count.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from routeloom.llm._words import SPACES, Words, mix, pieces
 _SALTS = mix(np.arange(1, 129, dtype=np.uint64), 11)
 _TIMES = mix(np.arange(1, 129, dtype=np.uint64), 12) | np.uint64(1)
 _MOST = np.uint64(2**64 - 1)
+#: Cells in which shingles are counted to put rare ones first; any order gives the same pairs.
+_CELLS = 1 << 20
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +161,85 @@ def _verify(k: int, least: float):
     return run
 
 
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (mix(h, 21) >> np.uint64(44)).astype(np.int64)
+
+
+def _count_cells(k: int):
+    def run(batches):
+        n = np.zeros(_CELLS, np.int64)
+        for b in batches:
+            for _, _, data, offsets in pieces(b.column("text")):
+                n += np.bincount(_cells(_labelled(*_shingles(Words(data, offsets, SPACES), k))), minlength=_CELLS)
+        some = np.flatnonzero(n)
+        for i in range(0, len(some), 10_000):
+            at = some[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+
+    return run
+
+
+def _prefixes(k: int, least: float, level: np.ndarray):
+    """Rows (rid, kind, token, at, size, early) of the shingles by which a text can meet one that is alike.
+
+    kind 0 are a text's different shingles, kind 1 all of them with their occurrence number;
+    of texts without repeats the second say nothing more. `at` is the place among the text's
+    `size` shingles from rare to common. The larger of two texts has the first one that they
+    share among its first size * (1 - least), the smaller one (early) among the first
+    size * (1 - least) / (1 + least).
+    """
+
+    def run(batches):
+        for b in batches:
+            rid = b.column("rid").to_numpy(zero_copy_only=False)
+            for i, j, data, offsets in pieces(b.column("text")):
+                h, r = _shingles(Words(data, offsets, SPACES), k)
+                x = _labelled(h, r)
+                once = x == mix(h)
+                n_once, n_all = (np.bincount(y, minlength=j - i) for y in (r[once], r))
+                again = (n_all > n_once)[r]
+                for kind, part in ((0, once), (1, again)):
+                    t, q = x[part], r[part]
+                    size = (n_once, n_all)[kind][q]
+                    order = np.lexsort((t, level[_cells(t)], q))
+                    t, q, size = t[order], q[order], size[order]
+                    at = np.arange(len(t)) - np.searchsorted(q, q)
+                    kept = at <= size * (1 - least) + 1e-6
+                    t, q, size, at = t[kept], q[kept], size[kept], at[kept]
+                    early = at <= size * ((1 - least) / (1 + least)) + 1e-6
+                    # a cell that counts one shingle holds no shared one
+                    some = np.flatnonzero(level[_cells(t)] > 0)
+                    for f in range(0, len(some), 50_000):
+                        s = some[f : f + 50_000]
+                        cols = [rid[i:j][q[s]], np.full(len(s), kind, np.int32), t[s].view(np.int64), at[s].astype(np.int32), size[s].astype(np.int32), early[s]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rid", "kind", "token", "at", "size", "early"])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, labels: DataFrame, k: int, least: float) -> DataFrame:
+    """All pairs (u, v) of the texts in labels (rid, label), of different labels, that can be alike by `least`."""
+    rest = texts.join(labels.select("rid"), "rid", "left_semi")
+    counted = rest.select("text").mapInArrow(_count_cells(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+    # a byte for each cell, whatever the size of the input
+    level = np.zeros(_CELLS, np.uint8)
+    for c in counted.select("cell", F.least(F.lit(255), F.ceil(8 * F.log2("n"))).cast("int").alias("level")).toLocalIterator():
+        level[c["cell"]] = c["level"]
+    tokens = rest.mapInArrow(_prefixes(k, least, level), "rid long, kind int, token long, at int, size int, early boolean")
+    tokens = materialise(tokens.join(labels, "rid"), "prefixes")
+    mixed = tokens.groupBy("kind", "token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("early").alias("e")).filter("a <> b AND e").select("kind", "token")
+    # members of one class never meet: they stand in a few rows
+    own = tokens.join(mixed, ["kind", "token"]).groupBy("kind", "token", "label", F.pmod(F.xxhash64("rid"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("rid", "at", "size", "early")).alias("m"))
+    own = materialise(own, "meetings")
+    early = F.filter("m", lambda x: x["early"])
+    short = own.select("kind", "token", F.col("label").alias("c"), early.alias("x")).filter("size(x) > 0")
+    met = short.join(own.select("kind", "token", "label", F.col("m").alias("y")), ["kind", "token"]).filter("c <> label")
+    met = met.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    met = met.filter("x.size < y.size OR x.size = y.size AND x.rid < y.rid")
+    met = met.filter(F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + F.lit(1e-6) >= (F.col("x.size") + F.col("y.size")) * F.lit(least / (1 + least)))
+    return met.select(F.least("x.rid", "y.rid").alias("u"), F.greatest("x.rid", "y.rid").alias("v"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (id, label), label the least id of its component, for the ids in links (u, v).
 
@@ -220,6 +303,9 @@ def classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches
         else:
             rest = buckets.join(mixed.filter(F.col("n") <= small).select("key"), "key").select("key", "rid", "label")
             pairs = rest.select("key", F.col("rid").alias("u"), F.col("label").alias("c")).join(rest.select("key", F.col("rid").alias("v"), "label"), "key").filter("u < v AND c <> label").select("u", "v")
+            large = materialise(buckets.join(mixed.filter(F.col("n") > small).select("key"), "key", "left_semi").select("rid", "label").distinct(), "large")
+            if not large.isEmpty():
+                pairs = pairs.unionByName(prefix_pairs(texts, large, shingle, similarity))
         pairs = pairs.distinct()
         found = verified(pairs)
         links = found if links is None else links.unionByName(found)

@@ -2,8 +2,9 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from routeloom.llm.near_dedup import aligned, near_duplicates
+from routeloom.llm.near_dedup import _sequence, aligned, near_duplicates, prefix_pairs, similar
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -92,3 +93,39 @@ def test_repeated_ids(spark):
 
 def test_documents(spark):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()])
+
+
+def test_families_under_a_template(spark):
+    rows = []
+    # the template's shingles decide most sketches, so most members share large buckets only
+    for share, own in ((164, 36), (170, 30)):
+        template = [f"t{share}x{i}" for i in range(share)]
+        for g in range(100):
+            family = [f"f{share}x{g}x{i}" for i in range(own)]
+            for c in range(2):
+                w = template + family
+                for i in (4, 10, 16, 22):
+                    w[share + i] = f"n{share}x{g}x{c}x{i}"
+                rows.append((len(rows), " ".join(w)))
+    # every word stands once in a text, so the order says nothing more than the sets
+    w = {d: t.split(" ") for d, t in rows}
+    sh = {d: {tuple(x[i : i + 5]) for i in range(len(x) - 4)} for d, x in w.items()}
+    links = [(u, v) for u in sh for v in sh if u < v and len(sh[u] & sh[v]) >= 0.8 * len(sh[u] | sh[v])]
+    first = {v: u for u, v in links}
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(links) == 200 and got == {d: first.get(d, d) for d in sh}
+
+
+def test_prefix_pairs(spark):
+    r = random.Random(8)
+    rows = []
+    for g in range(30):
+        base = r.choices("abcdef", k=r.randrange(3, 60))
+        for c in range(4):
+            own = [r.choice("abcdef") if r.random() < 0.03 else x for x in base] + r.choices("abcdef", k=r.randrange(3))
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "rid long, text string")
+    found = prefix_pairs(df, df.select("rid", F.col("rid").alias("label")), 2, 0.8).collect()
+    seqs = {d: _sequence(t, 2) for d, t in rows}
+    alike = {(u, v) for u in seqs for v in seqs if u < v and similar(seqs[u], seqs[v], 0.8)}
+    assert len(alike) > 50 and alike <= {tuple(x) for x in found}
