@@ -2,8 +2,8 @@
 
 Lines are normalised (letters and digits, A-Z lowered) and hashed; for each host the distinct
 texts that hold a line are counted, so that copies of one text count once. Lines of more texts
-than the limits allow are boilerplate there, and a document that has next to nothing beside
-boilerplate is rejected.
+than the limit allows are boilerplate there, however large the host is, and a document that has
+next to nothing beside boilerplate is rejected.
 """
 
 from __future__ import annotations
@@ -86,8 +86,9 @@ def assess(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs:
     A document fails the base rules with fewer than min_words words, or with over max_repeat
     per cent of its words in 5-word windows that occur twice in it. Beyond these, a line is
     boilerplate on its host (column source; null is a host too) if more than max_docs distinct
-    texts and more than max_share of the host's distinct texts hold it; a document with less
-    than min_left of its letter and digit words outside boilerplate (left_words) is rejected.
+    texts hold it, at every host size (max_share has no say any more and is taken for callers
+    that give it); a document with less than min_left of its letter and digit words outside
+    boilerplate (left_words) is rejected.
     text_hash is xxhash64 of the text, 0 for null. Null texts count as empty; empty ones fail. Rows with equal doc_id stay apart.
     """
     doc = docs.schema["doc_id"].dataType.simpleString()
@@ -96,9 +97,8 @@ def assess(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs:
     rows = materialise(given.mapInArrow(_measure, schema), "measures")
     texts = rows.groupBy("host", "text_hash").agg(F.first("plain").alias("plain"), F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
     texts = materialise(texts, "texts")
-    hosts = texts.groupBy("host").agg(F.count("*").alias("host_texts"))
     held = texts.select("host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "text_hash", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    common = held.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).join(hosts, "host").filter(F.col("n") > F.col("host_texts") * F.lit(max_share)).select("host", "line")
+    common = held.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).select("host", "line")
     lost = held.join(common, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("lost"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     left = F.col("plain") - F.coalesce("lost", F.lit(0))

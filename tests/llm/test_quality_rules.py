@@ -63,3 +63,11 @@ def test_small(spark):
 def test_documents(spark):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     check(spark, rows, max_docs=50, max_share=0.05, min_left=0.1)
+
+
+def test_large_host(spark):
+    # 60 of 2,000 texts hold the notice: over the limit of documents, though 3% of the host
+    notice = "please accept all our cookies before you go on reading this page"
+    rows = [(i, f"{notice}\nn{i}" if i < 60 else f"text {i} " + " ".join(f"w{i}x{j}" for j in range(12)), "hot") for i in range(2000)]
+    out = assess(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.doc_id for r in out.filter("NOT kept").collect()} == set(range(60))
