@@ -17,7 +17,7 @@ from routeloom.llm.decontaminate import decontaminate
 from routeloom.llm.near_dedup import without_near_duplicates
 from routeloom.llm.packing import pack
 from routeloom.llm.pii import find_personal_data, mask
-from routeloom.llm.quality_rules import assess
+from routeloom.llm.quality_rules import without_boilerplate
 
 _REST = "routeloom_rest"
 #: Tables that the last stage rests on: once the next one starts, its rows are written and these can go.
@@ -60,9 +60,12 @@ def _unfolded(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go (operator 5)."""
-    rejected = assess(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("r"), F.col("text_hash").alias("h"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("r")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("h")), "left_anti")
+    """Documents that the rules reject go, and boilerplate lines go from the others (operator 5)."""
+    changed = without_boilerplate(docs.withColumn(_REST, F.col("text")))
+    if "n_chars" in docs.columns:
+        # only texts that lost lines are counted anew
+        changed = changed.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col(_REST)), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return changed.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,13 +58,18 @@ def measures(data: np.ndarray, offsets: np.ndarray, span: int = 5) -> tuple[list
     return out, words, lines
 
 
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, Words, np.ndarray, np.ndarray]:
+    """Lines, letter and digit words, and the first word and the number of words of each line."""
+    lines, plain = Words(data, offsets, (0x0A,)), Words(data, offsets, NON_ALNUM, True)
+    first = np.searchsorted(plain.starts, lines.starts)
+    return lines, plain, first, np.searchsorted(plain.starts, lines.ends) - first
+
+
 def _measure(batches):
     for b in batches:
         for i, j, data, offsets in pieces(b.column("text")):
-            out, _, lines = measures(data, offsets)
-            plain = Words(data, offsets, NON_ALNUM, True)
-            first = np.searchsorted(plain.starts, lines.starts)
-            n = np.searchsorted(plain.starts, lines.ends) - first
+            out = measures(data, offsets)[0]
+            lines, plain, first, n = _lines(data, offsets)
             some = np.flatnonzero(n)
             rows, h = lines.rows()[some], spans(plain.hashes, first[some], n[some], 4).view(np.int64)
             # one entry for each different line of a row, with the words of all its copies
@@ -80,17 +85,8 @@ def _measure(batches):
             yield pa.RecordBatch.from_arrays([*keep, *(pa.array(x, pa.int64()) for x in out), pa.array(plain.counts, pa.int64()), *lists], ["doc_id", "host", "text_hash", *MEASURES, "plain", "lines", "line_words"])
 
 
-def assess(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs: int = 50, max_share: float = 0.05, min_left: float = 0.1) -> DataFrame:
-    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, left_words, text_hash) for each row of docs.
-
-    A document fails the base rules with fewer than min_words words, or with over max_repeat
-    per cent of its words in 5-word windows that occur twice in it. Beyond these, a line is
-    boilerplate on its host (column source; null is a host too) if more than max_docs distinct
-    texts hold it, at every host size (max_share has no say any more and is taken for callers
-    that give it); a document with less than min_left of its letter and digit words outside
-    boilerplate (left_words) is rejected.
-    text_hash is xxhash64 of the text, 0 for null. Null texts count as empty; empty ones fail. Rows with equal doc_id stay apart.
-    """
+def _assessed(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs: int = 50, max_share: float = 0.05, min_left: float = 0.1) -> DataFrame:
+    """assess() with the columns host and lost_lines, the hashes of the text's boilerplate lines (null: none)."""
     doc = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
     schema = f"doc_id {doc}, host string, text_hash long, " + ", ".join(f"{m} long" for m in MEASURES) + ", plain long, lines array<long>, line_words array<int>"
@@ -99,9 +95,62 @@ def assess(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs:
     texts = materialise(texts, "texts")
     held = texts.select("host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "text_hash", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     common = held.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).select("host", "line")
-    lost = held.join(common, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("lost"))
+    lost = held.join(common, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("lost_lines"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     left = F.col("plain") - F.coalesce("lost", F.lit(0))
     # lost holds only texts with boilerplate; documents keep their rows whatever it says
     out = rows.drop("lines", "line_words").join(lost, ["host", "text_hash"], "left")
-    return out.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & (left >= F.col("plain") * F.lit(min_left))).alias("kept"), left.alias("left_words"), "text_hash")
+    return out.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & (left >= F.col("plain") * F.lit(min_left))).alias("kept"), left.alias("left_words"), "text_hash", "host", "lost_lines")
+
+
+def assess(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs: int = 50, max_share: float = 0.05, min_left: float = 0.1) -> DataFrame:
+    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, left_words, text_hash) for each row of docs.
+
+    A document fails the base rules with fewer than min_words words, or with over max_repeat
+    per cent of its words in 5-word windows that occur twice in it. Beyond these, a line is
+    boilerplate on its host (column source; null is a host too) if more than max_docs distinct
+    texts hold it, at every host size (max_share has no say any more and is taken for callers
+    that give it); a document with less than min_left of its letter and digit words outside
+    boilerplate (left_words) is rejected.
+    text_hash is xxhash64 of the text, 0 for null. Null texts count as empty; empty ones fail. Rows with equal doc_id stay apart.
+    """
+    return _assessed(docs, min_words, max_repeat, max_docs, max_share, min_left).drop("host", "lost_lines")
+
+
+def _without(text: pa.Array, lost: pa.Array) -> pa.Array:
+    """Texts without the lines whose hashes are in lost; null where either is null."""
+    out = []
+    for t, gone in zip(text, lost, strict=True):
+        if not t.is_valid or not gone.is_valid:
+            out.append(None)
+            continue
+        data = np.frombuffer(t.as_py().encode(), np.uint8)
+        lines, plain, first, n = _lines(data, np.array([0, len(data)]))
+        some = np.flatnonzero(n)
+        h = spans(plain.hashes, first[some], n[some], 4).view(np.int64)
+        keep = np.ones(len(data), bool)
+        for at in some[np.isin(h, gone.values.to_numpy())]:
+            # a line goes with the end of line after it, the last one with that before it
+            begin, end = int(lines.starts[at]), int(lines.ends[at])
+            keep[begin : end + 1] = False
+            if end == len(data):
+                before = np.flatnonzero(keep[:begin])
+                if len(before) and data[before[-1]] == 0x0A:
+                    keep[before[-1]] = False
+        out.append(data[keep].tobytes().decode())
+    return pa.array(out, pa.string())
+
+
+def without_boilerplate(docs: DataFrame, **settings) -> DataFrame:
+    """docs with all their columns, without the rows that assess() rejects and, in those kept, without boilerplate lines.
+
+    Texts without such lines stay to the letter. docs need the columns that assess() needs.
+    """
+    verdicts = _assessed(docs, **settings).groupBy("host", "text_hash").agg(F.bool_or("kept").alias("kept"), F.first("lost_lines").alias("lost_lines"))
+    verdicts = verdicts.filter("NOT kept OR lost_lines IS NOT NULL").select(F.struct("host", "text_hash").alias("routeloom_key"), F.struct("kept", "lost_lines").alias("routeloom_verdict"))
+    host = F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host")
+    both = docs.withColumn("routeloom_key", F.struct(host, F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"))).join(verdicts, "routeloom_key", "left")
+    both = both.filter("routeloom_verdict IS NULL OR routeloom_verdict.kept")
+    lost = F.col("routeloom_verdict")["lost_lines"]
+    cut = F.arrow_udf(_without, "string")(F.when(lost.isNotNull(), F.col("text")), lost)
+    return both.select(*(F.coalesce(cut, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))

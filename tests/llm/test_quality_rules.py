@@ -1,7 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
-from routeloom.llm.quality_rules import assess
+from routeloom.llm.quality_rules import assess, without_boilerplate
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -71,3 +71,18 @@ def test_large_host(spark):
     rows = [(i, f"{notice}\nn{i}" if i < 60 else f"text {i} " + " ".join(f"w{i}x{j}" for j in range(12)), "hot") for i in range(2000)]
     out = assess(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert {r.doc_id for r in out.filter("NOT kept").collect()} == set(range(60))
+
+
+def test_without_boilerplate(spark):
+    from corpus_pipeline import quality_rules
+
+    own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(60)]
+    rows = [(i, f"é | Menu of all pages\n{own[i]}\n\nMENU of (all) pages", "a", 7) for i in range(60)]
+    rows += [(100, f"\n {own[0]}\n", "a", 7), (101, f"menu of all pages\n{own[1]}", "b", 7), (102, f"menu of all pages!\n{own[2]}\nend é\n", "a", 7), (103, "no", "a", 7)]
+    rows = [(d, t.replace("é | ", ""), s, n) for d, t, s, n in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    right = {i: f"{own[i]}\n" for i in range(60)} | {100: rows[60][1], 101: rows[61][1], 102: f"{own[2]}\nend é\n"}
+    assert {r.doc_id: r.text for r in without_boilerplate(df).collect()} == right
+    out = quality_rules(spark, df, "").collect()
+    assert {r.doc_id: r.text for r in out} == right
+    assert all(r.n_chars == (7 if r.doc_id in (100, 101) else len(r.text)) for r in out)
