@@ -26,8 +26,10 @@ FORMS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What can be an identifier: a stretch without white space that holds a digit or an @.
-CANDIDATE = r"(?<!\S)(?=\S{5})[^\s0-9@]{0,24}+[0-9@]\S{0,79}+"
+#: What can be an identifier: groups of digits joined by blanks, brackets and hyphens, or a stretch without white space
+#: that holds a digit, an @ or an (at), to its end. What is scanned is matched, so no text takes more than linear time.
+_GROUP = r"[0-9][0-9()./-]*+(?=[\s,;:!?\"'>\]}|]|$)"
+CANDIDATE = rf"(?<!\S)(?:[+(]*+{_GROUP}(?:\x20[(]?{_GROUP})++|(?:[^\s0-9@(\[{{]++|[(\[{{](?![aA][tT][)\]}}]))*+(?:[0-9@]|[(\[{{][aA][tT][)\]}}])\S*+)"
 #: Something that a form's text must hold, looked for first.
 _NEEDS = {"email": "@", "phone": "+", "ip": ".", "card": "", "other": ""}
 

@@ -62,3 +62,12 @@ def test_mask(spark):
     rows, spans = find_personal_data(df)
     assert {r.doc_id: r.text for r in mask(rows, spans).collect()} == {1: "é [EMAIL], [IP]!", 2: None, 3: "[CARD]", 4: "clean\n text"}
     assert lists(spark, []) == []
+
+
+def test_unseen_identifiers(spark):
+    rows = [(i, f"words please call me at: +44 20 7946 {1000 + i} now") for i in range(40)] + [(100 + i, f"words here write to: user{i}@mail.example now") for i in range(40)]
+    key = "k" * 40 + "7" * 80
+    rows += [(200, "so call me at: 020 7946 0958 now"), (201, "so call me at: (555) 123-4567, now"), (202, "so write to: jo.smith(at)mail.example now"), (203, "so write to: alexander.hohenstaufen(at)mail7 now"), (204, f"so write to: {key} now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in mask(*find_personal_data(df)).collect()}
+    assert [got[d] for d in range(200, 205)] == ["so call me at: [PHONE] now", "so call me at: ([PHONE], now", "so write to: [EMAIL] now", "so write to: [EMAIL] now", "so write to: [EMAIL] now"]
