@@ -4,8 +4,8 @@ Four kinds are found by their form. Their occurrences are seeds: the two words b
 a lexical pattern, and patterns and instances (identifier-like strings, seeds and others)
 make a bipartite graph. Scores go back and forth over it: a pattern is as good as the
 share of its instances that are believed to be of its kind, an instance is believed as far as
-some good pattern vouches for it. What a pattern with enough seeds and a high score stands
-before is a span of that kind, though its form says nothing.
+some good pattern vouches for it. What a pattern with enough believed instances and a high score
+stands before is a span of that kind, though its form says nothing.
 
 All steps are DataFrame operations on built-in functions.
 """
@@ -80,15 +80,19 @@ def find_forms(rows: DataFrame) -> DataFrame:
 
 
 def learn(seen: DataFrame, turns: int, least_seeds: int, least_score: float) -> DataFrame:
-    """Rows (context, kind) of the patterns to trust, from occurrences (context, instance, kind; kind null: not a seed)."""
+    """Rows (context, kind) of the patterns to trust, from occurrences (context, instance, kind; kind null: not a seed).
+
+    A pattern needs least_seeds seeds in the first turn, later as much belief in its different
+    instances, so that what one pattern discovers can teach the next.
+    """
     edges = materialise(seen.filter("context <> ''").groupBy("context", "instance").agg(F.max("kind").alias("kind")), "edges")
     sizes = edges.groupBy("context").agg(F.count("*").alias("n"))
     belief = edges.filter("kind IS NOT NULL").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
     scores = None
-    for _ in range(turns):
+    for turn in range(turns):
         known = edges.select("context", "instance", F.col("kind").alias("seed")).join(belief, "instance")
         scores = known.groupBy("context", "kind").agg(F.sum("belief").alias("s"), F.count_if(F.col("seed") == F.col("kind")).alias("seeds")).join(sizes, "context")
-        scores = scores.select("context", "kind", "seeds", (F.col("s") / (F.col("n") + 1)).alias("score")).filter(F.col("seeds") >= least_seeds)
+        scores = scores.select("context", "kind", "seeds", "s", (F.col("s") / (F.col("n") + 1)).alias("score")).filter(F.col("seeds" if turn == 0 else "s") >= least_seeds)
         scores = materialise(scores, "scores")
         vouched = edges.filter("kind IS NULL").select("context", "instance").join(scores.filter("score >= 0.5"), "context")
         vouched = vouched.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("belief"))

@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from routeloom.llm.pii import find_personal_data, mask, summarise
+from routeloom.llm.pii import find_personal_data, learn, mask, summarise
 
 FORM = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -71,3 +71,11 @@ def test_unseen_identifiers(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in mask(*find_personal_data(df)).collect()}
     assert [got[d] for d in range(200, 205)] == ["so call me at: [PHONE] now", "so call me at: ([PHONE], now", "so write to: [EMAIL] now", "so write to: [EMAIL] now", "so write to: [EMAIL] now"]
+
+
+def test_patterns_grow(spark):
+    rows = [("write to:", f"u{i}@x.io", "email") for i in range(60)]
+    # no form, and known by the first pattern only; they teach the second one, which gives another away
+    rows += [(c, f"u{i}(at)x", None) for c in ("write to:", "reach them:") for i in range(10)] + [("reach them:", "new7", None), ("see no:", "u1(at)x", None), ("see no:", "n1", None)]
+    seen = spark.createDataFrame(rows, "context string, instance string, kind string")
+    assert {tuple(r) for r in learn(seen, 3, 5, 0.8).collect()} == {("write to:", "email"), ("reach them:", "email")}
