@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeloom.llm._common import materialise, tokenizer_path, with_row_id
-from routeloom.llm._tokens import encoder, slices
+from routeloom.llm._tokens import binary, encoded
 
 #: Rows of a salted group, and the most groups that there can be besides one for each length.
 GROUP, GROUPS = 128, 200_000
@@ -116,24 +116,17 @@ def _places(bins: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarr
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches):
-        e = encoder(path)
-        for b in slices(batches):
-            at, piece, start, length, ids = [], [], [], [], []
-            for i, own in enumerate(e.encode_all(b.column("text").to_pylist())):
-                own = np.append(own, end_id).astype("<u4")
-                for k, s in enumerate(range(0, len(own), capacity)):
-                    part = own[s : s + capacity]
-                    at.append(i)
-                    piece.append(k)
-                    start.append(s)
-                    length.append(len(part))
-                    ids.append(part.tobytes())
-            at = pa.array(at, pa.int64())
+        for b, ids, n in encoded(batches, path, end_id):
+            each = -(-n // capacity)
+            at = np.repeat(np.arange(len(n)), each)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+            start = piece * capacity
+            length = np.minimum(capacity, n[at] - start)
+            rows = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(at), b.column("rid").take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+                [b.column("doc_id").take(rows), b.column("rid").take(rows), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), binary(ids.astype("<u4"), length)],
                 ["doc_id", "rid", "piece", "start", "length", "ids"],
             )
-        e.rest()
 
     return run
 

@@ -4,8 +4,8 @@ A table of frequencies, scaled to 2**SCALE and shared by all blocks, comes from
 every document. Documents, in ascending order of doc_id, fill blocks of about block_tokens
 ids; a block holds whole documents and can be decoded by itself. Within a block the ids are
 dealt over `lanes` interleaved coder states, and every `every` rows of lanes a checkpoint
-holds the states and the place in the stream, so that parts of a block can be decoded
-alone too. Checksums cover the payload and the decoded ids.
+holds the states, the place in the stream and a checksum of the ids up to the next one, so
+that parts of a block can be decoded alone too. Another checksum covers the payload.
 
 On storage, the files are two Parquet datasets, which every Spark store can hold: `table`
 (id, frequency) and `blocks` (first id's place, the documents' ids and lengths, payload).
@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.llm._common import materialise, tokenizer_path
-from routeloom.llm._tokens import encoder, slices
+from routeloom.llm._tokens import binary, encoded
 
 SCALE = 20
 _LOW = np.uint64(1 << 31)
 _32, _SCALE, _MASK = np.uint64(32), np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
-_HEAD = "<4sIIIIII"  # magic, ids, lanes, rows between checkpoints, words, checksum of the ids, of the rest
-_MAGIC = b"RLa1"
+_HEAD = "<4sIIIII"  # magic, ids, lanes, rows between checkpoints, words, checksum of the rest
+_MARK = "<II"  # place in the stream, checksum of the ids up to the next checkpoint; states follow
+_MAGIC = b"RLa2"
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -78,27 +79,28 @@ class Coder:
             if t % every == 0:
                 marks.append((words, x.copy()))
         stream = np.concatenate(out[::-1]).tobytes() if out else b""
-        body = b"".join(struct.pack("<I", words - at) + states.astype("<u8").tobytes() for at, states in reversed(marks)) + stream
-        return struct.pack(_HEAD, _MAGIC, n, lanes, every, words, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+        raw, each = memoryview(ids.astype("<u4").tobytes()), 4 * every * lanes
+        body = b"".join(struct.pack(_MARK, words - at, zlib.crc32(raw[k * each : (k + 1) * each])) + states.astype("<u8").tobytes() for k, (at, states) in enumerate(reversed(marks))) + stream
+        return struct.pack(_HEAD, _MAGIC, n, lanes, every, words, zlib.crc32(body)) + body
 
     def decode(self, payload: bytes, first_mark: int = 0, end_mark: int | None = None) -> np.ndarray:
         """The ids from one checkpoint to another; all of them unless told."""
         size = struct.calcsize(_HEAD)
-        magic, n, lanes, every, words, ids_sum, body_sum = struct.unpack(_HEAD, payload[:size])
+        magic, n, lanes, every, words, body_sum = struct.unpack(_HEAD, payload[:size])
         body = memoryview(payload)[size:]
         if magic != _MAGIC or zlib.crc32(body) != body_sum:
             raise ValueError("a block is damaged")
         rows = -(-n // lanes)
         marks = -(-rows // every)
-        each = 4 + 8 * lanes
+        head = struct.calcsize(_MARK)
+        each = head + 8 * lanes
         stream = np.frombuffer(body, "<u4", words, marks * each)
-        whole = first_mark == 0 and end_mark is None
         end_mark = marks if end_mark is None else min(end_mark, marks)
         t0, t1 = first_mark * every, min(rows, end_mark * every)
         if t0 >= t1:
             return np.zeros(0, np.uint32)
-        at = struct.unpack_from("<I", body, first_mark * each)[0]
-        x = np.frombuffer(body, "<u8", lanes, first_mark * each + 4).astype(np.uint64)
+        at = struct.unpack_from(_MARK, body, first_mark * each)[0]
+        x = np.frombuffer(body, "<u8", lanes, first_mark * each + head).astype(np.uint64)
         out = np.empty((t1 - t0, lanes), np.uint32)
         for t in range(t1 - t0):
             slot = x & _MASK
@@ -111,10 +113,17 @@ class Coder:
                 x[low] = (x[low] << _32) | stream[at : at + k]
                 at += k
         ids = out.reshape(-1)[: n - t0 * lanes]
-        if whole and zlib.crc32(ids.astype("<u4").tobytes()) != ids_sum:
-            raise ValueError("a block's ids don't match their checksum")
+        raw, step = memoryview(ids.astype("<u4").tobytes()), 4 * every * lanes
+        for k in range(first_mark, end_mark):
+            if zlib.crc32(raw[(k - first_mark) * step : (k - first_mark + 1) * step]) != struct.unpack_from(_MARK, body, k * each)[1]:
+                raise ValueError("a block's ids don't match their checksum")
         return ids
 
+    def section(self, payload: bytes) -> int:
+        """How many ids lie between two checkpoints of a block."""
+        _, _, lanes, every, _, _ = struct.unpack(_HEAD, payload[: struct.calcsize(_HEAD)])
+        return lanes * every
+
 
 _TOKENS = ["doc_id", "part", "start", "n", "ids", "counts"]
 
@@ -123,17 +132,13 @@ def _tokenise(path: str, end_id: int):
     """A row for each document, and a last one with the partition's counts of every id."""
 
     def run(batches):
-        e, part, start = encoder(path), TaskContext.get().partitionId(), 0
+        part, start, kind = TaskContext.get().partitionId(), 0, None
         counts = np.zeros(1 << 16, np.int64)
-        for b in slices(batches):
-            ids = [np.append(x, np.uint16(end_id)).astype("<u2") for x in e.encode_all(b.column("text").to_pylist())]
-            n = np.array([len(x) for x in ids], np.int64)
-            for k in range(0, len(ids), 64):
-                counts += np.bincount(np.concatenate(ids[k : k + 64]), minlength=1 << 16)
+        for b, ids, n in encoded(batches, path, end_id):
+            counts += np.bincount(ids, minlength=1 << 16)
             ends = start + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(ends - n), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(n), pa.list_(pa.int64()))], _TOKENS)
-            start, kind = int(ends[-1]) if len(n) else start, b.column("doc_id").type
-        e.rest()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(ends - n), pa.array(n), binary(ids.astype("<u2"), n), pa.nulls(len(n), pa.list_(pa.int64()))], _TOKENS)
+            start, kind = int(ends[-1]), b.column("doc_id").type
         if start:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([part]), pa.array([0]), pa.array([start]), pa.nulls(1, pa.binary()), pa.array([counts], pa.list_(pa.int64()))], _TOKENS)
 
@@ -185,15 +190,17 @@ def _encode(box, doc_type: pa.DataType, block_tokens: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, block_tokens: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, block_tokens: int = 1 << 20, part_bytes: int = 1 << 26) -> None:
     """Writes the ids of every text (null counts as empty), each followed by end_id, to path.
 
     Documents are in ascending order of doc_id, null first, equal ones in the order of their
-    texts. A document over block_tokens has a block of its own.
+    texts. A document over block_tokens has a block of its own. Texts are dealt over so many tasks
+    that one has about part_bytes. Other columns, whatever their names, aren't looked at.
     """
     spark = docs.sparkSession
     doc = docs.schema["doc_id"].dataType.simpleString()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     # blocks and starts rest on the order within partitions: both keys decide it, so a task run again gives the same
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     tokens = materialise(ordered.mapInArrow(_tokenise(tokenizer_path(tokenizer), end_id), f"doc_id {doc}, part long, start long, n long, ids binary, counts array<long>"), "tokens")
@@ -209,25 +216,41 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     tokens.mapInArrow(_encode(box, kind, block_tokens), f"start long, doc_ids array<{doc}>, lengths array<long>, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
-def _decode(box):
+def _decode(box, first: int | None, last: int | None):
     def run(batches):
         coder = Coder(box.value)
         for b in batches:
             for k in range(b.num_rows):
                 start, lengths, payload = b.column("start")[k].as_py(), b.column("lengths")[k].values.to_numpy(), b.column("payload")[k].as_py()
-                ids = coder.decode(payload).astype("<u4")
                 ends = np.cumsum(lengths)
-                own = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[k].values, pa.array(start + ends - lengths), pa.array(lengths), pa.array(own, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                i = 0 if first is None else int(np.searchsorted(ends, first - start, "right"))
+                j = len(ends) if last is None else int(np.searchsorted(ends - lengths, last - start, "left"))
+                if i >= j:
+                    continue
+                # from the checkpoint before the first document asked for to that after the last one
+                each = coder.section(payload)
+                mark = int(ends[i] - lengths[i]) // each
+                ids = coder.decode(payload, mark, -(-int(ends[j - 1]) // each)).astype("<u4")
+                lengths, ends = lengths[i:j], ends[i:j]
+                own = ids[int(ends[0] - lengths[0]) - mark * each : int(ends[-1]) - mark * each]
+                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[k].values.slice(i, j - i), pa.array(start + ends - lengths), pa.array(lengths), binary(own, lengths)], ["doc_id", "start", "n_tokens", "ids"])
 
     return run
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids), one for each document; ids are little-endian unsigned 32-bit numbers."""
+def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids), one for each document; ids are little-endian unsigned 32-bit numbers.
+
+    With first and last, only documents that have an id at one of the places first to last - 1
+    of all ids; of their blocks, only what lies between the checkpoints around them is decoded.
+    """
     frequencies = np.zeros(1 << 16, np.uint64)
     for i, f in spark.read.parquet(f"{path}/table").collect():  # at most 2**16 rows
         frequencies[i] = f
     blocks = spark.read.parquet(f"{path}/blocks")
     doc = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    return blocks.mapInArrow(_decode(spark.sparkContext.broadcast(frequencies)), f"doc_id {doc}, start long, n_tokens long, ids binary")
+    if last is not None:
+        blocks = blocks.filter(F.col("start") < last)
+    if first is not None:
+        blocks = blocks.filter(F.col("start") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x) > first)
+    return blocks.mapInArrow(_decode(spark.sparkContext.broadcast(frequencies), first, last), f"doc_id {doc}, start long, n_tokens long, ids binary")

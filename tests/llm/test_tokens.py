@@ -13,6 +13,8 @@ PATH = tokenizer_path("word_bpe_49k.json")
 ODD = [
     "", " ", "\n\n", "It's   THE end.\tI'll see;they'd go...", "Ünïcode ÉÀ ñandú ΣΑΣ İstanbul ǅ ẞ ﬁ", "a<|endoftext|>b <|startoftext|>", "é ́a x̸",
     "12,345.67 #$%& word&&& THE!! don't''s", " nbsp em　x", "日本語 テキスト 한국어 한", "🙂👍🏽 a\x00b", "'s 's' ''ll", "x" * 5000, "| | |",
+    "a<|EndOfText|>B", "<|ENDOFTEXT|> <|StartOfText|>", "T<", "|x", "ALİ, VELİ.", "don't DON'T I'LL we're 'ssss ''s '' 'v 've 'reX a's1 1's l'École x'll9 'S!", "a×b ÷ À× Þ.,!",
+    "a\x1cb\x1fc\x85d", " \x01 a\x01b", "</w> x</w>y", "'r e 'v\ne '", "≮ a≠b é́.",
 ]
 
 
@@ -29,11 +31,25 @@ def whole(text, end):
 
 
 def test_encoder_equals_the_tokenizer(docs):
-    e = Encoder(PATH, limit=500)
+    e = Encoder(PATH, limit=500, window=300)
     for r in docs.collect():
         assert [*e.encode(r.text), 0] == whole(r.text, 0).tolist(), r.text
 
 
+def test_letters_before_signs_and_mixed_rows():
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    texts = [chr(c) + s for c in [*range(0x530), *range(0x900, 0xA40), *range(0x1E00, 0x2100)] for s in ("!", " !", "x.")]
+    texts += ["".join(r.choice("abéÀß'sStTlLrReEvVmMdD 1!?<|>\n\t×İ\u0301 日'") for _ in range(r.randint(1, 60))) for _ in range(5000)]
+    raw = [t.encode() for t in texts]
+    for window in (3000, 1 << 20):
+        ids, n = Encoder(PATH, limit=2000, window=window).encode_bytes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        want = [x.ids for x in Tokenizer.from_file(PATH).encode_batch_fast(texts, add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+
+
 def test_plan_places_everything_and_wastes_little():
     r = random.Random(1)
     for capacity in (10, 64, 2048):
@@ -66,7 +82,7 @@ def test_pack(spark, docs):
                 assert o == at
                 at += n
             assert at <= capacity
-    twice = pack(spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")).collect()
+    twice = pack(spark.createDataFrame([(1, "a", "x", 1), (1, "a", "y", 2), (None, None, None, None)], "doc_id long, text string, ids string, rid int")).collect()
     assert len(twice) == 3 and {r.sequence_id for r in twice} == {0}
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -82,6 +98,9 @@ def test_coder_round_trip():
             assert (c.decode(p, 3, 5) == ids[3 * 8 * 64 : 5 * 8 * 64]).all() and len(p) < 2 * n
             with pytest.raises(ValueError):
                 c.decode(p[:-1] + bytes([p[-1] ^ 1]))
+            wrong = Coder(scaled(np.bincount(ids[::-1][: n // 2], minlength=1 << 16) + 1))
+            with pytest.raises(ValueError):
+                wrong.decode(p, 3, 5)
 
 
 def test_files(spark, docs, tmp_path):
@@ -92,7 +111,9 @@ def test_files(spark, docs, tmp_path):
         ids = whole(d.text, 2)
         assert (r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) == (d.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    odd = spark.createDataFrame([(2, "b"), (2, "a"), (None, None)], "doc_id long, text string")
+    some = read_tokens(spark, f"file://{tmp_path}/t", at // 3, at // 2).orderBy("doc_id").collect()
+    assert some == [r for r in rows if r.start < at // 2 and r.start + r.n_tokens > at // 3] and len(some) > 2
+    odd = spark.createDataFrame([(2, "b", 0), (2, "a", 1), (None, None, 2)], "doc_id long, text string, start int")
     write_tokens(odd, f"file://{tmp_path}/u")
     assert [(r.doc_id, r.start) for r in read_tokens(spark, f"file://{tmp_path}/u").orderBy("start").collect()] == [(None, 0), (2, 1), (2, 3)]
     write_tokens(odd.limit(0), f"file://{tmp_path}/v")
