@@ -56,6 +56,18 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def meet(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "inner", bundles: int = 128) -> DataFrame:
+    """rows joined with a table that has each key once at most, whatever share of the rows has one key.
+
+    Rows of a key travel in bundles, dealt by a hash of the column `by`, and at most `bundles`
+    of them meet the key in one task. how is inner or left; a null key meets nothing.
+    """
+    rest = [c for c in rows.columns if c not in on]
+    packed = rows.groupBy(*on, F.pmod(F.xxhash64(by), F.lit(bundles)).alias("_bundle")).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    both = packed.join(table, on, how).drop("_bundle")
+    return both.withColumn("_rows", F.explode("_rows")).select(*on, *(F.col("_rows")[c].alias(c) for c in rest), *(c for c in table.columns if c not in on))
+
+
 def with_row_id(df: DataFrame, keep: list[str]) -> DataFrame:
     """Adds the long column rid, which names a row, beside doc_id and keep.
 

@@ -8,7 +8,7 @@ they share in the same order. Texts with a sketch in common meet in a bucket.
 Copies of one word sequence are put together first. In a bucket, nobody meets everybody: the
 most central text (the one whose sketches are the commonest, so rather an original than one
 of its edited copies) meets the others, candidates are verified by a banded alignment of
-the shingle sequences, and what is verified joins into classes. Buckets that still hold more
+the shingle sequences and by nothing else, and what is verified joins into classes. Buckets that still hold more
 than one class go on with the next leader, and so on; small rests meet pairwise. The texts of
 large rests meet by an exact prefix filter: ordered from rare to common, two texts that are
 alike have a shingle in common so early that those of a shared template seldom count.
@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import materialise, with_row_id
+from routeloom.llm._common import materialise, meet, with_row_id
 from routeloom.llm._words import SPACES, Words, mix, pieces
 
 _SALTS = mix(np.arange(1, 129, dtype=np.uint64), 11)
@@ -29,6 +29,8 @@ _TIMES = mix(np.arange(1, 129, dtype=np.uint64), 12) | np.uint64(1)
 _MOST = np.uint64(2**64 - 1)
 #: Cells in which shingles are counted to put rare ones first; any order gives the same pairs.
 _CELLS = 1 << 20
+#: Rows of a bucket that are dealt together.
+_DEALT = 1000
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,17 +125,16 @@ def aligned(a: list[int], b: list[int], most: int) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two shingle sequences are alike: matched in order, or as sets, by `least` of their union."""
+    """Whether the best alignment of two shingle sequences matches at least `least` of all their shingles, a matched pair counted once."""
     if not len(a) or not len(b):
         return False
-    sa, sb = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(sa, sb, assume_unique=True))
-    if both >= least * (len(sa) + len(sb) - both):
-        return True
     # matches / (n + m - matches) >= least leaves so many unmatched at most
     most = int((1 - least) / (1 + least) * (len(a) + len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
     _, x = np.unique(np.concatenate([a, b]), return_inverse=True)
     n = np.bincount(x[: len(a)], minlength=x.max() + 1), np.bincount(x[len(a) :], minlength=x.max() + 1)
+    # no order of shingles matches more than these
     if len(a) + len(b) - 2 * int(np.minimum(*n).sum()) > most:
         return False
     return aligned(x[: len(a)].tolist(), x[len(a) :].tolist(), most) >= 0
@@ -149,14 +150,13 @@ def _verify(k: int, least: float):
         last, held = None, np.zeros(0, np.uint64)
         # few rows at a time: texts are many times as large as what is kept of them
         for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
-            left, right = [], []
-            for u, v, s, t in zip(*(b.column(c).to_pylist() for c in ("u", "v", "a", "b")), strict=True):
+            found = []
+            for i, (u, s, t) in enumerate(zip(*(b.column(c).to_pylist() for c in ("u", "a", "b")), strict=True)):
                 if u != last:
                     last, held = u, _sequence(s, k)
                 if similar(held, _sequence(t, k), least):
-                    left.append(u)
-                    right.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
+                    found.append(i)
+            yield b.select(["u", "v", "cu", "cv"]).take(pa.array(found, pa.int64()))
 
     return run
 
@@ -180,79 +180,74 @@ def _count_cells(k: int):
 
 
 def _prefixes(k: int, least: float, level: np.ndarray):
-    """Rows (rid, kind, token, at, size, early) of the shingles by which a text can meet one that is alike.
+    """Rows (rid, token, at, size, early) of the shingles, with occurrence numbers, by which a text can meet one that is alike.
 
-    kind 0 are a text's different shingles, kind 1 all of them with their occurrence number;
-    of texts without repeats the second say nothing more. `at` is the place among the text's
-    `size` shingles from rare to common. The larger of two texts has the first one that they
-    share among its first size * (1 - least), the smaller one (early) among the first
-    size * (1 - least) / (1 + least).
+    `at` is the place among the text's `size` shingles from rare to common. The larger of two
+    texts has the first one that they share among its first size * (1 - least), the smaller
+    one (early) among the first size * (1 - least) / (1 + least).
     """
 
     def run(batches):
         for b in batches:
             rid = b.column("rid").to_numpy(zero_copy_only=False)
             for i, j, data, offsets in pieces(b.column("text")):
-                h, r = _shingles(Words(data, offsets, SPACES), k)
-                x = _labelled(h, r)
-                once = x == mix(h)
-                n_once, n_all = (np.bincount(y, minlength=j - i) for y in (r[once], r))
-                again = (n_all > n_once)[r]
-                for kind, part in ((0, once), (1, again)):
-                    t, q = x[part], r[part]
-                    size = (n_once, n_all)[kind][q]
-                    order = np.lexsort((t, level[_cells(t)], q))
-                    t, q, size = t[order], q[order], size[order]
-                    at = np.arange(len(t)) - np.searchsorted(q, q)
-                    kept = at <= size * (1 - least) + 1e-6
-                    t, q, size, at = t[kept], q[kept], size[kept], at[kept]
-                    early = at <= size * ((1 - least) / (1 + least)) + 1e-6
-                    # a cell that counts one shingle holds no shared one
-                    some = np.flatnonzero(level[_cells(t)] > 0)
-                    for f in range(0, len(some), 50_000):
-                        s = some[f : f + 50_000]
-                        cols = [rid[i:j][q[s]], np.full(len(s), kind, np.int32), t[s].view(np.int64), at[s].astype(np.int32), size[s].astype(np.int32), early[s]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rid", "kind", "token", "at", "size", "early"])
+                h, q = _shingles(Words(data, offsets, SPACES), k)
+                t = _labelled(h, q)
+                order = np.lexsort((t, level[_cells(t)], q))
+                t, q = t[order], q[order]
+                size, at = np.bincount(q, minlength=j - i)[q], np.arange(len(t)) - np.searchsorted(q, q)
+                kept = at <= size * (1 - least) + 1e-6
+                t, q, size, at = t[kept], q[kept], size[kept], at[kept]
+                early = at <= size * ((1 - least) / (1 + least)) + 1e-6
+                # a cell that counts one shingle holds no shared one
+                some = np.flatnonzero(level[_cells(t)] > 0)
+                for f in range(0, len(some), 50_000):
+                    s = some[f : f + 50_000]
+                    cols = [rid[i:j][q[s]], t[s].view(np.int64), at[s].astype(np.int32), size[s].astype(np.int32), early[s]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rid", "token", "at", "size", "early"])
 
     return run
 
 
 def prefix_pairs(texts: DataFrame, labels: DataFrame, k: int, least: float) -> DataFrame:
-    """All pairs (u, v) of the texts in labels (rid, label), of different labels, that can be alike by `least`."""
+    """All pairs (u, v, cu, cv) of the texts in labels (rid, label), of different labels cu and cv, that can be alike by `least`; some more than once."""
     rest = texts.join(labels.select("rid"), "rid", "left_semi")
     counted = rest.select("text").mapInArrow(_count_cells(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
     # a byte for each cell, whatever the size of the input
     level = np.zeros(_CELLS, np.uint8)
     for c in counted.select("cell", F.least(F.lit(255), F.ceil(8 * F.log2("n"))).cast("int").alias("level")).toLocalIterator():
         level[c["cell"]] = c["level"]
-    tokens = rest.mapInArrow(_prefixes(k, least, level), "rid long, kind int, token long, at int, size int, early boolean")
+    tokens = rest.mapInArrow(_prefixes(k, least, level), "rid long, token long, at int, size int, early boolean")
     tokens = materialise(tokens.join(labels, "rid"), "prefixes")
-    mixed = tokens.groupBy("kind", "token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("early").alias("e")).filter("a <> b AND e").select("kind", "token")
+    mixed = tokens.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("early").alias("e")).filter("a <> b AND e").select("token")
     # members of one class never meet: they stand in a few rows
-    own = tokens.join(mixed, ["kind", "token"]).groupBy("kind", "token", "label", F.pmod(F.xxhash64("rid"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("rid", "at", "size", "early")).alias("m"))
+    own = tokens.join(mixed, "token").groupBy("token", "label", F.pmod(F.xxhash64("rid"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("rid", "at", "size", "early")).alias("m"))
     own = materialise(own, "meetings")
     early = F.filter("m", lambda x: x["early"])
-    short = own.select("kind", "token", F.col("label").alias("c"), early.alias("x")).filter("size(x) > 0")
-    met = short.join(own.select("kind", "token", "label", F.col("m").alias("y")), ["kind", "token"]).filter("c <> label")
-    met = met.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    short = own.select("token", F.col("label").alias("c"), early.alias("x")).filter("size(x) > 0")
+    met = short.join(own.select("token", "label", F.col("m").alias("y")), "token").filter("c <> label")
+    met = met.select("c", "label", F.explode("x").alias("x"), "y").select("c", "label", "x", F.explode("y").alias("y"))
     met = met.filter("x.size < y.size OR x.size = y.size AND x.rid < y.rid")
     met = met.filter(F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + F.lit(1e-6) >= (F.col("x.size") + F.col("y.size")) * F.lit(least / (1 + least)))
-    return met.select(F.least("x.rid", "y.rid").alias("u"), F.greatest("x.rid", "y.rid").alias("v"))
+    return met.select(F.col("x.rid").alias("u"), F.col("y.rid").alias("v"), F.col("c").alias("cu"), F.col("label").alias("cv"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """Rows (id, label), label the least id of its component, for the ids in links (u, v).
 
     Least labels spread over links and along labels until nothing changes; each turn is
-    written, so lineage stays short.
+    written, so lineage stays short. An id with many links, and a label of many ids, travel in
+    bundles (see meet).
     """
-    both = materialise(links.select("u", "v").union(links.select("v", "u")), "links")
+    both = links.select("u", "v").union(links.select("v", "u")).filter("u <> v").distinct()
+    both = materialise(both, "links")
     labels = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "id"), "labels")
     while True:
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("near"))
+        seen = labels.select(F.col("id").alias("v"), F.col("label").alias("near"))
+        near = meet(both, seen, ["v"], "u").groupBy("u").agg(F.min("near").alias("near"))
         least = labels.join(near, F.col("id") == F.col("u")).select("id", "label", F.least("label", "near").alias("next"))
         far = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        new = materialise(least.join(far, "next").select("id", "label", F.least("next", "far").alias("next")), "labels")
+        new = materialise(meet(least, far, ["next"], "id").select("id", "label", F.least("next", "far").alias("next")), "labels")
         if new.filter("label <> next").isEmpty():
             return labels
         labels = new.select("id", F.col("next").alias("label"))
@@ -262,19 +257,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """Rows (doc_id, rid, class_id), one for each row of docs; class_id is the least rid of the class.
 
     rid is doc_id where that is a unique integer, else an id of its own. Two texts are linked
-    if their sequences of shingles match, in order or as sets, by at least `similarity` of
-    their union; classes are the components of links. Texts of fewer words than a shingle are
-    one shingle; null, empty and blank texts have none and each is a class of its own. Texts
-    with the same words in the same order are one class at once, however many there are.
+    if an alignment of their sequences of shingles matches at least `similarity` of all their
+    shingles, a matched pair counted once; classes are the components of links. Texts of fewer
+    words than a shingle are one shingle; null, empty and blank texts have none and each is a
+    class of its own. Texts with the same words in the same order are one class at once,
+    however many there are; rows with equal doc_id stay apart. Other columns, whatever their
+    names, aren't looked at, and no rows give no rows.
+
+    Texts without any sketch in common never meet; for two texts that match by 0.8, that
+    happens with a chance of about (1 - 0.8 ** 2) ** sketches. `rounds` and `small` only say
+    when buckets with several classes go from leaders to pairs, and up to which size pairs
+    are drawn directly rather than through the prefix filter; neither drops a pair.
     """
     return classes(with_row_id(docs, ["text"]), shingle, similarity, sketches, rounds, small)
 
 
 def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """docs without the rows that have a row of lesser rid in their class (see near_duplicates for settings)."""
-    rows = with_row_id(docs, [c for c in docs.columns if c != "doc_id"])
+    """docs, with all their columns whatever their names, without the rows that have a row of lesser rid in their class (see near_duplicates)."""
+    rows = with_row_id(docs.select("doc_id", "text", F.struct(*docs.columns).alias("routeloom_row")), ["text", "routeloom_row"])
     first = classes(rows, **settings).filter("rid = class_id").select("rid")
-    return rows.join(first, "rid", "left_semi").select(*docs.columns)
+    return rows.join(first, "rid", "left_semi").select(*(F.col("routeloom_row")[c].alias(c) for c in docs.columns))
+
+
+def _pairs_of_turn(buckets: DataFrame, lead: bool, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mixed buckets (key, n, top), pairs (u, v, cu, cv, salt) to look at, and what is left of large buckets (rid, label).
+
+    Rows of a bucket are dealt over its salts, and what is known of the bucket goes to each.
+    """
+    mixed = buckets.groupBy("key", "n").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.when(~F.col("led"), F.struct("weight", "rid", "label"))).alias("top"))
+    mixed = materialise(mixed.filter("a <> b AND top IS NOT NULL").select("key", "n", "top", F.explode(F.sequence(F.lit(0), (F.col("n") / _DEALT).cast("int"))).alias("salt")), "mixed")
+    held = buckets.drop("n").join(mixed, ["key", "salt"])
+    large = held.filter(F.col("n") > small).select("rid", "label").distinct()
+    if lead:
+        # the leader and the texts of other classes
+        pairs = held.filter("label <> top.label").select(F.col("top.rid").alias("u"), F.col("rid").alias("v"), F.col("top.label").alias("cu"), F.col("label").alias("cv"), "salt")
+        return mixed, pairs, large
+    rest = held.filter(F.col("n") <= small)
+    pairs = rest.select("key", F.col("rid").alias("u"), F.col("label").alias("cu")).join(rest.select("key", F.col("rid").alias("v"), F.col("label").alias("cv")), "key")
+    return mixed, pairs.filter("u < v AND cu <> cv").select("u", "v", "cu", "cv", F.lit(0).alias("salt")), large
 
 
 def classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, rounds: int = 3, small: int = 24) -> DataFrame:
@@ -282,41 +302,42 @@ def classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches
     texts = rows.select("rid", "text")
     drawn = materialise(texts.mapInArrow(_sketch(shingle, sketches), "rid long, h1 long, h2 long, keys array<long>"), "sketches")
     first = drawn.groupBy("h1", "h2").agg(F.min("rid").alias("first"))
-    copies = materialise(drawn.select("rid", "h1", "h2").join(first, ["h1", "h2"]).select("rid", "first"), "copies")
+    copies = materialise(meet(drawn.select("rid", "h1", "h2"), first, ["h1", "h2"], "rid").select("rid", "first"), "copies")
     own = drawn.join(first.select(F.col("first").alias("rid")), "rid", "left_semi").select("rid", F.explode("keys").alias("key"))
-    shared = own.groupBy("key").count().filter("count > 1")
-    buckets = materialise(own.join(shared, "key"), "buckets")
-    central = buckets.groupBy("rid").agg(F.sum("count").alias("weight"))
-    buckets = materialise(buckets.drop("count").join(central, "rid").select("key", "rid", "weight", F.lit(False).alias("led"), F.col("rid").alias("label")), "buckets")
+    own = materialise(own.groupBy("key", F.pmod(F.xxhash64("rid"), F.lit(128)).alias("part")).agg(F.collect_list("rid").alias("rids")), "sketched")
+    shared = own.groupBy("key").agg(F.sum(F.size("rids")).alias("n")).filter("n > 1")
+    buckets = materialise(own.join(shared, "key").select("key", "n", F.explode("rids").alias("rid")), "buckets")
+    central = buckets.groupBy("rid").agg(F.sum("n").alias("weight"))
+    salt = F.pmod(F.xxhash64("rid"), (F.col("n") / _DEALT).cast("long") + 1).cast("int")
+    buckets = materialise(buckets.join(central, "rid").select("key", "n", salt.alias("salt"), "rid", "weight", F.lit(False).alias("led"), F.col("rid").alias("label")), "buckets")
+    # only texts that share a bucket are ever looked at again
+    texts = materialise(texts.join(central.select("rid"), "rid", "left_semi"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        u, v = (texts.select(F.col("rid").alias(a), F.col("text").alias(b)) for a, b in (("u", "a"), ("v", "b")))
-        return materialise(pairs.join(v, "v").join(u, "u").select("u", "v", "a", "b").mapInArrow(_verify(shingle, similarity), "u long, v long"), "links")
+        pairs = materialise(pairs.groupBy("u", "v").agg(F.min("salt").alias("salt"), F.min("cu").alias("cu"), F.min("cv").alias("cv")), "pairs")
+        # one copy of a leader's text for each salt under which it is asked for
+        leads = pairs.select("u", "salt").distinct().join(texts.select(F.col("rid").alias("u"), F.col("text").alias("a")), "u")
+        both = pairs.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("b")), "v").join(leads, ["u", "salt"])
+        return materialise(both.select("u", "v", "cu", "cv", "a", "b").mapInArrow(_verify(shingle, similarity), "u long, v long, cu long, cv long"), "links")
 
-    links = None
+    labels = buckets.select("rid", "label").distinct()
     for turn in range(rounds + 1):
-        mixed = buckets.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"), F.max(F.when(~F.col("led"), F.struct("weight", "rid", "label"))).alias("top"))
-        mixed = mixed.filter("a <> b AND top IS NOT NULL").select("key", "n", "top")
-        if turn < rounds:
-            # the leader and the texts of other classes
-            pairs = buckets.join(mixed, "key").filter("label <> top.label").select(F.col("top.rid").alias("u"), F.col("rid").alias("v"))
-        else:
-            rest = buckets.join(mixed.filter(F.col("n") <= small).select("key"), "key").select("key", "rid", "label")
-            pairs = rest.select("key", F.col("rid").alias("u"), F.col("label").alias("c")).join(rest.select("key", F.col("rid").alias("v"), "label"), "key").filter("u < v AND c <> label").select("u", "v")
-            large = materialise(buckets.join(mixed.filter(F.col("n") > small).select("key"), "key", "left_semi").select("rid", "label").distinct(), "large")
+        mixed, pairs, large = _pairs_of_turn(buckets, turn < rounds, small)
+        if turn == rounds:
+            large = materialise(large, "large")
             if not large.isEmpty():
-                pairs = pairs.unionByName(prefix_pairs(texts, large, shingle, similarity))
-        pairs = pairs.distinct()
+                pairs = pairs.unionByName(prefix_pairs(texts, large, shingle, similarity).withColumn("salt", F.lit(0)))
         found = verified(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        # classes that a link joins become one
+        new = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        new = new.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        labels = materialise(meet(labels, new, ["label"], "rid", "left").select("rid", F.coalesce("next", "label").alias("label")), "classes")
         if turn < rounds:
-            led = mixed.select("key", F.col("top.rid").alias("rid"), F.lit(True).alias("now"))
-            new = buckets.drop("label").join(led, ["key", "rid"], "left").withColumn("led", F.coalesce("now", "led")).drop("now")
-            new = new.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-            # only buckets that hold more than one class go on
-            buckets = materialise(new.select("key", "rid", "weight", "led", "label").join(mixed.select("key"), "key", "left_semi"), "buckets")
+            # only buckets that held more than one class go on
+            led = mixed.select("key", "salt", F.col("top.rid").alias("leader"))
+            new = buckets.drop("label").join(led, ["key", "salt"]).withColumn("led", F.col("led") | (F.col("rid") == F.col("leader"))).drop("leader")
+            buckets = materialise(new.join(labels, "rid").select("key", "n", "salt", "rid", "weight", "led", "label"), "buckets")
             if buckets.isEmpty():
                 break
-    whole = copies.join(labels.withColumnRenamed("id", "first"), "first", "left").select("rid", F.coalesce("label", "first").alias("class_id"))
+    whole = meet(copies, labels.select(F.col("rid").alias("first"), "label"), ["first"], "rid", "left").select("rid", F.coalesce("label", "first").alias("class_id"))
     return rows.select("doc_id", "rid").join(whole, "rid", "left").select("doc_id", "rid", F.coalesce("class_id", "rid").alias("class_id"))

@@ -1,10 +1,11 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from routeloom.llm.near_dedup import _sequence, aligned, near_duplicates, prefix_pairs, similar
+from routeloom.llm.near_dedup import _sequence, aligned, near_duplicates, prefix_pairs, similar, without_near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -36,12 +37,8 @@ def brute(rows, least=0.8, k=5):
             a, b = sh[x], sh[y]
             if not a or not b:
                 continue
-            both = len(set(a) & set(b))
-            ok = both >= least * (len(set(a)) + len(set(b)) - both)
-            if not ok and both > 0.5 * min(len(set(a)), len(set(b))):
-                m = matched(a, b)
-                ok = m >= least * (len(a) + len(b) - m)
-            if ok:
+            both = sum((Counter(a) & Counter(b)).values())
+            if both >= least * (len(a) + len(b) - both) and (m := matched(a, b)) >= least * (len(a) + len(b) - m):
                 top[max(find(x), find(y))] = min(find(x), find(y))
     return {d: find(d) for d in sh}
 
@@ -61,7 +58,7 @@ def test_alignment():
 
 
 def check(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "x")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("rid", "key", "label", "u")})
     got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
     assert got == brute(rows)
     return got
@@ -91,6 +88,15 @@ def test_repeated_ids(spark):
     assert near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_reordered_and_kept_columns(spark):
+    words = [f"w{i}" for i in range(400)]
+    turned = words[200:] + words[:200]
+    rows = [(1, " ".join(words), "a", 5), (2, " ".join(turned), "b", 6), (3, " ".join(words[:395]), "c", 7), (4, "q " * 30_000, "d", 8), (5, "q " * 30_001, "e", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string, label int")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+    assert sorted(without_near_duplicates(df).collect()) == sorted(df.filter("doc_id IN (1, 2, 4)").collect())
+
+
 def test_documents(spark):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()])
 
@@ -125,7 +131,7 @@ def test_prefix_pairs(spark):
             own = [r.choice("abcdef") if r.random() < 0.03 else x for x in base] + r.choices("abcdef", k=r.randrange(3))
             rows.append((len(rows), " ".join(own)))
     df = spark.createDataFrame(rows, "rid long, text string")
-    found = prefix_pairs(df, df.select("rid", F.col("rid").alias("label")), 2, 0.8).collect()
+    found = prefix_pairs(df, df.select("rid", F.col("rid").alias("label")), 2, 0.8).select(F.least("u", "v"), F.greatest("u", "v")).collect()
     seqs = {d: _sequence(t, 2) for d, t in rows}
     alike = {(u, v) for u in seqs for v in seqs if u < v and similar(seqs[u], seqs[v], 0.8)}
     assert len(alike) > 50 and alike <= {tuple(x) for x in found}

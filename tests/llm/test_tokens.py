@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -24,10 +25,15 @@ def docs(spark):
     return spark.createDataFrame(list(enumerate([*ODD, None, *own[:120]])), "doc_id long, text string")
 
 
-def whole(text, end):
+@lru_cache(1)
+def library():
     from tokenizers import Tokenizer
 
-    return np.array([*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    return Tokenizer.from_file(PATH)
+
+
+def whole(text, end):
+    return np.array([*library().encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 def test_encoder_equals_the_tokenizer(docs):
@@ -37,15 +43,13 @@ def test_encoder_equals_the_tokenizer(docs):
 
 
 def test_letters_before_signs_and_mixed_rows():
-    from tokenizers import Tokenizer
-
     r = random.Random(3)
     texts = [chr(c) + s for c in [*range(0x530), *range(0x900, 0xA40), *range(0x1E00, 0x2100)] for s in ("!", " !", "x.")]
     texts += ["".join(r.choice("abéÀß'sStTlLrReEvVmMdD 1!?<|>\n\t×İ\u0301 日'") for _ in range(r.randint(1, 60))) for _ in range(5000)]
     raw = [t.encode() for t in texts]
     for window in (3000, 1 << 20):
         ids, n = Encoder(PATH, limit=2000, window=window).encode_bytes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-        want = [x.ids for x in Tokenizer.from_file(PATH).encode_batch_fast(texts, add_special_tokens=False)]
+        want = [x.ids for x in library().encode_batch_fast(texts, add_special_tokens=False)]
         assert n.tolist() == [len(w) for w in want]
         assert ids.tolist() == [i for w in want for i in w]
 
