@@ -7,13 +7,18 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
-#: What materialise() has written, oldest first.
-_written: list[str] = []
+#: What materialise() has written in the scope that is open, if one is.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+#: Rows that Spark hands to Python at once; its default of 10,000 whole texts takes much memory in every task.
+_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +26,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named (tests)."""
+    """The shared folder that the cluster names; one of our own only where none is named and driver and tasks are one process (tests)."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="routeloom-")
@@ -31,25 +38,40 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
-def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor costs nothing that was written."""
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what materialise() has written in it, but for tables to keep, which belong to the scope around it.
+
+    Texts go to Python in smaller batches meanwhile, unless the session says otherwise.
+    """
+    own: list[str] = []
+    token, set_here = _written.set(own), spark.conf.get(_BATCH[0], _BATCH[1]) == _BATCH[1]
+    if set_here:
+        spark.conf.set(_BATCH[0], _BATCH[2])
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        if set_here:
+            spark.conf.set(_BATCH[0], _BATCH[1])
+        release(spark, own)
+
+
+def materialise(df: DataFrame, label: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor costs nothing that was written.
+
+    With keep, the table outlives the scope in which it is written; results rest on such tables.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/routeloom-{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", codec).parquet(path)
-    _written.append(path)
+    if (own := _written.get()) is not None and not keep:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written_so_far() -> int:
-    return len(_written)
-
-
-def written_since(n: int) -> list[str]:
-    return _written[n:]
-
-
 def release(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes materialised tables; for callers that have written what rests on them elsewhere."""
+    """Deletes folders of the shared storage."""
     jvm = spark.sparkContext._jvm
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -69,17 +91,19 @@ def meet(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "
 
 
 def with_row_id(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Adds the long column rid, which names a row, beside doc_id and keep.
+    """The columns doc_id and keep, and the long column rid, which names a row; keep holds no column of that name.
 
     doc_id serves if it is an integer, never null and never repeated (two counts over that
     one column tell); otherwise rows get ids of their own, written first so that they hold.
     """
+    if "rid" in keep:
+        raise ValueError("rid names the row id; rename the column or fold it into a struct")
     df = df.select("doc_id", *keep)
     if df.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte"):
         n = df.groupBy("doc_id").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.count_if(F.col("doc_id").isNull())).first()
         if n[0] <= 1 and n[1] == 0:
             return df.withColumn("rid", F.col("doc_id").cast("long"))
-    return materialise(df.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    return materialise(df.withColumn("rid", F.monotonically_increasing_id()), "rows", keep=True)
 
 
 def tokenizer_path(name: str) -> str:

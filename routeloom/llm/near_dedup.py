@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import materialise, meet, with_row_id
+from routeloom.llm._common import materialise, meet, scope, with_row_id
 from routeloom.llm._words import SPACES, Words, mix, pieces
 
 _SALTS = mix(np.arange(1, 129, dtype=np.uint64), 11)
@@ -299,7 +299,16 @@ def _pairs_of_turn(buckets: DataFrame, lead: bool, small: int) -> tuple[DataFram
 
 def classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, rounds: int = 3, small: int = 24) -> DataFrame:
     """near_duplicates for rows (rid, doc_id, text) whose rid names a row."""
-    texts = rows.select("rid", "text")
+    with scope(rows.sparkSession):
+        whole = materialise(_classes(rows.select("rid", "text"), shingle, similarity, sketches, rounds, small), "near-classes", keep=True)
+    return rows.select("doc_id", "rid").join(whole, "rid", "left").select("doc_id", "rid", F.coalesce("class_id", "rid").alias("class_id"))
+
+
+def _classes(texts: DataFrame, shingle: int, similarity: float, sketches: int, rounds: int, small: int) -> DataFrame:
+    """(rid, class_id) of the texts (rid, text) that have a word.
+
+    Each turn's tables stay until the last has been read.
+    """
     drawn = materialise(texts.mapInArrow(_sketch(shingle, sketches), "rid long, h1 long, h2 long, keys array<long>"), "sketches")
     first = drawn.groupBy("h1", "h2").agg(F.min("rid").alias("first"))
     copies = materialise(meet(drawn.select("rid", "h1", "h2"), first, ["h1", "h2"], "rid").select("rid", "first"), "copies")
@@ -339,5 +348,4 @@ def classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches
             buckets = materialise(new.join(labels, "rid").select("key", "n", "salt", "rid", "weight", "led", "label"), "buckets")
             if buckets.isEmpty():
                 break
-    whole = meet(copies, labels.select(F.col("rid").alias("first"), "label"), ["first"], "rid", "left").select("rid", F.coalesce("label", "first").alias("class_id"))
-    return rows.select("doc_id", "rid").join(whole, "rid", "left").select("doc_id", "rid", F.coalesce("class_id", "rid").alias("class_id"))
+    return meet(copies, labels.select(F.col("rid").alias("first"), "label"), ["first"], "rid", "left").select("rid", F.coalesce("label", "first").alias("class_id"))

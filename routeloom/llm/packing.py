@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import materialise, tokenizer_path, with_row_id
+from routeloom.llm._common import materialise, scope, tokenizer_path, with_row_id
 from routeloom.llm._tokens import binary, encoded
 
 #: Rows of a salted group, and the most groups that there can be besides one for each length.
@@ -137,12 +137,14 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "word_bpe_49k.j
     ids are little-endian unsigned 32-bit numbers. A document's ids end with end_id (null and
     empty texts have it alone); those with more than capacity are cut into pieces of capacity
     and a rest. sequence_id counts from 0, offset is the place of the piece's first id there;
-    sequences have no gaps and no padding. Rows with equal doc_id are documents of their own.
+    sequences have no gaps and no padding. Rows with equal doc_id, or none, are documents of
+    their own; no rows give no rows; other columns, whatever their names, aren't looked at.
     """
     doc = docs.schema["doc_id"].dataType.simpleString()
     rows = with_row_id(docs, ["text"])
     pieces = rows.mapInArrow(_cut(tokenizer_path(tokenizer), end_id, capacity), f"doc_id {doc}, rid long, piece int, start long, length long, ids binary")
-    pieces = materialise(pieces, "pieces")
+    with scope(docs.sparkSession):
+        pieces = materialise(pieces, "pieces", keep=True)
     counts = dict(pieces.groupBy("length").count().collect())  # at most `capacity` rows
     group = max(GROUP, sum(counts.values()) // GROUPS)
     spark = docs.sparkSession

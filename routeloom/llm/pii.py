@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import materialise, with_row_id
+from routeloom.llm._common import materialise, meet, scope, with_row_id
 
 KINDS = ("email", "ip", "card", "phone")
 #: The forms, with possessive repeats and starts at the edge of a run only, so that no text takes more than linear time.
@@ -90,11 +90,11 @@ def learn(seen: DataFrame, turns: int, least_seeds: int, least_score: float) ->
     belief = edges.filter("kind IS NOT NULL").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
     scores = None
     for turn in range(turns):
-        known = edges.select("context", "instance", F.col("kind").alias("seed")).join(belief, "instance")
+        known = meet(edges.select("context", "instance", F.col("kind").alias("seed")), belief, ["instance"], "context")
         scores = known.groupBy("context", "kind").agg(F.sum("belief").alias("s"), F.count_if(F.col("seed") == F.col("kind")).alias("seeds")).join(sizes, "context")
         scores = scores.select("context", "kind", "seeds", "s", (F.col("s") / (F.col("n") + 1)).alias("score")).filter(F.col("seeds" if turn == 0 else "s") >= least_seeds)
         scores = materialise(scores, "scores")
-        vouched = edges.filter("kind IS NULL").select("context", "instance").join(scores.filter("score >= 0.5"), "context")
+        vouched = meet(edges.filter("kind IS NULL").select("context", "instance"), scores.filter("score >= 0.5"), ["context"], "instance")
         vouched = vouched.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("belief"))
         belief = edges.filter("kind IS NOT NULL").select("instance", "kind", F.lit(1.0).alias("belief")).distinct().unionByName(vouched)
     best = scores.filter(F.col("score") >= least_score).groupBy("context").agg(F.max(F.struct("score", "kind")).alias("top"))
@@ -105,19 +105,29 @@ def find_personal_data(docs: DataFrame, turns: int = 3, least_seeds: int = 5, le
     """(rows, spans): rows (rid, doc_id, extra columns, text) of docs, and spans (rid, kind, start, end, base), in code points, end exclusive.
 
     base tells the spans that have a form from those that a context gave away. Null and empty
-    texts have none. Rows with equal doc_id stay apart, by rid; a span that overlaps one with
+    texts have none. Rows with equal doc_id stay apart, by rid, which extra may not name; a span that overlaps one with
     a form is not added, and equal spans of one kind count once.
     """
     rows = with_row_id(docs, [*extra, "text"])
-    found = materialise(find_forms(rows.select("rid", "text")).filter("valid").drop("valid"), "forms")
-    base = found.filter("kind <> 'other'")
-    taken = base.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    free = found.filter("kind = 'other'").join(taken, "rid", "left").filter(F.col("taken").isNull() | ~F.exists("taken", lambda t: (t["start"] < F.col("end")) & (t["end"] > F.col("start")))).drop("taken")
+    with scope(docs.sparkSession):
+        spans = materialise(_spans(rows.select("rid", "text"), turns, least_seeds, least_score), "spans", keep=True)
+    return rows, spans
+
+
+def _spans(texts: DataFrame, turns: int, least_seeds: int, least_score: float) -> DataFrame:
+    found = find_forms(texts).filter("valid").drop("valid")
+    # a span is taken if one with a form begins before its end and ends after its start
+    is_base = F.col("kind") != "other"
+    own = Window.partitionBy("rid").orderBy("start")
+    before = F.max(F.when(is_base, F.col("end"))).over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(is_base, F.col("start"))).over(own.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    taken = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
+    found = materialise(found.withColumn("taken", taken).filter(is_base | ~F.col("taken")).drop("taken"), "forms")
+    base, free = found.filter("kind <> 'other'"), found.filter("kind = 'other'")
     seen = base.select("context", F.lower("match").alias("instance"), "kind").unionByName(free.select("context", F.lower("match").alias("instance"), F.lit(None).cast("string").alias("kind")))
     trusted = learn(seen, turns, least_seeds, least_score)
-    added = free.drop("kind").join(trusted, "context").select("rid", "kind", "start", "end", F.lit(False).alias("base"))
-    spans = base.select("rid", "kind", "start", "end", F.lit(True).alias("base")).unionByName(added)
-    return rows, spans
+    added = meet(free.drop("kind"), trusted, ["context"], "rid").select("rid", "kind", "start", "end", F.lit(False).alias("base"))
+    return base.select("rid", "kind", "start", "end", F.lit(True).alias("base")).unionByName(added)
 
 
 def _listed(spans: Column) -> Column:
@@ -127,24 +137,26 @@ def _listed(spans: Column) -> Column:
 
 
 def summarise(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base, spans), the last two as kind:start:end lists; counts are of base spans."""
+    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base, spans, n_spans), base and spans as kind:start:end lists; the first counts are of base spans."""
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int") - 1
     entry = F.struct(order.alias("o"), F.col("start"), F.col("end"))
     own = spans.groupBy("rid").agg(*(F.count_if((F.col("kind") == k) & F.col("base")).alias(f"n_{k}") for k in KINDS), F.collect_list(F.when(F.col("base"), entry)).alias("b"), F.collect_list(entry).alias("s"))
-    own = own.select("rid", *(f"n_{k}" for k in KINDS), _listed(F.col("b")).alias("base"), _listed(F.col("s")).alias("spans"))
+    own = own.select("rid", *(f"n_{k}" for k in KINDS), _listed(F.col("b")).alias("base"), _listed(F.col("s")).alias("spans"), F.size("s").cast("long").alias("n_spans"))
     out = rows.select("rid", "doc_id").join(own, "rid", "left")
-    return out.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS), F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return out.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS), F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"))
 
 
 def mask(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows (rid, text) with each span replaced by its kind in brackets; of overlapping spans the first names the stretch."""
-    own = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("s"))
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(a: Column, s: Column) -> Column:
-        cut = F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(a["out"])
-        return F.struct(cut.alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    """Rows (rid, text) with each span replaced by its kind in brackets; of overlapping spans the first names the stretch.
 
-    done = F.aggregate("s", state, step)
-    masked = F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text")))
-    return rows.join(own, "rid", "left").withColumn("text", F.when(F.col("s").isNull(), F.col("text")).otherwise(masked)).drop("s")
+    Rows without spans, null and empty texts among them, stay to the letter.
+    """
+    order = Window.partitionBy("rid").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    cut = spans.select("rid", "kind", "start", "end", F.coalesce(F.max("end").over(order), F.lit(0)).alias("at"))
+    # a span that begins within what has gone already only moves the end of it
+    first = F.when(F.col("start") >= F.col("at"), F.struct("start", "at", "kind"))
+    own = cut.groupBy("rid").agg(F.array_sort(F.collect_list(first)).alias("s"), F.max("end").alias("last"))
+    before = lambda s: F.substring(F.col("text"), (s["at"] + 1).cast("int"), (s["start"] - s["at"]).cast("int"))
+    parts = F.transform("s", lambda s: F.concat(before(s), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    masked = F.concat(F.array_join(parts, ""), F.substring(F.col("text"), (F.col("last") + 1).cast("int"), F.length("text")))
+    return rows.join(own, "rid", "left").withColumn("text", F.when(F.col("s").isNull(), F.col("text")).otherwise(masked)).drop("s", "last")

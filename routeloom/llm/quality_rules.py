@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import materialise
+from routeloom.llm._common import materialise, meet, scope
 from routeloom.llm._words import NON_ALNUM, SPACES, Words, mix, pieces, spans
 
 SYMBOLS = "#*$%&|<>"
@@ -85,36 +85,45 @@ def _measure(batches):
             yield pa.RecordBatch.from_arrays([*keep, *(pa.array(x, pa.int64()) for x in out), pa.array(plain.counts, pa.int64()), *lists], ["doc_id", "host", "text_hash", *MEASURES, "plain", "lines", "line_words"])
 
 
-def _assessed(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs: int = 50, max_share: float = 0.05, min_left: float = 0.1) -> DataFrame:
+def _assessed(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs: int = 50, min_left: float = 0.1) -> DataFrame:
     """assess() with the columns host and lost_lines, the hashes of the text's boilerplate lines (null: none)."""
+    with scope(docs.sparkSession):
+        return materialise(_judged(docs, min_words, max_repeat, max_docs, min_left), "assessed", keep=True)
+
+
+def _judged(docs: DataFrame, min_words: int, max_repeat: int, max_docs: int, min_left: float) -> DataFrame:
     doc = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
     schema = f"doc_id {doc}, host string, text_hash long, " + ", ".join(f"{m} long" for m in MEASURES) + ", plain long, lines array<long>, line_words array<int>"
     rows = materialise(given.mapInArrow(_measure, schema), "measures")
-    texts = rows.groupBy("host", "text_hash").agg(F.first("plain").alias("plain"), F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
-    texts = materialise(texts, "texts")
+    texts = rows.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
     held = texts.select("host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "text_hash", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    common = held.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).select("host", "line")
-    lost = held.join(common, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("lost_lines"))
+    # a line's texts in a few bundles, so that the commonest line brings no task all of them
+    part = F.pmod(F.xxhash64("text_hash"), F.lit(256)).alias("part")
+    bundles = materialise(held.groupBy("host", "line", part).agg(F.collect_list(F.struct("text_hash", "words")).alias("t")), "lines")
+    common = bundles.groupBy("host", "line").agg(F.sum(F.size("t")).alias("n")).filter(F.col("n") > max_docs).select("host", "line")
+    gone = bundles.join(common, ["host", "line"]).select("host", "line", F.explode("t").alias("t"))
+    lost = gone.groupBy("host", F.col("t.text_hash").alias("text_hash")).agg(F.sum("t.words").alias("lost"), F.collect_list("line").alias("lost_lines"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     left = F.col("plain") - F.coalesce("lost", F.lit(0))
     # lost holds only texts with boilerplate; documents keep their rows whatever it says
-    out = rows.drop("lines", "line_words").join(lost, ["host", "text_hash"], "left")
+    out = meet(rows.drop("lines", "line_words"), lost, ["host", "text_hash"], "doc_id", "left")
     return out.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & (left >= F.col("plain") * F.lit(min_left))).alias("kept"), left.alias("left_words"), "text_hash", "host", "lost_lines")
 
 
-def assess(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs: int = 50, max_share: float = 0.05, min_left: float = 0.1) -> DataFrame:
+def assess(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_docs: int = 50, min_left: float = 0.1) -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, left_words, text_hash) for each row of docs.
 
     A document fails the base rules with fewer than min_words words, or with over max_repeat
     per cent of its words in 5-word windows that occur twice in it. Beyond these, a line is
     boilerplate on its host (column source; null is a host too) if more than max_docs distinct
-    texts hold it, at every host size (max_share has no say any more and is taken for callers
-    that give it); a document with less than min_left of its letter and digit words outside
+    texts hold it, at every host size; a document with less than min_left of its letter and digit words outside
     boilerplate (left_words) is rejected.
-    text_hash is xxhash64 of the text, 0 for null. Null texts count as empty; empty ones fail. Rows with equal doc_id stay apart.
+    text_hash is xxhash64 of the text, 0 for null. Null texts count as empty; empty ones fail.
+    Rows with equal doc_id stay apart, equal ones too; no rows give no rows; columns other than
+    doc_id, text and source aren't looked at, whatever their names.
     """
-    return _assessed(docs, min_words, max_repeat, max_docs, max_share, min_left).drop("host", "lost_lines")
+    return _assessed(docs, min_words, max_repeat, max_docs, min_left).drop("host", "lost_lines")
 
 
 def _without(text: pa.Array, lost: pa.Array) -> pa.Array:
@@ -144,13 +153,15 @@ def _without(text: pa.Array, lost: pa.Array) -> pa.Array:
 def without_boilerplate(docs: DataFrame, **settings) -> DataFrame:
     """docs with all their columns, without the rows that assess() rejects and, in those kept, without boilerplate lines.
 
-    Texts without such lines stay to the letter. docs need the columns that assess() needs.
+    Texts without such lines stay to the letter. docs need the columns that assess() needs;
+    what holds for a text and its source holds for each row that has them.
     """
-    verdicts = _assessed(docs, **settings).groupBy("host", "text_hash").agg(F.bool_or("kept").alias("kept"), F.first("lost_lines").alias("lost_lines"))
-    verdicts = verdicts.filter("NOT kept OR lost_lines IS NOT NULL").select(F.struct("host", "text_hash").alias("routeloom_key"), F.struct("kept", "lost_lines").alias("routeloom_verdict"))
+    columns = ("host", "text_hash", "kept", "lost_lines")
+    judged = _assessed(docs.select("doc_id", "text", "source"), **settings).select(*columns)
+    verdicts = judged.filter("NOT kept OR lost_lines IS NOT NULL").groupBy("host", "text_hash").agg(F.bool_or("kept").alias("kept"), F.first("lost_lines").alias("lost_lines"))
     host = F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host")
-    both = docs.withColumn("routeloom_key", F.struct(host, F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"))).join(verdicts, "routeloom_key", "left")
-    both = both.filter("routeloom_verdict IS NULL OR routeloom_verdict.kept")
-    lost = F.col("routeloom_verdict")["lost_lines"]
-    cut = F.arrow_udf(_without, "string")(F.when(lost.isNotNull(), F.col("text")), lost)
-    return both.select(*(F.coalesce(cut, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    keyed = docs.select(host, F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text", F.struct(*docs.columns).alias("routeloom_row"))
+    both = keyed.join(verdicts, ["host", "text_hash"], "left").filter("kept IS NULL OR kept")
+    cut = F.arrow_udf(_without, "string")(F.when(F.col("lost_lines").isNotNull(), F.col("text")), F.col("lost_lines"))
+    both = both.select(F.coalesce(cut, F.col("text")).alias("text"), "routeloom_row")
+    return both.select(*(F.col("text") if c == "text" else F.col("routeloom_row")[c].alias(c) for c in docs.columns))

@@ -21,7 +21,7 @@ def base(text):
     return (n, sum(map(len, w)), sum(x in "#*$%&|<>" for x in text), dup, len(rep), n < 10 or 100 * len(rep) > 20 * n)
 
 
-def brute(rows, max_docs, max_share, min_left):
+def brute(rows, max_docs, min_left):
     fold = lambda s: tuple(PLAIN.findall(re.sub("[A-Z]", lambda m: m[0].lower(), s)))
     texts = defaultdict(set)
     for _, t, host in rows:
@@ -31,7 +31,7 @@ def brute(rows, max_docs, max_share, min_left):
     for d, t, h in rows:
         lines = [fold(x) for x in (t or "").split("\n")]
         plain = sum(map(len, lines))
-        left = sum(len(x) for x in lines if not (common[h][x] > max_docs and common[h][x] > max_share * len(texts[h])))
+        left = sum(len(x) for x in lines if not common[h][x] > max_docs)
         b = base(t)
         out.append((d, *b, not b[-1] and left >= min_left * plain, left))
     return sorted(out, key=str)
@@ -40,7 +40,7 @@ def brute(rows, max_docs, max_share, min_left):
 def check(spark, rows, **limits):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", df_lit())
     got = [tuple(r)[:-1] for r in assess(df, **limits).collect()]
-    assert sorted(got, key=str) == brute(rows, limits["max_docs"], limits["max_share"], limits["min_left"])
+    assert sorted(got, key=str) == brute(rows, limits["max_docs"], limits["min_left"])
     return got
 
 
@@ -55,14 +55,14 @@ def test_small(spark):
     rows = [(i, f"{menu}\nunique{i} line number {i} é|", "a" if i % 2 else None) for i in range(12)]
     rows += [(20 + i, f"{menu.upper() if i else menu}", "a") for i in range(2)] + [(30, menu, "a"), (31, menu, "b"), (40, None, "a"), (41, "", None), (42, " \n \n\t", "a")]
     rows += [(43, "x y z v w " * 30, "a"), (43, "same\nsame\n same\nsame", "a"), (None, menu, None), (44, "\n".join(f"l{i} <>" for i in range(40)), "b")]
-    got = check(spark, rows, max_docs=3, max_share=0.1, min_left=0.3)
+    got = check(spark, rows, max_docs=3, min_left=0.3)
     assert not all(r[7] for r in got if not r[6])
-    assert check(spark, [], max_docs=3, max_share=0.1, min_left=0.3) == []
+    assert check(spark, [], max_docs=3, min_left=0.3) == []
 
 
 def test_documents(spark):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    check(spark, rows, max_docs=50, max_share=0.05, min_left=0.1)
+    check(spark, rows, max_docs=50, min_left=0.1)
 
 
 def test_large_host(spark):
@@ -74,7 +74,7 @@ def test_large_host(spark):
 
 
 def test_without_boilerplate(spark):
-    from corpus_pipeline import quality_rules
+    from routeloom.llm.pipeline import quality_rules
 
     own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(60)]
     rows = [(i, f"é | Menu of all pages\n{own[i]}\n\nMENU of (all) pages", "a", 7) for i in range(60)]
