@@ -98,7 +98,7 @@ def _cut(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 class Encoder:
     """Maps texts to their ids as little-endian uint16 arrays."""
 
-    def __init__(self, path: str, limit: int = 300_000, together: int = 4096, window: int = 1 << 22):
+    def __init__(self, path: str, limit: int = 250_000, together: int = 4096, window: int = 1 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit, self.together, self.window = Tokenizer.from_file(path), limit, together, window
@@ -179,10 +179,10 @@ class Encoder:
             learnt = pc.add(pc.index_in(names, self.names.slice(before)), pa.scalar(before, pa.int32()))
             found = pc.coalesce(found, learnt)
         found = found.to_numpy(zero_copy_only=False)
-        firsts = (np.cumsum(self.sizes) - self.sizes)[found]
-        n = self.sizes[found][which]
-        ends = np.cumsum(n)
-        out = self.ids[np.repeat(firsts[which] - ends + n, n) + np.arange(ends[-1])]
+        firsts = (np.cumsum(self.sizes) - self.sizes)[found].astype(np.int32)
+        n = self.sizes[found].astype(np.int32)[which]
+        ends = np.cumsum(n, dtype=np.int32)
+        out = self.ids[np.repeat(firsts[which] - ends + n, n) + np.arange(ends[-1], dtype=np.int32)]
         if len(self.names) > self.limit:
             self._forget()
         return out, starts, n
@@ -218,7 +218,7 @@ class Encoder:
         pa.default_memory_pool().release_unused()
 
 
-def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int, target: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int, target: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches, of about `target` bytes of text, one row at least, with the ids of all their texts and each one's number of them; end_id ends a text."""
     e = encoder(path)
     for b in batches:

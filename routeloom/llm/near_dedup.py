@@ -1,7 +1,7 @@
 """Near-duplicate classes by Order MinHash over word shingles.
 
 Shingles of `shingle` words are labelled with their occurrence number in the text. Each of
-`sketches` sketches keeps the two least labelled shingles under a hash of its own, in the
+`sketches` sketches keeps the `minima` least labelled shingles under a hash of its own, in the
 order in which the text has them: texts agree on it the likelier the more of their shingles
 they share in the same order. Texts with a sketch in common meet in a bucket.
 
@@ -16,6 +16,8 @@ alike have a shingle in common so early that those of a shared template seldom c
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,7 +64,7 @@ def _labelled(h: np.ndarray, r: np.ndarray) -> np.ndarray:
     return mix(h + times * np.uint64(0xA24BAED4963EE407))
 
 
-def _sketch(k: int, sketches: int):
+def _sketch(k: int, sketches: int, minima: int):
     def run(batches):
         for b in batches:
             rid = b.column("rid")
@@ -76,16 +78,20 @@ def _sketch(k: int, sketches: int):
                 keys = np.zeros((len(some), sketches), np.int64)
                 for s in range(sketches if len(some) else 0):
                     y = (x ^ _SALTS[s]) * _TIMES[s]
-                    low = np.minimum.reduceat(y, begin)
-                    is_low = y == np.repeat(low, n)
-                    y2 = np.where(is_low, _MOST, y)
-                    second = np.minimum.reduceat(y2, begin)
-                    # places of both, to keep their order in the text
-                    at1, at2 = np.flatnonzero(is_low), np.flatnonzero(y2 == np.repeat(second, n))
-                    p1 = at1[np.searchsorted(at1, begin)]
-                    p2 = at2[np.searchsorted(at2, begin)]
-                    a, c = np.where(p1 < p2, low, second), np.where(p1 < p2, second, low)
-                    keys[:, s] = mix(mix(a, 1) * np.uint64(3) + mix(c, 2) + np.uint64(s)).view(np.int64)
+                    values, places = [], []
+                    for _ in range(minima):
+                        low = np.minimum.reduceat(y, begin)
+                        is_low = y == np.repeat(low, n)
+                        at = np.flatnonzero(is_low)
+                        values.append(low)
+                        places.append(at[np.searchsorted(at, begin)])
+                        y = np.where(is_low, _MOST, y)
+                    # in the order of the text
+                    order = np.argsort(np.stack(places), axis=0, kind="stable")
+                    key = np.full(len(some), s, np.uint64)
+                    for v in np.take_along_axis(np.stack(values), order, axis=0):
+                        key = mix(key * np.uint64(3) + v, 1)
+                    keys[:, s] = key.view(np.int64)
                 sums = [np.add.reduceat(mix(h + (np.arange(len(h)) - np.repeat(begin, n)).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25), salt), begin) if len(some) else np.zeros(0, np.uint64) for salt in (8, 9)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * sketches), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([rid.slice(i, j - i).take(pa.array(some)), *(pa.array(x.view(np.int64)) for x in sums), lists], ["rid", "h1", "h2", "keys"])
@@ -220,12 +226,13 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, k: int, least: float) -> D
     tokens = rest.mapInArrow(_prefixes(k, least, level), "rid long, token long, at int, size int, early boolean")
     tokens = materialise(tokens.join(labels, "rid"), "prefixes")
     mixed = tokens.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("early").alias("e")).filter("a <> b AND e").select("token")
-    # members of one class never meet: they stand in a few rows
-    own = tokens.join(mixed, "token").groupBy("token", "label", F.pmod(F.xxhash64("rid"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("rid", "at", "size", "early")).alias("m"))
+    # alike texts are of like size: the same band of sizes or the next; members of one class stand in a few rows, which never meet
+    band = F.floor(F.log("size") / F.lit(-math.log(least)))
+    own = tokens.join(mixed, "token").groupBy("token", band.alias("band"), "label", F.pmod(F.xxhash64("rid"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("rid", "at", "size", "early")).alias("m"))
     own = materialise(own, "meetings")
     early = F.filter("m", lambda x: x["early"])
-    short = own.select("token", F.col("label").alias("c"), early.alias("x")).filter("size(x) > 0")
-    met = short.join(own.select("token", "label", F.col("m").alias("y")), "token").filter("c <> label")
+    short = own.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("label").alias("c"), early.alias("x")).filter("size(x) > 0")
+    met = short.join(own.select("token", "band", "label", F.col("m").alias("y")), ["token", "band"]).filter("c <> label")
     met = met.select("c", "label", F.explode("x").alias("x"), "y").select("c", "label", "x", F.explode("y").alias("y"))
     met = met.filter("x.size < y.size OR x.size = y.size AND x.rid < y.rid")
     met = met.filter(F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + F.lit(1e-6) >= (F.col("x.size") + F.col("y.size")) * F.lit(least / (1 + least)))
@@ -253,7 +260,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", F.col("next").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, rounds: int = 3, small: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, minima: int = 3, rounds: int = 3, small: int = 24) -> DataFrame:
     """Rows (doc_id, rid, class_id), one for each row of docs; class_id is the least rid of the class.
 
     rid is doc_id where that is a unique integer, else an id of its own. Two texts are linked
@@ -265,11 +272,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     names, aren't looked at, and no rows give no rows.
 
     Texts without any sketch in common never meet; for two texts that match by 0.8, that
-    happens with a chance of about (1 - 0.8 ** 2) ** sketches. `rounds` and `small` only say
+    happens with a chance of about (1 - 0.8 ** minima) ** sketches, one in 100,000. `rounds` and `small` only say
     when buckets with several classes go from leaders to pairs, and up to which size pairs
     are drawn directly rather than through the prefix filter; neither drops a pair.
     """
-    return classes(with_row_id(docs, ["text"]), shingle, similarity, sketches, rounds, small)
+    return classes(with_row_id(docs, ["text"]), shingle, similarity, sketches, minima, rounds, small)
 
 
 def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
@@ -297,19 +304,19 @@ def _pairs_of_turn(buckets: DataFrame, lead: bool, small: int) -> tuple[DataFram
     return mixed, pairs.filter("u < v AND cu <> cv").select("u", "v", "cu", "cv", F.lit(0).alias("salt")), large
 
 
-def classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, rounds: int = 3, small: int = 24) -> DataFrame:
+def classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, minima: int = 3, rounds: int = 3, small: int = 24) -> DataFrame:
     """near_duplicates for rows (rid, doc_id, text) whose rid names a row."""
     with scope(rows.sparkSession):
-        whole = materialise(_classes(rows.select("rid", "text"), shingle, similarity, sketches, rounds, small), "near-classes", keep=True)
+        whole = materialise(_classes(rows.select("rid", "text"), shingle, similarity, sketches, minima, rounds, small), "near-classes", keep=True)
     return rows.select("doc_id", "rid").join(whole, "rid", "left").select("doc_id", "rid", F.coalesce("class_id", "rid").alias("class_id"))
 
 
-def _classes(texts: DataFrame, shingle: int, similarity: float, sketches: int, rounds: int, small: int) -> DataFrame:
+def _classes(texts: DataFrame, shingle: int, similarity: float, sketches: int, minima: int, rounds: int, small: int) -> DataFrame:
     """(rid, class_id) of the texts (rid, text) that have a word.
 
     Each turn's tables stay until the last has been read.
     """
-    drawn = materialise(texts.mapInArrow(_sketch(shingle, sketches), "rid long, h1 long, h2 long, keys array<long>"), "sketches")
+    drawn = materialise(texts.mapInArrow(_sketch(shingle, sketches, minima), "rid long, h1 long, h2 long, keys array<long>"), "sketches")
     first = drawn.groupBy("h1", "h2").agg(F.min("rid").alias("first"))
     copies = materialise(meet(drawn.select("rid", "h1", "h2"), first, ["h1", "h2"], "rid").select("rid", "first"), "copies")
     own = drawn.join(first.select(F.col("first").alias("rid")), "rid", "left_semi").select("rid", F.explode("keys").alias("key"))
