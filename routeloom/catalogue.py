@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 
-def queries() -> dict:
-    from routeloom.plans.queries import QUERIES
+def _registered():
+    # each module registers its queries as it is imported
+    from routeloom.plans import address_queries, job_queries, queries, sheet_queries  # noqa: F401
+    from routeloom.plans import registry
 
-    return dict(QUERIES)
+    return registry
 
 
-def oracle_sql() -> dict[str, str]:
-    from routeloom.plans.queries import ORACLES
+def queries() -> dict:
+    return dict(_registered().QUERIES)
 
-    return dict(ORACLES)
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_registered().ORACLES)

@@ -35,26 +35,41 @@ def valid_point(lat, lon) -> Column:
     return F.coalesce(_c(lat).between(-90, 90) & _c(lon).between(-180, 180), F.lit(False))
 
 
-def cells(df: DataFrame, metres: float, most_lat: float, lat: str = "lat", lon: str = "lon", around: bool = False) -> DataFrame:
-    """df with cell_y and cell_x: squares at least `metres` wide up to latitude most_lat; with around, a row for each of the nine cells about the point."""
-    y = F.floor(F.col(lat) * (DEGREE_M / metres))
-    x = F.floor(F.col(lon) * (DEGREE_M * math.cos(math.radians(most_lat)) / metres))
+def _columns(y: Column, metres: float) -> Column:
+    """Into how many cells the band y of latitude is cut: at its end nearer to a pole, a cell is still `metres` wide to any meridian."""
+    edge = F.least(F.greatest(F.abs(y), F.abs(y + 1)) * F.lit(metres / DEGREE_M), F.lit(90.0))
+    share = F.lit(metres / math.degrees(1) / DEGREE_M) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    return F.greatest(F.floor(F.lit(2 * math.pi) / F.asin(F.least(share, F.lit(1.0)))), F.lit(1)).cast("long")
+
+
+def cells(df: DataFrame, metres: float, lat: str = "lat", lon: str = "lon", around: bool = False) -> DataFrame:
+    """df with cell_y and cell_x; with around, a row for each cell that can hold a point within `metres` of the row's.
+
+    Bands of latitude are cut into more cells the nearer they are to the equator, and cells go
+    round the date line, so that nine cells at most are enough everywhere.
+    """
+    y = F.floor(F.col(lat) * F.lit(DEGREE_M / metres))
+
+    def x(band: Column) -> Column:
+        n = _columns(band, metres)
+        return F.least(F.floor(F.pmod(F.col(lon) + 180.0, F.lit(360.0)) / 360.0 * n).cast("long"), n - 1)
+
     if not around:
-        return df.withColumns({"cell_y": y, "cell_x": x})
-    near = F.array(*(F.struct((y + i).alias("y"), (x + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    out = df.withColumn("_near", F.explode(near))
-    return out.withColumns({"cell_y": F.col("_near.y"), "cell_x": F.col("_near.x")}).drop("_near")
+        return df.withColumn("cell_y", y).withColumn("cell_x", x(F.col("cell_y")))
+    out = df.withColumn("cell_y", F.explode(F.array(*(y + i for i in (-1, 0, 1)))))
+    n, own = _columns(F.col("cell_y"), metres), x(F.col("cell_y"))
+    return out.withColumn("cell_x", F.explode(F.array_distinct(F.array(*(F.pmod(own + j, n) for j in (-1, 0, 1))))))
 
 
-def pairs_within(left: DataFrame, right: DataFrame, metres: float, keys: tuple[str, ...] = (), most_lat: float = 62.0) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, metres: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (columns of left, those of right, distance_m) within `metres`.
 
     Both sides have lat and lon, and share no other name but keys, which must be equal. Each
-    left row goes to nine grid cells, so the join is an equality join whatever the distance
-    and needs no broadcast; rows without coordinates pair with nothing.
+    left row goes to nine grid cells at most, so the join is an equality join whatever the
+    distance and needs no broadcast; rows without coordinates pair with nothing.
     """
-    a = cells(left.filter("lat IS NOT NULL AND lon IS NOT NULL"), metres, most_lat, around=True)
-    b = cells(right.filter("lat IS NOT NULL AND lon IS NOT NULL"), metres, most_lat).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    a = cells(left.filter("lat IS NOT NULL AND lon IS NOT NULL"), metres, around=True)
+    b = cells(right.filter("lat IS NOT NULL AND lon IS NOT NULL"), metres).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
     out = a.join(b, [*keys, "cell_y", "cell_x"]).withColumn("distance_m", haversine("lat", "lon", "_lat", "_lon"))
     return out.filter(F.col("distance_m") <= metres).drop("cell_y", "cell_x", "_lat", "_lon")
 

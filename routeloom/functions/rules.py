@@ -94,3 +94,62 @@ BRAND_TAGS = ("brand", "brand:ru", "operator", "operator:ru", "name", "name:ru",
 # Words of delivery sheets.
 STORES = ("Агроторг", "Перекресток", "Пятерочка", "Семишагофф", "Магнит", "Дикси", "Лента", "Окей")
 NOISE_WORDS = ("дата", "панорам", "адрес", "склад", "документы", "поставил", "возврат", "офис", "тел", "телефон")
+
+# Contexts that a search starts from when nothing else is given: label, latitude, longitude, radius in km.
+DEFAULT_CONTEXT = (CITY, 59.9386, 30.3141, 60.0)
+WIDE_CONTEXT = (f"{CITY} и ближайшая {REGION}", 59.9386, 30.3141, 120.0)
+
+# Words of a text that name a district, in this order.
+DISTRICT_HINTS = (
+    ("васильевск", "Василеостровский"), ("п.с.", "Петроградский"), ("малый проспект п.с", "Петроградский"), ("малая посадская", "Петроградский"),
+    ("чапаева", "Петроградский"), ("чкалов", "Петроградский"), ("пушкар", "Петроградский"), ("пионерская", "Петроградский"), ("константиновск", "Петроградский"),
+    ("лермонтов", "Адмиралтейский"), ("горохов", "Адмиралтейский"), ("подольск", "Адмиралтейский"), ("измайлов", "Адмиралтейский"), ("ефимова", "Адмиралтейский"),
+    ("троицк", "Адмиралтейский"), ("егорова", "Адмиралтейский"), ("английск", "Адмиралтейский"), ("казанск", "Адмиралтейский"),
+    ("некрасова", "Центральный"), ("марата", "Центральный"), ("владимир", "Центральный"), ("мытнин", "Центральный"), ("перекупной", "Центральный"),
+    ("караван", "Центральный"), ("черняхов", "Центральный"), ("пестеля", "Центральный"), ("кироочная", "Центральный"), ("кирочная", "Центральный"),
+    ("невский", "Центральный"), ("чайковского", "Центральный"),
+    ("бобыль", "Петродворцовый"), ("новоселье", "Петродворцовый"), ("львовская", "Петродворцовый"), ("разводная", "Петродворцовый"), ("александровская", "Петродворцовый"),
+    ("шахматова", "Петродворцовый"), ("современников", "Петродворцовый"), ("ораниенбаум", "Петродворцовый"), ("костылева", "Петродворцовый"), ("красносельское", "Петродворцовый"),
+    ("швейцарская", "Петродворцовый"), ("ропшинское", "Петродворцовый"), ("санкт-петербургское", "Петродворцовый"), ("антоненко", "Петродворцовый"),
+)
+# Districts as least and greatest latitude, least and greatest longitude, in this order.
+DISTRICT_BOXES = (
+    ("Кронштадт", 59.95, 60.04, 29.62, 29.86), ("Курортный", 60.00, 60.25, 29.70, 30.18), ("Петродворцовый", 59.82, 59.94, 29.65, 30.18),
+    ("Красносельский", 59.72, 59.90, 30.05, 30.25), ("Кировский", 59.83, 59.91, 30.20, 30.31), ("Московский", 59.80, 59.91, 30.28, 30.40),
+    ("Фрунзенский", 59.82, 59.90, 30.33, 30.45), ("Колпинский", 59.70, 59.85, 30.45, 30.75), ("Пушкинский", 59.65, 59.85, 30.25, 30.55),
+    ("Невский", 59.84, 59.95, 30.38, 30.58), ("Василеостровский", 59.92, 60.00, 30.18, 30.30), ("Петроградский", 59.94, 60.02, 30.22, 30.35),
+    ("Адмиралтейский", 59.90, 59.95, 30.25, 30.36), ("Центральный", 59.92, 59.98, 30.31, 30.40), ("Приморский", 59.98, 60.12, 30.10, 30.31),
+    ("Выборгский", 60.00, 60.12, 30.20, 30.40), ("Калининский", 59.98, 60.07, 30.32, 30.45), ("Красногвардейский", 59.93, 60.02, 30.39, 30.58),
+)
+
+# Towns that delivery sheets name, and those whose houses have no street.
+SHEET_TOWNS = ("Санкт-Петербург", "СПб", "Коммунар", "Гатчина", "Вырица", "Луга", "Сиверский", "Мшинская", "Пудомяги", "Белогорка", "Мины", "Дружная Горка", "Семрино", "Сусанино", "Форносово")
+HOUSE_ONLY_TOWNS = ("Пудомяги", "Сусанино", "Форносово", "Белогорка", "Мины", "Семрино")
+# What recognition makes of words, as patterns, and the words.
+MISREAD = (
+    (r"\b(?:yn|yA|yx|ya)\.?\b", "ул."), (r"\b(?:np|pr)\.?\b", "пр."), (r"\bуп\.?\b", "ул."), (r"\bПуга\b", "Луга"), (r"\bNyra\b", "Луга"), (r"\bМимы\b", "Мины"),
+    (r"\bДружмая\b", "Дружная"), (r"\bЖепезнодорожмая\b", "Железнодорожная"), (r"\bСтронктелей\b", "Строителей"), (r"\bСтроктелей\b", "Строителей"),
+    (r"\bГ\s+ороев\b", "Героев"), (r"\bГероее\b", "Героев"), (r"\bСоболовского\b", "Соболевского"), (r"\bСоболеоского\b", "Соболевского"),
+    (r"\bГатчинска\s+ул\b", "Гатчинская ул"), (r"\bХвалыиская\b", "Хвалынская"), (r"\bсусаниио\b", "Сусанино"), (r"\bоммунар\b", "Коммунар"),
+    (r"\bУрицкого\s+пр\.?\s*713\b", "Урицкого пр. 77/3"), (r"\bУрицкого\s+пр[-.\s]+73\b", "Урицкого пр. 77/3"),
+)
+# Street types of sheets, which go without a dot or with one after a short form, and the parts of a house.
+SHEET_TYPES = (("ул", "улица"), ("пр", "проспект"), ("ш", "шоссе"), ("пер", "переулок"), ("пл", "площадь"), ("наб", "набережная"), ("", "б-р"), ("", "бульвар"), ("", "линия"), ("", "пр-д"), ("", "проезд"))
+SHEET_PARTS = (("к", False), ("корп", True), ("лит", True), ("стр", True))
+# What speaks for an address in a table's cell, for a header row, and for a fragment of a line.
+CELL_MARKERS = ("ул", "улица", "пр", "проспект", "пр-т", "шоссе", "наб", "набережная", "пер", "переулок", "пл", "площадь", "дом", "д.", "корп", "лит", "санкт-петербург", "спб", "ленинградская")
+HEADER_MARKERS = ("адрес", "название", "магазин", "комментар", "номер", "order", "address", "name")
+FRAGMENT_WORDS = ("а", "в", "и", "ул", "кая", "ков", "срое")
+FRAGMENT_STARTS = ("ыкников ", ". ", "- ", "в пр", "а хвал")
+
+# Types of streets in suggestions and the words that they stand for.
+SUGGEST_TYPES = {
+    "ул": "улица", "улица": "улица", "улицы": "улица", "пр": "проспект", "просп": "проспект", "пр-т": "проспект", "проспект": "проспект", "пер": "переулок", "переулок": "переулок",
+    "наб": "набережная", "набережная": "набережная", "пл": "площадь", "площадь": "площадь", "ш": "шоссе", "шоссе": "шоссе", "б-р": "бульвар", "бул": "бульвар", "бульвар": "бульвар",
+}
+SUGGEST_BARE_TYPES = ("проезд", "дорога", "линия")
+SUGGEST_CITY_TOKENS = ("санкт", "петербург", "ленинградская", "область", "россия")
+SUGGEST_CITY_PREFIXES = ("санкт-петербург", "санкт петербург", "спб", "петербург", "ленинградская область", "россия")
+SUGGEST_CITY_PARTS = ("санкт-петербург", "санкт петербург", "спб")
+HIGHWAY_KINDS = ("road", "residential", "primary", "secondary", "tertiary", "unclassified", "service", "living_street", "pedestrian")
+SECONDARY_KEYS = ("shop", "amenity", "tourism", "building", "allotments", "neighbourhood", "quarter", "suburb", "city_district", "municipality", "hamlet", "village", "town", "city", "county", "state_district", "state", "postcode", "country")

@@ -83,7 +83,7 @@ def _expanded(x: Column) -> Column:
     return _sub(_spelt(x, rules.HOUSE_ABBREVIATIONS), r"\bдом\s+", "дом ")
 
 
-#: Words that only addresses have.
+# Words that only addresses have.
 _MARKER = (
     "(?U)"
     + r"\b(?:спб|с\.?\s*петербург|санкт(?:[-\s]+петербург)?|петербург|ленинградская\s+область|ленобласть|улиц[аы]|остров|литера|строение|корпус|дом|"
@@ -140,20 +140,28 @@ def label(x: Column) -> Column:
 
 
 def _named(x: Column, items) -> Column:
-    """The longest of the items that stands in x as words."""
-    return F.coalesce(*(F.when(F.rlike(x, F.lit(rf"(?U)(^|\s|,){re.escape(i)}($|\s|,)")), i) for i in sorted(items, key=len, reverse=True)))
+    """The longest of the items that stands in x as words: one search for all of them, the longest first at each place."""
+    order = sorted(items, key=len, reverse=True)
+    every = rf"(?U)(?<![^\s,])(?:{'|'.join(re.escape(i) for i in order)})(?![^\s,])"
+    rank = F.create_map(*(F.lit(v) for n, i in enumerate(order) for v in (i, n)))
+    first = F.array_min(F.transform(F.regexp_extract_all(x, F.lit(every), F.lit(0)), lambda m: F.element_at(rank, m)))
+    return F.get(F.array(*(F.lit(i) for i in order)), first)
 
 
-def region_of(clean: Column) -> Column:
-    x = label(clean)
+def _region(x: Column, city_town: Column, region_town: Column) -> Column:
     return (
-        F.when(_named(x, rules.CITY_ALIASES).isNotNull(), rules.CITY)
+        F.when(F.rlike(x, F.lit(rf"(?U)(?<![^\s,])(?:{'|'.join(re.escape(i) for i in rules.CITY_ALIASES)})(?![^\s,])")), rules.CITY)
         .when(F.rlike(x, F.lit(r"(?U)\b(ленинградская область|ленобласть|лен обл)\b")), rules.REGION)
-        .when(_named(x, rules.CITY_SETTLEMENTS).isNotNull(), rules.CITY)
-        .when(_named(x, rules.REGION_SETTLEMENTS).isNotNull(), rules.REGION)
+        .when(city_town.isNotNull(), rules.CITY)
+        .when(region_town.isNotNull(), rules.REGION)
     )
 
 
+def region_of(clean: Column) -> Column:
+    x = label(clean)
+    return _region(x, _named(x, rules.CITY_SETTLEMENTS), _named(x, rules.REGION_SETTLEMENTS))
+
+
 def settlement_of(clean: Column) -> Column:
     x = label(clean)
     return F.coalesce(_named(x, rules.CITY_SETTLEMENTS), _named(x, rules.REGION_SETTLEMENTS))
@@ -186,19 +194,23 @@ def street_of(clean: Column) -> Column:
     before, after = rf"\b({types})\s+(.+?){end}", rf"(.+?)\s+({types}){end}"
     rest = _isub(_isub(without_region(clean), r"\b(корпус|строение|литера)\s+\S+"), rf"\bдом\s*{_NUMBER}")
     rest = F.btrim(_isub(rest, rf"{_NUMBER}\s*$"), F.lit(" ,"))
-    return F.coalesce(
-        F.when(_get(clean, before, 1).isNotNull(), F.trim(F.concat(_get(clean, before, 1), F.lit(" "), bare(_get(clean, before, 2))))),
-        F.when(_get(clean, after, 2).isNotNull(), F.trim(F.concat(bare(_get(clean, after, 1)), F.lit(" "), _get(clean, after, 2)))),
-        F.nullif(rest, F.lit("")),
+    return (
+        F.when(F.rlike(clean, F.lit("(?iU)" + before)), F.trim(F.concat(_get(clean, before, 1), F.lit(" "), bare(_get(clean, before, 2)))))
+        .when(F.rlike(clean, F.lit("(?iU)" + after)), F.trim(F.concat(bare(_get(clean, after, 1)), F.lit(" "), _get(clean, after, 2))))
+        .otherwise(F.nullif(rest, F.lit("")))
     )
 
 
 def parsed(df, address: str = "raw"):
-    """df with clean, region, settlement, street, house, corpus, building, letter and normalized_key read from an address column."""
+    """df with clean, region, settlement, street, house, corpus, building, letter and normalized_key read from an address column.
+
+    Columns are added step by step, so that each step reads what the one before it has made.
+    """
     df = df.withColumn("clean", cleaned(F.col(address)))
     c = F.col("clean")
-    df = df.withColumns({"region": region_of(c), "settlement": settlement_of(c), "street": street_of(c), "house": house_of(c)})
-    df = df.withColumns({"corpus": part_of(c, "корпус"), "building": part_of(c, "строение"), "letter": part_of(c, "литера")})
+    df = df.withColumn("_label", label(c)).withColumns({"_city": _named(F.col("_label"), rules.CITY_SETTLEMENTS), "_town": _named(F.col("_label"), rules.REGION_SETTLEMENTS)})
+    df = df.withColumns({"region": _region(F.col("_label"), F.col("_city"), F.col("_town")), "settlement": F.coalesce("_city", "_town"), "street": street_of(c), "house": house_of(c)})
+    df = df.withColumns({"corpus": part_of(c, "корпус"), "building": part_of(c, "строение"), "letter": part_of(c, "литера")}).drop("_label", "_city", "_town")
     return df.withColumn("normalized_key", F.concat_ws("|", *(F.nullif(F.col(x), F.lit("")) for x in ("region", "settlement", "street", "house", "corpus", "building", "letter"))))
 
 

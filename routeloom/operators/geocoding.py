@@ -14,7 +14,10 @@ def house_matches(house: Column, display: Column, raw_house: Column | None = Non
     """Whether a candidate has the house asked for: in its own field, or bounded in its name. No house asked for matches all."""
     h = T.folded(house)
     own = F.coalesce(T.folded(raw_house) == h, F.lit(False)) if raw_house is not None else F.lit(False)
-    bounded = F.regexp(T.folded(display), F.concat(F.lit(r"(?U)(^|[\s,/])\Q"), h, F.lit(r"\E($|[\s,/])")))
+    d = T.folded(display)
+    # blanks, commas and slashes bound a house; one whose own sign is a bound must stand as it is, too
+    apart = lambda x: F.regexp_replace(x, r"(?U)[\s,/]", " ")
+    bounded = F.contains(d, h) & F.contains(F.concat(F.lit(" "), apart(d), F.lit(" ")), F.concat(F.lit(" "), apart(h), F.lit(" ")))
     return F.coalesce(F.length(house) == 0, F.lit(True)) | own | F.coalesce(bounded, F.lit(False))
 
 
@@ -52,12 +55,28 @@ def candidate_score(df: DataFrame) -> DataFrame:
 
 def best_candidates(scored: DataFrame, keys: list[str], position: str = "pos") -> DataFrame:
     """The row of the highest score for each key, the first of equal ones, and its status."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), position)
-    best = scored.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    rest = [c for c in scored.columns if c not in keys]
+    best = scored.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("score", -F.col(position))).alias("b")).select(*keys, "b.*")
     status = F.when(F.col("score") < 35, "not_found").when((F.col("score") >= 80) & F.col("house_match"), "found").otherwise("ambiguous")
     return best.withColumn("status", status)
 
 
+def best_for_requests(requests: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
+    """The best candidate (see candidate_score) for each request, with its columns, score and status.
+
+    requests have id and what they ask for; candidates share the columns `on` with them, have a
+    place in order `pos` and whatever else scores are made of. Requests that ask for the same are
+    scored once.
+    """
+    asked = [c for c in requests.columns if c != "id"]
+    best = best_candidates(candidate_score(requests.select(*asked).distinct().join(candidates, on)), asked)
+    same = None
+    for c in asked:
+        cond = F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
+        same = cond if same is None else same & cond
+    return requests.alias("r").join(best.alias("b"), same).select("r.id", "b.*")
+
+
 def attempts_until_sure(attempts: DataFrame) -> DataFrame:
     """The attempts (id, pos, query, score, house_match) that a search makes before it stops, with `selected` for the best.
 

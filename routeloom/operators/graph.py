@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def _reliable(spark: SparkSession) -> None:
-    """Checkpoints need a folder: the session's, or one of our own where none is named (tests)."""
+    """Checkpoints need a folder: the session's, or one of our own where none is named and driver and tasks are one process (tests)."""
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='routeloom-')}")
 
 

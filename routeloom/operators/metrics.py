@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.functions.scalars import nearest_rank
+from routeloom.operators.graph import written
 
 
 def histograms(calls: DataFrame, fields: list[str]) -> DataFrame:
@@ -17,17 +17,20 @@ def histograms(calls: DataFrame, fields: list[str]) -> DataFrame:
 def latency(calls: DataFrame, keys: list[str], value: str = "latency") -> DataFrame:
     """Count, least, mean, greatest and the nearest-rank 50th, 95th and 99th percentiles of a value.
 
-    Equal values are counted first, and ranks come from running counts over the distinct ones,
-    so that no task holds a group's rows: sums of counts tell the place.
+    Equal values are counted first. The distinct ones are dealt by ranges of group and value;
+    the counts of whole ranges, a few rows for each, tell where a range begins in its group, and
+    running counts within it tell the place. So one group may span all tasks.
     """
-    from pyspark.sql import Window
-
     some = calls.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("v")
-    run = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = some.withColumns({"upto": run, "n": F.sum("c").over(Window.partitionBy(*keys))})
+    dealt = written(some.repartitionByRange(*keys, "v").withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy(*keys, "part").agg(F.sum("c").alias("c"))
+    own = Window.partitionBy(*keys)
+    before = parts.select(*keys, "part", (F.sum("c").over(own.orderBy("part")) - F.col("c")).alias("before"), F.sum("c").over(own).alias("n"))
+    same = None
+    for k in [*keys, "part"]:
+        cond = F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}"))
+        same = cond if same is None else same & cond
+    placed = dealt.alias("d").join(before.alias("b"), same).select("d.*", "before", "n")
+    upto = F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("v")) + F.col("before")
     at = lambda p: F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("n") - 1)), F.col("v")))
-    return ranked.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("least"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.max("v").alias("greatest"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
-
-
-__all__ = ["histograms", "latency", "nearest_rank"]
+    return placed.withColumn("upto", upto).groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("least"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.max("v").alias("greatest"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))

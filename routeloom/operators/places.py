@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import geo, rules
 from routeloom.functions.scalars import first_filled
-from routeloom.functions.similarity import ratio
-from routeloom.functions.text import brand_text
+from routeloom.functions.similarity import containing_pairs, ratio
+from routeloom.functions.text import brand_text, cache_key
 
 
 def detect_brands(texts: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -22,8 +22,6 @@ def detect_brands(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     a = aliases.select(brand_text(F.col("alias")).alias("akey"), "brand", "alias", F.col("ord").alias("aord")).filter("akey <> ''")
     a = a.groupBy("akey").agg(F.max_by(F.struct("brand", "alias"), "aord").alias("a"), F.min("aord").alias("aord"))
     values = texts.select(brand_text(F.col("value")).alias("vkey")).filter("vkey <> ''").distinct()
-    from routeloom.functions.similarity import containing_pairs
-
     held = containing_pairs(a.select(F.col("akey").alias("l")), values.select(F.col("vkey").alias("r")))
     met = held.filter((F.length("l") > 2) | (F.col("l") == F.col("r"))).join(a, F.col("l") == F.col("akey"))
     best = met.groupBy(F.col("r").alias("vkey")).agg(F.min_by("a", F.struct(F.col("l") != F.col("r"), -F.length("l"), "aord")).alias("a"))
@@ -134,6 +132,51 @@ def search(queries: DataFrame, places: DataFrame, radius_m: float = 5000.0, top:
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select("query_id", "id", "distance_m", "score", "place")
 
 
+def query_text(text: Column) -> Column:
+    """What a place is asked for by: the address's key, or the words of a name where there is no key."""
+    return F.coalesce(cache_key(text, None), brand_text(text), F.lit(""))
+
+
+def by_class(queries: DataFrame, places: DataFrame, radius_m: float = 5000.0, limit: int = 5) -> DataFrame:
+    """(query_id, id, match, distance_m, place): candidates for queries (query_id, text, brand, lat, lon) in the order in which they are scored next.
+
+    A query with a brand takes its places; another takes those whose normalized_address holds its
+    key or whose address, name or brand holds its text, whatever the case. Queries with a point
+    take only places within radius_m. Places come by match (0 key, 1 address, 2 name, 3 else),
+    confidence and age; a hundred at least, ten times the limit, three hundred with a brand, a
+    thousand at most.
+    """
+    q = queries.withColumns({"key": query_text(F.col("text")), "low": F.lower(F.trim("text"))})
+    p = places.select("id", F.col("brand").alias("own"), "name", "address", "normalized_address", "confidence", "updated_at", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    texts = p.select("id", F.explode(F.array_compact(F.array(*(F.lower(c) for c in ("normalized_address", "address", "name", "own"))))).alias("r"))
+    bare = q.filter("brand IS NULL AND length(low) > 0")
+    asked = bare.select("query_id", F.explode(F.array_distinct(F.array("key", "low"))).alias("l"))
+    held = asked.join(containing_pairs(asked.select("l"), texts.select("r")), "l").join(texts, "r").select("query_id", "id").distinct()
+    named = q.filter("brand IS NOT NULL").select("query_id", F.col("brand").alias("own")).join(p.select("id", "own"), "own").select("query_id", "id")
+    met = held.unionByName(named).join(q, "query_id").join(p, "id")
+    metres = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), geo.haversine("lat", "lon", "plat", "plon"))
+    holds = lambda c, t: F.coalesce(F.contains(F.lower(c), F.col(t)), F.lit(False))
+    match = F.when(holds("normalized_address", "key"), 0).when(holds("address", "low"), 1).when(holds("name", "low"), 2).otherwise(3)
+    met = met.withColumns({"distance_m": metres, "match": match}).filter(F.col("distance_m").isNull() | (F.col("distance_m") <= radius_m))
+    order = Window.partitionBy("query_id").orderBy("match", F.desc_nulls_last("confidence"), F.desc_nulls_last("updated_at"), "id")
+    most = F.when(F.col("brand").isNull(), min(max(10 * limit, 100), 1000)).otherwise(min(max(10 * limit, 300), 1000))
+    return met.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("query_id", "id", "match", "distance_m", "place")
+
+
+def answers(places: DataFrame) -> DataFrame:
+    """Places as they are handed out."""
+    return places.select("id", F.col("brand").alias("canonical_brand"), "name", "address", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("confidence").alias("confidence_score"), "distance_m", "osm_type", "osm_id", F.lit("known_pois").alias("source"))
+
+
+def within_or_unknown(places: DataFrame, radius_m: float) -> DataFrame:
+    """Places within the radius, and those whose distance isn't known."""
+    return places.filter(F.col("distance_m").isNull() | (F.col("distance_m") <= radius_m))
+
+
+def aliases_of(aliases: DataFrame, brand: str) -> DataFrame:
+    return aliases.filter(F.col("brand") == brand).select("alias").distinct()
+
+
 def resolve(found: DataFrame) -> DataFrame:
     """(query_id, status, id) from search: matched if the best has 0.86 and leads by 0.08, else ambiguous."""
     out = found.groupBy("query_id").agg(F.max(F.when(F.col("place") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("s2"), F.max(F.when(F.col("place") == 1, F.col("id"))).alias("first"))

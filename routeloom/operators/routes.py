@@ -11,11 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from routeloom.functions.scalars import rounded
+
+#: A start, an end and a hundred stops between them.
 MAX_POINTS = 102
 
 
 def check_matrix(matrix: DataFrame) -> DataFrame:
-    """(job, points, error) for cells (job, i, j, cost): the first rule that a matrix breaks, or null."""
+    """(job, points, error) for cells (job, i, j, cost): the first rule that a matrix breaks, or null; over MAX_POINTS points are too many."""
     c = F.col("cost")
     out = matrix.groupBy("job").agg(
         F.max(F.greatest("i", "j")).alias("last"),
@@ -27,7 +30,7 @@ def check_matrix(matrix: DataFrame) -> DataFrame:
         F.count_if((F.col("i") == F.col("j")) & (F.abs(c) > 1.0)).alias("diagonal"),
     )
     n = F.col("last") + 1
-    error = F.when((F.col("cells") != n * n) | (F.col("places") != n * n), "shape").when(F.col("missing") > 0, "missing").when(F.col("endless") > 0, "not finite").when(F.col("negative") > 0, "negative").when(F.col("diagonal") > 0, "diagonal")
+    error = F.when(n > MAX_POINTS, "too many points").when((F.col("cells") != n * n) | (F.col("places") != n * n), "shape").when(F.col("missing") > 0, "missing").when(F.col("endless") > 0, "not finite").when(F.col("negative") > 0, "negative").when(F.col("diagonal") > 0, "diagonal")
     return out.select("job", n.alias("points"), error.alias("error"))
 
 
@@ -61,24 +64,57 @@ def _improved(order: list[int], cost: np.ndarray, most: int = 100, least: float
     return o.tolist()
 
 
+def _matrix_of(cells: np.ndarray) -> np.ndarray | None:
+    """The matrix of rows (i, j, cost), or None if it breaks a rule of check_matrix."""
+    n = int(cells[:, :2].max()) + 1
+    if n > MAX_POINTS or len(cells) != n * n or cells[:, :2].min() < 0:
+        return None
+    cost = np.full((n, n), np.nan)
+    cost[cells[:, 0].astype(int), cells[:, 1].astype(int)] = cells[:, 2]
+    fine = np.isfinite(cost).all() and (cost >= 0).all() and (np.abs(np.diagonal(cost)) <= 1.0).all()
+    return cost if fine else None
+
+
 def order_stops(matrix: DataFrame, improve: bool = True) -> DataFrame:
     """(job, ord, stop): from point 0 to the last one by the nearest next stop, then (improve) by reversals while these help.
 
-    Jobs whose matrix isn't valid are left out; see check_matrix.
+    Jobs whose matrix breaks a rule have no rows here; check_matrix names the rule. Rows are
+    dealt by job and sorted, and one call of the function takes the many jobs of a task, each a
+    matrix of MAX_POINTS points at most; what a larger one brings is passed over as it comes.
     """
-
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        n = int(cells["i"].max()) + 1
-        cost = np.zeros((n, n))
-        cost[cells["i"], cells["j"]] = cells["cost"]
-        order = _nearest(cost) if n > 1 else [0]
-        if improve and n > 3:
-            order = _improved(order, cost)
-        return pd.DataFrame({"job": cells["job"].iloc[0], "ord": range(n), "stop": order})
-
-    fine = check_matrix(matrix).filter(F.col("error").isNull() & (F.col("points") <= MAX_POINTS)).select("job")
     job = matrix.schema["job"].dataType.simpleString()
-    return matrix.join(fine, "job", "left_semi").groupBy("job").applyInPandas(run, f"job {job}, ord int, stop int")
+
+    def run(parts):
+        held, name, size = [], None, 0
+
+        def done() -> pd.DataFrame | None:
+            cost = _matrix_of(np.concatenate(held)) if held and size <= MAX_POINTS**2 else None
+            if cost is None:
+                return None
+            order = _nearest(cost) if len(cost) > 1 else [0]
+            if improve and len(cost) > 3:
+                order = _improved(order, cost)
+            return pd.DataFrame({"job": name, "ord": np.arange(len(order), dtype=np.int32), "stop": np.array(order, np.int32)})
+
+        for part in parts:
+            jobs, cells = part["job"].to_numpy(), part[["i", "j", "cost"]].to_numpy(float)
+            cuts = np.flatnonzero(jobs[1:] != jobs[:-1]) + 1
+            out = []
+            for begin, end in zip([0, *cuts], [*cuts, len(jobs)], strict=True):
+                if end > begin and jobs[begin] != name:
+                    out.append(done())
+                    held, name, size = [], jobs[begin], 0
+                size += end - begin
+                if size <= MAX_POINTS**2:
+                    held.append(cells[begin:end])
+            out = [x for x in out if x is not None]
+            if out:
+                yield pd.concat(out)
+        if (last := done()) is not None:
+            yield last
+
+    dealt = matrix.select("job", "i", "j", "cost").filter("job IS NOT NULL").repartition("job").sortWithinPartitions("job", "i", "j")
+    return dealt.mapInPandas(run, f"job {job}, ord int, stop int")
 
 
 def legs(order: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -145,7 +181,7 @@ def batch_totals(rows: DataFrame, leg_rows: DataFrame | None = None) -> DataFram
         return out.withColumn("cost", F.lit(None).cast("double"))
     w = Window.partitionBy("job", "batch").orderBy("ord")
     steps = rows.select("job", "batch", F.col("ord").alias("from_order"), F.lead("ord").over(w).alias("to_order")).filter("to_order IS NOT NULL")
-    cost = steps.join(leg_rows.select("job", "from_order", "to_order", "cost"), ["job", "from_order", "to_order"], "left").groupBy("job", "batch").agg(F.round(F.sum("cost"), 2).alias("cost"))
+    cost = steps.join(leg_rows.select("job", "from_order", "to_order", "cost"), ["job", "from_order", "to_order"], "left").groupBy("job", "batch").agg(rounded(F.sum("cost")).alias("cost"))
     return out.join(cost, ["job", "batch"], "left")
 
 
@@ -158,6 +194,7 @@ def links(rows: DataFrame, base: str, slug: str = "", default_slug: str = "", de
     stops = F.array_join(F.transform("p", lambda s: F.concat_ws(",", number(s["lat"]), number(s["lon"]))), "~")
     centre = F.concat_ws(",", number(F.col("lon")), number(F.col("lat")))
     url = F.concat(F.lit(f"{base}/{slug or default_slug}/?ll="), F.replace(centre, F.lit(","), F.lit("%2C")), F.lit("&mode=routes&rtext="), F.replace(stops, F.lit(","), F.lit("%2C")), F.lit("&rtn=1&rtt=auto"))
+    # fixed values: the texts of the warnings
     warnings = F.array_compact(
         F.array(
             F.when(F.size("p") > most_points, "Batch contains many points"),

@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from routeloom.functions import geo, scalars
 from routeloom.functions import text as T
 from routeloom.functions.similarity import similar_pairs
 from routeloom.operators import geocoding, metrics, places, register, routes, sheets, snapshots, suggestions
-from routeloom.plans.fixtures import view, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None, views: tuple[str, ...] = ()):
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: view(spark, sf_dir, name))
-
-        QUERIES[f.__name__] = run
-        if oracle:
-            ORACLES[f.__name__] = (with_views(*views) + "\n" if views else "") + oracle
-        return f
-
-    return add
-
+from routeloom.plans.registry import query
 
 _METRES = "12742000 * atan2(sqrt(h), sqrt(1 - h))"
 _H = "pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2)"
@@ -125,9 +106,9 @@ def place_resolve(v):
     return places.resolve(places.search(v("queries"), v("places")))
 
 
-@query(f"SELECT brand, a, b, round({_METRES}, 3) AS distance_m FROM (SELECT a.brand, a.id AS a, b.id AS b, {_H} AS h FROM places a JOIN places b ON a.brand = b.brand AND a.id < b.id) WHERE {_METRES} <= 80", ("places",))
+@query(f"SELECT brand, a, b, round({_METRES}, 3) AS distance_m FROM (SELECT a.brand, a.id AS a, b.id AS b, a.address = b.address AS same, {_H} AS h FROM near_places a JOIN near_places b ON a.brand = b.brand AND a.id < b.id) WHERE {_METRES} <= 30 OR same AND {_METRES} <= 80", ("near_places",))
 def duplicate_pairs(v):
-    return places.duplicate_pairs(v("places"), same_m=80.0).select("brand", "a", "b", F.round("distance_m", 3).alias("distance_m"))
+    return places.duplicate_pairs(v("near_places")).select("brand", "a", "b", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query()
@@ -224,20 +205,33 @@ def attempt_early_exit(v):
     return geocoding.attempts_until_sure(v("attempts"))
 
 
+_CANDIDATES = """SELECT name, object_id AS pos, object_id, concat(full_name, CASE object_id % 5 WHEN 0 THEN ', Санкт-Петербург' WHEN 1 THEN ', Ленинградская область' WHEN 2 THEN ', Россия' ELSE '' END, CASE object_id % 3 WHEN 0 THEN concat(', ', cast(object_id % 60 + 10 AS string), ' к') ELSE '' END) AS display,
+    CASE object_id % 2 WHEN 0 THEN 'opencage' ELSE 'nominatim' END AS provider, cast(object_id % 101 AS double) / 100 AS importance, cast(object_id % 11 AS double) AS confidence, CASE object_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 30 WHEN 2 THEN 26 ELSE 28 END AS place_rank,
+    CASE object_id % 7 WHEN 6 THEN NULL WHEN 5 THEN cast(55.75 AS double) ELSE cast(59.93 AS double) + cast(object_id % 7 AS double) / 50 END AS lat, cast(30.33 AS double) + cast(object_id % 9 AS double) / 30 AS lon"""
+
+
 @query(
-    """, c AS (SELECT id, place, (CASE WHEN contains(lower(full_name), name1) THEN 1 ELSE 0 END + CASE WHEN contains(lower(full_name), name2) THEN 1 ELSE 0 END + CASE WHEN contains(lower(full_name), house) THEN 1 ELSE 0 END) AS held, name1, name2, full_name, house, confidence, object_id FROM
-  (SELECT r.id, r.house, string_split(r.name, ' ')[1] AS name1, string_split(r.name, ' ')[2] AS name2, s.full_name, s.object_id, s.object_id AS place, s.object_id % 10 AS confidence FROM requests r JOIN streets s ON s.name = r.name))
-SELECT id, object_id, status, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, place) AS n, CASE WHEN score < 35 THEN 'not_found' ELSE 'ambiguous' END AS status
-  FROM (SELECT *, greatest(0.0, least(100.0, 30 + 4 * held + least(confidence * 6.0, 45.0) + 12 - 35 + 20 + 10))::double AS score FROM c)) WHERE n = 1""",
+    f""", c AS ({_CANDIDATES} FROM streets), r AS (SELECT id, name, house, name || ' ' || house AS query, CASE form WHEN 0 THEN 'Санкт-Петербург' WHEN 1 THEN 'Ленинградская область' WHEN 2 THEN '' END AS hint FROM requests),
+m AS (SELECT DISTINCT name, house, query, hint FROM r),
+x AS (SELECT m.*, c.* EXCLUDE (name), lower(display) AS d, string_split(query, ' ') AS words, regexp_matches(lower(display), '(^|[\\s,/])' || house || '($|[\\s,/])') AS hm,
+  lat BETWEEN 58.30 AND 61.40 AND lon BETWEEN 27.20 AND 35.80 AS inside, 12742000 * asin(sqrt(pow(sin(radians(59.93 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(59.93)) * pow(sin(radians(30.33 - lon) / 2), 2))) AS metres FROM m JOIN c ON c.name = m.name),
+y AS (SELECT *, 30 + 4 * len(list_filter(words, lambda w: contains(d, w))) + CASE provider WHEN 'opencage' THEN least(confidence * 6, 45) ELSE least(importance * 40, 35) END
+  + CASE WHEN place_rank >= 30 THEN 10 WHEN place_rank <= 26 THEN -20 ELSE 0 END + 12 + CASE WHEN hm THEN 25 ELSE -35 END
+  + CASE WHEN coalesce(hint, '') = '' THEN 0 WHEN hint = 'Санкт-Петербург' AND contains(d, 'петербург') THEN 10 WHEN hint = 'Ленинградская область' AND contains(d, 'ленинградская область') THEN 10 WHEN contains(d, 'россия') THEN -5 ELSE 0 END
+  + CASE WHEN lat IS NULL THEN 0 WHEN NOT inside THEN -50 ELSE CASE WHEN metres <= 10000 THEN 20 ELSE -20 END + CASE WHEN metres <= 3000 THEN 10 ELSE 0 END END AS raw FROM x),
+b AS (SELECT *, greatest(0.0, least(100.0, raw))::double AS score FROM y QUALIFY row_number() OVER (PARTITION BY name, house, query, hint ORDER BY greatest(0.0, least(100.0, raw)) DESC, pos) = 1)
+SELECT r.id, object_id, CASE WHEN score < 35 THEN 'not_found' WHEN score >= 80 AND hm THEN 'found' ELSE 'ambiguous' END AS status, round(score, 6) AS score, round(CASE WHEN inside THEN metres END, 3) AS distance_m
+FROM r JOIN b ON b.name = r.name AND b.house = r.house AND b.hint IS NOT DISTINCT FROM r.hint""",
     ("requests", "streets"),
 )
 def candidate_best(v):
-    r = v("requests").select("id", "name", "house", F.concat_ws(" ", "name", "house").alias("query"))
-    c = r.join(v("streets").select("name", "object_id", F.col("full_name").alias("display")), "name")
-    c = c.withColumns({"provider": F.lit("opencage"), "importance": F.lit(None).cast("double"), "confidence": (F.col("object_id") % 10).cast("double"), "place_rank": F.lit(None).cast("int"), "street": F.col("name"), "region_hint": F.lit(None).cast("string")})
-    c = c.withColumns({k: F.lit(x) for k, x in {"lat": 59.93, "lon": 30.33, "area_lat": 59.93, "area_lon": 30.33, "area_km": 30.0}.items()})
-    out = geocoding.best_candidates(geocoding.candidate_score(c), ["id"], "object_id")
-    return out.select("id", "object_id", "status", F.round("score", 6).alias("score"))
+    hint = F.when(F.col("form") == 0, "Санкт-Петербург").when(F.col("form") == 1, "Ленинградская область").when(F.col("form") == 2, "")
+    r = v("requests").select("id", "name", "house", F.concat_ws(" ", "name", "house").alias("query"), hint.alias("region_hint"))
+    s = v("streets")
+    c = s.sparkSession.sql(f"{_CANDIDATES} FROM {{streets}}", streets=s)
+    c = c.withColumn("street", F.col("name")).withColumns({k: F.lit(x) for k, x in {"area_lat": 59.93, "area_lon": 30.33, "area_km": 10.0}.items()})
+    out = geocoding.best_for_requests(r, c, ["name"])
+    return out.select("id", "object_id", "status", F.round("score", 6).alias("score"), F.round("distance_m", 3).alias("distance_m"))
 
 
 @query("SELECT query_id, pos, name, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lat, lon, lower(trim(name)) ORDER BY pos) AS n FROM items) WHERE n = 1", ("items",))
@@ -258,25 +252,32 @@ def street_completion(v):
     return suggestions.complete_streets(v("items")).select("query_id", "pos", "name", "key")
 
 
-@query("SELECT job, max(i) + 1 AS points, cast(NULL AS string) AS error FROM matrix GROUP BY job", ("matrix",))
+@query(
+    """SELECT job, points, CASE WHEN cells <> points * points THEN 'shape' WHEN missing > 0 THEN 'missing' WHEN endless > 0 THEN 'not finite' WHEN negative > 0 THEN 'negative' WHEN diagonal > 0 THEN 'diagonal' END AS error
+FROM (SELECT job, max(greatest(i, j)) + 1 AS points, count(*) AS cells, count(*) FILTER (cost IS NULL) AS missing, count(*) FILTER (isinf(cost) OR isnan(cost)) AS endless, count(*) FILTER (cost < 0) AS negative, count(*) FILTER (i = j AND cost > 1) AS diagonal FROM broken GROUP BY job)""",
+    ("broken",),
+)
 def matrix_validate(v):
-    return routes.check_matrix(v("matrix"))
+    return routes.check_matrix(v("broken"))
 
 
-@query("SELECT a.job, cast(a.i AS int) AS from_order, cast(a.j AS int) AS to_order, a.cost FROM matrix a WHERE a.j = a.i + 1", ("matrix",))
+@query("SELECT a.job, cast(a.ord AS int) AS from_order, cast(b.ord AS int) AS to_order, m.cost FROM order_ a JOIN order_ b ON a.job = b.job AND b.ord = a.ord + 1 JOIN matrix m ON m.job = a.job AND m.i = a.stop AND m.j = b.stop", ("order_", "matrix"))
 def route_legs(v):
-    m = v("matrix")
-    order = m.filter("j = 0").select("job", F.col("i").alias("ord"), F.col("i").alias("stop"))
-    return routes.legs(order, m).select("job", "from_order", "to_order", "cost")
+    return routes.legs(v("order_"), v("matrix")).select("job", "from_order", "to_order", "cost")
 
 
-@query("SELECT job, sum(cost) AS cost FROM matrix WHERE j = i + 1 GROUP BY job", ("matrix",))
+@query("SELECT a.job, sum(m.cost) AS cost FROM order_ a JOIN order_ b ON a.job = b.job AND b.ord = a.ord + 1 JOIN matrix m ON m.job = a.job AND m.i = a.stop AND m.j = b.stop GROUP BY a.job", ("order_", "matrix"))
 def path_cost(v):
-    m = v("matrix")
-    return routes.path_cost(m.filter("j = 0").select("job", F.col("i").alias("ord"), F.col("i").alias("stop")), m)
+    return routes.path_cost(v("order_"), v("matrix"))
 
 
-@query()
+_NEAREST = """WITH RECURSIVE m AS (SELECT *, max(i) OVER (PARTITION BY job) AS last FROM matrix), w AS (
+  SELECT DISTINCT job, 0 AS ord, 0 AS stop, [0] AS seen, last FROM m
+  UNION ALL SELECT w.job, w.ord + 1, arg_min(m.j, m.cost * 1000 + m.j), list_append(w.seen, arg_min(m.j, m.cost * 1000 + m.j)), w.last FROM w JOIN m ON m.job = w.job AND m.i = w.stop AND m.j < w.last AND NOT list_contains(w.seen, m.j) GROUP BY w.job, w.ord, w.seen, w.last)
+SELECT job, cast(ord AS int) AS ord, cast(stop AS int) AS stop FROM w UNION ALL SELECT DISTINCT job, cast(last AS int), cast(last AS int) FROM m"""
+
+
+@query(_NEAREST, ("matrix",))
 def nearest_stops(v):
     return routes.order_stops(v("matrix"), improve=False)
 
@@ -304,10 +305,12 @@ def batch_fixed(v):
     return routes.batches(v("points"), by_district=False)
 
 
-@query(f"{_FIXED}, d AS (SELECT job, batch, district, min(ord) AS o FROM rows_ WHERE NOT is_transition AND district IS NOT NULL GROUP BY job, batch, district), e AS (SELECT job, batch, string_agg(district, ',' ORDER BY o) AS districts, count(*) AS n, min(district) AS one FROM d GROUP BY job, batch) SELECT r.job, cast(r.batch AS int) AS batch, count(*) AS points, coalesce(any_value(districts), '') AS districts, CASE WHEN any_value(n) = 1 THEN any_value(one) END AS district FROM rows_ r LEFT JOIN e ON e.job = r.job AND e.batch = r.batch GROUP BY r.job, r.batch", ("points",))
+@query(f"{_FIXED}, d AS (SELECT job, batch, district, min(ord) AS o FROM rows_ WHERE NOT is_transition AND district IS NOT NULL GROUP BY job, batch, district), e AS (SELECT job, batch, string_agg(district, ',' ORDER BY o) AS districts, count(*) AS n, min(district) AS one FROM d GROUP BY job, batch), l AS (SELECT job, batch, round(sum(((job + ord * 37) % 1000) / 8.0), 2) AS cost FROM (SELECT *, lead(ord) OVER (PARTITION BY job, batch ORDER BY ord) AS nxt FROM rows_) WHERE nxt IS NOT NULL GROUP BY job, batch) SELECT r.job, cast(r.batch AS int) AS batch, count(*) AS points, coalesce(any_value(districts), '') AS districts, CASE WHEN any_value(n) = 1 THEN any_value(one) END AS district, any_value(cost) AS cost FROM rows_ r LEFT JOIN e ON e.job = r.job AND e.batch = r.batch LEFT JOIN l ON l.job = r.job AND l.batch = r.batch GROUP BY r.job, r.batch", ("points",))
 def batch_totals(v):
-    out = routes.batch_totals(routes.batches(v("points"), by_district=False))
-    return out.select("job", "batch", "points", F.array_join("districts", ",").alias("districts"), "district")
+    p = v("points")
+    legs = p.filter("type <> 'end'").select("job", F.col("ord").alias("from_order"), (F.col("ord") + 1).alias("to_order"), (((F.col("job") + F.col("ord") * 37) % 1000) / 8.0).alias("cost"))
+    out = routes.batch_totals(routes.batches(p, by_district=False), legs)
+    return out.select("job", "batch", "points", F.array_join("districts", ",").alias("districts"), "district", "cost")
 
 
 @query()
@@ -315,10 +318,16 @@ def batch_district(v):
     return routes.batches(v("stops").unionByName(v("points").filter("type <> 'waypoint'")))
 
 
-@query(f"{_FIXED}, n AS (SELECT *, row_number() OVER (PARTITION BY job, batch ORDER BY ord) AS place FROM rows_) SELECT job, cast(batch AS int) AS batch, 'https://example.org/x/?ll=' || '30.500000%2C59.500000&mode=routes&rtext=' || string_agg('59.500000%2C30.500000', '~' ORDER BY ord) || '&rtn=1&rtt=auto' AS url, '' AS warnings FROM n GROUP BY job, batch", ("points",))
+@query(
+    f"""{_FIXED}, c AS (SELECT *, 59 + ((job * 13 + ord * 7) % 1000)::double / 1000 AS lat, 30 + ((job * 3 + ord * 11) % 997)::double / 1000 AS lon FROM rows_ WHERE NOT (is_transition AND job % 3 = 0)),
+n AS (SELECT job, cast(batch AS int) AS batch, count(*) AS n, max(CASE WHEN is_transition THEN 1 ELSE 0 END) AS held, 'https://example.org/def/?ll=' || printf('%.6f%%2C%.6f', round(avg(lon), 9), round(avg(lat), 9)) || '&mode=routes&rtext=' || string_agg(printf('%.6f%%2C%.6f', lat, lon), '~' ORDER BY ord) || '&rtn=1&rtt=auto' AS url FROM c GROUP BY job, batch)
+SELECT job, batch, url, concat_ws(';', CASE WHEN n > 12 THEN 'Batch contains many points' END, CASE WHEN batch > 1 AND held = 0 THEN 'Transition point is missing' END, 'City slug was not provided, default value used', CASE WHEN length(url) > 400 THEN 'URL length exceeds recommended limit' END) AS warnings FROM n""",
+    ("points",),
+)
 def route_links(v):
-    rows = routes.batches(v("points"), by_district=False).withColumns({"lat": F.lit(59.5), "lon": F.lit(30.5)})
-    return routes.links(rows, "https://example.org", slug="x").select("job", "batch", "url", F.array_join("warnings", ";").alias("warnings"))
+    rows = routes.batches(v("points"), by_district=False).filter("NOT (is_transition AND job % 3 = 0)")
+    rows = rows.withColumns({"lat": 59.0 + ((F.col("job") * 13 + F.col("ord") * 7) % 1000) / 1000.0, "lon": 30.0 + ((F.col("job") * 3 + F.col("ord") * 11) % 997) / 1000.0})
+    return routes.links(rows, "https://example.org", default_slug="def", most_points=12, longest=400).select("job", "batch", "url", F.array_join("warnings", ";").alias("warnings"))
 
 
 @query("SELECT job, CASE WHEN sum(CASE WHEN status = 'provider_error' THEN 1 ELSE 0 END) > 0 THEN 'GEOCODING_PROVIDER_ERROR' WHEN sum(CASE WHEN status = 'not_found' THEN 1 ELSE 0 END) > 0 THEN 'ADDRESS_NOT_FOUND' WHEN sum(CASE WHEN status = 'ambiguous' THEN 1 ELSE 0 END) > 0 THEN 'ADDRESS_AMBIGUOUS' END AS code, count(CASE WHEN status <> 'found' THEN 1 END) AS failed FROM (SELECT id AS job, CASE WHEN score < 5 THEN 'provider_error' WHEN score < 20 THEN 'not_found' WHEN score < 50 THEN 'ambiguous' ELSE 'found' END AS status FROM attempts) GROUP BY job", ("attempts",))

@@ -17,9 +17,12 @@ LOW_CONFIDENCE = 0.75
 
 
 def address_list(spark: SparkSession, path: str) -> DataFrame:
-    """(address) of a text file's lines; blank ones and those that begin with # go."""
+    """(address) of a text file's lines; blank ones and those that begin with # go, and none left is an error."""
     line = F.trim("value")
-    return spark.read.text(path).select(line.alias("address")).filter((F.col("address") != "") & ~F.startswith("address", F.lit("#")))
+    rows = spark.read.text(path).select(line.alias("address")).filter((F.col("address") != "") & ~F.startswith("address", F.lit("#")))
+    if rows.isEmpty():
+        raise ValueError(f"no addresses in {path}")
+    return rows
 
 
 def chains(spark: SparkSession, path: str) -> DataFrame:

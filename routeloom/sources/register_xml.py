@@ -90,15 +90,25 @@ def hierarchy(spark: SparkSession, path: str, regions: list[str] | None = None)
 
 
 def type_word(x: Column) -> Column:
-    """A type's whole word: lower case, no dots, short forms spelt out."""
-    bare = F.lower(F.replace(F.trim(x), F.lit("."), F.lit("")))
+    """A type's whole word: short forms spelt out, whatever their case and dots; an unknown type as it is given."""
     words = F.create_map(*(F.lit(w) for pair in TYPE_WORDS.items() for w in pair))
-    return F.coalesce(F.element_at(words, bare), F.nullif(bare, F.lit("")))
+    return F.coalesce(F.element_at(words, F.lower(F.replace(F.trim(x), F.lit("."), F.lit("")))), F.nullif(F.trim(x), F.lit("")))
+
+
+#: Names for the codes of regions.
+REGION_NAMES = {"spb": ["78"], "saint_petersburg": ["78"], "sankt_peterburg": ["78"], "lenobl": ["47"], "lenoblast": ["47"], "spb_lenobl": ["78", "47"]}
+
+
+def region_codes(region: str | None) -> list[str]:
+    """Codes of a name, or of a list with commas or semicolons; numbers have two digits."""
+    value = (region or "").strip().lower().replace("-", "_")
+    parts = [p.strip() for p in value.replace(";", ",").split(",")]
+    return REGION_NAMES.get(value) or [p.zfill(2) if p.isdigit() else p for p in parts if p]
 
 
 def full_name(name: Column, kind: Column) -> Column:
     """The type before the name, unless the name begins with it."""
-    return F.when(kind.isNull() | F.startswith(F.lower(name), F.concat(kind, F.lit(" "))), name).otherwise(F.concat_ws(" ", kind, name))
+    return F.when(kind.isNull() | F.startswith(F.lower(name), F.concat(F.lower(kind), F.lit(" "))), name).otherwise(F.concat_ws(" ", kind, name))
 
 
 def objects(spark: SparkSession, path: str, items: DataFrame, regions: list[str] | None = None) -> DataFrame:
