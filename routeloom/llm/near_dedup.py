@@ -225,14 +225,21 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, k: int, least: float) -> D
         level[c["cell"]] = c["level"]
     tokens = rest.mapInArrow(_prefixes(k, least, level), "rid long, token long, at int, size int, early boolean")
     tokens = materialise(tokens.join(labels, "rid"), "prefixes")
-    mixed = tokens.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("early").alias("e")).filter("a <> b AND e").select("token")
-    # alike texts are of like size: the same band of sizes or the next; members of one class stand in a few rows, which never meet
-    band = F.floor(F.log("size") / F.lit(-math.log(least)))
-    own = tokens.join(mixed, "token").groupBy("token", band.alias("band"), "label", F.pmod(F.xxhash64("rid"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("rid", "at", "size", "early")).alias("m"))
+    # neighbouring shingles are shared by the same texts: tokens with the same texts, told by hashes over them, count as one
+    same = [F.bit_xor(F.xxhash64("rid", F.lit(i))).alias(f"k{i}") for i in (1, 2)]
+    mixed = tokens.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("early").alias("e"), *same).filter("a <> b AND e").select("token", "k1", "k2")
+    packed = tokens.join(mixed, "token").groupBy("k1", "k2", "rid", "label", "size").agg(F.min("at").alias("at"), F.max("early").alias("early"))
+    # alike texts are of like size: the same band of sizes or the next
+    packed = materialise(packed.withColumn("band", F.floor(F.log("size") / F.lit(-math.log(least)))), "packed")
+    # members of one class stand together, which never meet: a thousand in a row
+    group = ["k1", "k2", "band", "label"]
+    counted = packed.groupBy(*group).agg((F.count("*") / _DEALT).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("rid"), F.col("parts") + 1).alias("part")
+    own = meet(packed, counted, group, "rid").groupBy(*group, part).agg(F.collect_list(F.struct("rid", "at", "size", "early")).alias("m"))
     own = materialise(own, "meetings")
     early = F.filter("m", lambda x: x["early"])
-    short = own.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("label").alias("c"), early.alias("x")).filter("size(x) > 0")
-    met = short.join(own.select("token", "band", "label", F.col("m").alias("y")), ["token", "band"]).filter("c <> label")
+    short = own.select("k1", "k2", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("label").alias("c"), early.alias("x")).filter("size(x) > 0")
+    met = short.join(own.select("k1", "k2", "band", "label", F.col("m").alias("y")), ["k1", "k2", "band"]).filter("c <> label")
     met = met.select("c", "label", F.explode("x").alias("x"), "y").select("c", "label", "x", F.explode("y").alias("y"))
     met = met.filter("x.size < y.size OR x.size = y.size AND x.rid < y.rid")
     met = met.filter(F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + F.lit(1e-6) >= (F.col("x.size") + F.col("y.size")) * F.lit(least / (1 + least)))
@@ -331,9 +338,9 @@ def _classes(texts: DataFrame, shingle: int, similarity: float, sketches: int, m
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs.groupBy("u", "v").agg(F.min("salt").alias("salt"), F.min("cu").alias("cu"), F.min("cv").alias("cv")), "pairs")
-        # one copy of a leader's text for each salt under which it is asked for
-        leads = pairs.select("u", "salt").distinct().join(texts.select(F.col("rid").alias("u"), F.col("text").alias("a")), "u")
-        both = pairs.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("b")), "v").join(leads, ["u", "salt"])
+        # one copy of a leader's text for each salt under which it is asked for; texts are never broadcast
+        leads = pairs.select("u", "salt").distinct().join(texts.select(F.col("rid").alias("u"), F.col("text").alias("a")).hint("merge"), "u")
+        both = pairs.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("b")).hint("merge"), "v").join(leads.hint("merge"), ["u", "salt"])
         return materialise(both.select("u", "v", "cu", "cv", "a", "b").mapInArrow(_verify(shingle, similarity), "u long, v long, cu long, cv long"), "links")
 
     labels = buckets.select("rid", "label").distinct()
