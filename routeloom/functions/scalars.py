@@ -57,20 +57,20 @@ def nearest_rank(x: Column, share: float) -> Column:
     return F.when(F.size(ordered) > 0, F.element_at(ordered, (F.bround(F.lit(share) * (F.size(ordered) - 1)) + 1).cast("int")))
 
 
-def rounded(x: Column, decimals: int = 2) -> Column:
-    """x to so many decimals as its exact binary value says, a true half to the even digit: 0.125 gives 0.12, and 2.675, which is a little less, 2.67."""
+def rounded(x: Column, decimals: int = 2, even: bool = True) -> Column:
+    """x to so many decimals as its exact binary value says, a true half to the even digit (else up): 0.125 gives 0.12, and 2.675, which is a little less, 2.67."""
     step = 10.0**decimals
     y = x * step
     # what the product has lost, from the halves of x, whose own products are exact
     high = x * 134217729.0 - (x * 134217729.0 - x)
     lost = (high * step - y) + (x - high) * step
     half = F.abs(y - F.rint(y)) == 0.5
-    return F.when(half & (lost > 0), F.ceil(y)).when(half & (lost < 0), F.floor(y)).otherwise(F.rint(y)) / step
+    return F.when(half & (lost > 0), F.ceil(y)).when(half & (lost < 0), F.floor(y)).otherwise(F.rint(y) if even else F.when(half, F.ceil(y)).otherwise(F.rint(y))) / step
 
 
 def shown_distance(metres: Column) -> Column:
     """Metres under a kilometre, else kilometres with a comma and one decimal; a dash for nothing."""
-    return F.when(metres.isNull() | F.isnan(metres.cast("double")), "-").when(metres < 1000, F.format_string("%d м", F.floor(metres + 0.5))).otherwise(F.concat(F.replace(F.format_string("%.1f", metres / 1000), F.lit("."), F.lit(",")), F.lit(" км")))
+    return F.when(metres.isNull() | F.isnan(metres.cast("double")), "-").when(metres < 1000, F.format_string("%d м", F.floor(metres + 0.5))).otherwise(F.concat(F.replace(F.format_string("%.1f", rounded(metres / 1000, 1, even=False)), F.lit("."), F.lit(",")), F.lit(" км")))
 
 
 def shown_duration(seconds: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from routeloom.functions import geo, rules
 from routeloom.functions.scalars import rounded
 from routeloom.operators import routes
+from routeloom.operators.graph import written
 
 # Messages of a job whose addresses can't all be used.
 AMBIGUOUS, UNREACHED = "Некоторые адреса найдены неоднозначно.", "Не удалось выполнить резервное геокодирование."
@@ -92,10 +93,10 @@ def optimised(durations: DataFrame, distances: DataFrame, by: str = "duration")
     """
     if by not in ("duration", "distance"):
         raise ValueError("by must be duration or distance")
-    fit = both_matrices(durations, distances).filter("error IS NULL").select("job")
+    fit = written(both_matrices(durations, distances).filter("error IS NULL").select("job"))
     durations, distances = (m.join(fit, "job", "left_semi") for m in (durations, distances))
     chosen = durations if by == "duration" else distances
-    first, last = routes.order_stops(chosen, improve=False), routes.order_stops(chosen)
+    first, last = (written(routes.order_stops(chosen, improve)) for improve in (False, True))
     cost = lambda order, m, name: routes.path_cost(order, m).withColumnRenamed("cost", name)
     t = cost(last, distances, "distance").join(cost(last, durations, "duration"), "job").join(cost(first, durations, "initial"), "job")
     t = t.join(last.groupBy("job").agg(F.count("*").alias("points")), "job")
@@ -119,14 +120,15 @@ def answer(rows: DataFrame, durations: DataFrame, distances: DataFrame, base: st
 
     rows are with_chosen()'s; the matrices' points are the rows' original_index.
     """
-    p = points(rows)
+    p = written(points(rows))
     order, totals = optimised(durations.join(p.select("job").distinct(), "job", "left_semi"), distances, by)
-    placed = order.join(p, ["job", "stop"])
+    placed = written(order.join(p, ["job", "stop"]))
     ordered = placed.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("ord", "type", F.col("stop").alias("original_index"), "lat", "lon", "district"))).alias("ordered_points"))
     leg_s, leg_m = routes.legs(order, durations), routes.legs(order, distances).select("job", "from_order", "to_order", F.col("cost").alias("m"))
-    both = leg_s.join(leg_m, ["job", "from_order", "to_order"])
+    both = written(leg_s.join(leg_m, ["job", "from_order", "to_order"]))
+    leg_s = both.select("job", "from_order", "to_order", "cost")
     steps = both.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("from_order", "to_order", rounded(F.col("m")).alias("distance_m"), rounded(F.col("cost")).alias("duration_s")))).alias("legs"))
-    cut = routes.batches(placed.select("job", "ord", "type", "district"), size, by_district)
+    cut = written(routes.batches(placed.select("job", "ord", "type", "district"), size, by_district))
     where = placed.select("job", "ord", "lat", "lon", F.col("stop").alias("original_index"))
     sums = routes.batch_totals(cut, leg_s).withColumnRenamed("cost", "duration_s").join(routes.batch_totals(cut, both.select("job", "from_order", "to_order", F.col("m").alias("cost"))).select("job", "batch", F.col("cost").alias("distance_m")), ["job", "batch"])
     stops = cut.join(where, ["job", "ord"])
@@ -138,7 +140,7 @@ def answer(rows: DataFrame, durations: DataFrame, distances: DataFrame, base: st
     out = totals.join(ordered, "job").join(steps, "job").join(batches, "job")
     said = F.array_distinct(F.flatten(F.transform("batches", lambda b: b["warnings"])))
     status = F.when(F.size(said) > 0, "completed_with_warnings").otherwise("completed")
-    return out.select("*", said.alias("warnings"), status.alias("status"))
+    return written(out.select("*", said.alias("warnings"), status.alias("status")))
 
 
 def tables(answers: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
