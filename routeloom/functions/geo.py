@@ -39,7 +39,7 @@ def _columns(y: Column, metres: float) -> Column:
     """Into how many cells the band y of latitude is cut: at its end nearer to a pole, a cell is still `metres` wide to any meridian."""
     edge = F.least(F.greatest(F.abs(y), F.abs(y + 1)) * F.lit(metres / DEGREE_M), F.lit(90.0))
     share = F.lit(metres / math.degrees(1) / DEGREE_M) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
-    return F.greatest(F.floor(F.lit(2 * math.pi) / F.asin(F.least(share, F.lit(1.0)))), F.lit(1)).cast("long")
+    return F.when(share < 1, F.greatest(F.floor(F.lit(2 * math.pi) / F.asin(share)), F.lit(1))).otherwise(1).cast("long")
 
 
 def cells(df: DataFrame, metres: float, lat: str = "lat", lon: str = "lon", around: bool = False) -> DataFrame:
