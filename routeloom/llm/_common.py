@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
-#: What materialise() has written in the scope that is open, if one is.
-_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+#: What materialise() has written in each of the scopes that are open, the innermost last.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 #: Rows that Spark hands to Python at once; its default of 10,000 whole texts takes much memory in every task.
 _BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
@@ -45,7 +45,7 @@ def scope(spark: SparkSession) -> Iterator[None]:
     Texts go to Python in smaller batches meanwhile, unless the session says otherwise.
     """
     own: list[str] = []
-    token, set_here = _written.set(own), spark.conf.get(_BATCH[0], _BATCH[1]) == _BATCH[1]
+    token, set_here = _written.set((*_written.get(), own)), spark.conf.get(_BATCH[0], _BATCH[1]) == _BATCH[1]
     if set_here:
         spark.conf.set(_BATCH[0], _BATCH[2])
     try:
@@ -65,8 +65,9 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd", keep: bool = Fal
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/routeloom-{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", codec).parquet(path)
-    if (own := _written.get()) is not None and not keep:
-        own.append(path)
+    open_scopes = _written.get()[:-1] if keep else _written.get()
+    if open_scopes:
+        open_scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -94,7 +94,7 @@ def _sketch(k: int, sketches: int, minima: int):
                     keys[:, s] = key.view(np.int64)
                 sums = [np.add.reduceat(mix(h + (np.arange(len(h)) - np.repeat(begin, n)).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25), salt), begin) if len(some) else np.zeros(0, np.uint64) for salt in (8, 9)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * sketches), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([rid.slice(i, j - i).take(pa.array(some)), *(pa.array(x.view(np.int64)) for x in sums), lists], ["rid", "h1", "h2", "keys"])
+                yield pa.RecordBatch.from_arrays([rid.slice(i, j - i).take(pa.array(some)), *(pa.array(x.view(np.int64)) for x in sums), pa.array(n.astype(np.int32)), lists], ["rid", "h1", "h2", "size", "keys"])
 
     return run
 
@@ -240,9 +240,14 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, k: int, least: float) -> D
     early = F.filter("m", lambda x: x["early"])
     short = own.select("k1", "k2", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("label").alias("c"), early.alias("x")).filter("size(x) > 0")
     met = short.join(own.select("k1", "k2", "band", "label", F.col("m").alias("y")), ["k1", "k2", "band"]).filter("c <> label")
-    met = met.select("c", "label", F.explode("x").alias("x"), "y").select("c", "label", "x", F.explode("y").alias("y"))
-    met = met.filter("x.size < y.size OR x.size = y.size AND x.rid < y.rid")
-    met = met.filter(F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + F.lit(1e-6) >= (F.col("x.size") + F.col("y.size")) * F.lit(least / (1 + least)))
+    met = met.select("c", "label", F.explode("x").alias("x"), "y")
+
+    def can_meet(y):
+        x = F.col("x")
+        ahead = (x["size"] < y["size"]) | ((x["size"] == y["size"]) & (x["rid"] < y["rid"]))
+        return ahead & (F.least(x["size"] - x["at"], y["size"] - y["at"]) + F.lit(1e-6) >= (x["size"] + y["size"]) * F.lit(least / (1 + least)))
+
+    met = met.select("c", "label", "x", F.explode(F.filter("y", can_meet)).alias("y"))
     return met.select(F.col("x.rid").alias("u"), F.col("y.rid").alias("v"), F.col("c").alias("cu"), F.col("label").alias("cv"))
 
 
@@ -293,22 +298,24 @@ def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     return rows.join(first, "rid", "left_semi").select(*(F.col("routeloom_row")[c].alias(c) for c in docs.columns))
 
 
-def _pairs_of_turn(buckets: DataFrame, lead: bool, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Mixed buckets (key, n, top), pairs (u, v, cu, cv, salt) to look at, and what is left of large buckets (rid, label).
+def _pairs_of_turn(buckets: DataFrame, lead: bool, small: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mixed buckets (key, n, top, salt), pairs (u, v, cu, cv, salt) to look at, and what is left of large buckets (rid, label).
 
     Rows of a bucket are dealt over its salts, and what is known of the bucket goes to each.
+    Texts of which one has under `least` of the other's shingles are never alike.
     """
-    mixed = buckets.groupBy("key", "n").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.when(~F.col("led"), F.struct("weight", "rid", "label"))).alias("top"))
+    like = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(least) - F.lit(1e-6)
+    mixed = buckets.groupBy("key", "n").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.when(~F.col("led"), F.struct("weight", "rid", "label", "size"))).alias("top"))
     mixed = materialise(mixed.filter("a <> b AND top IS NOT NULL").select("key", "n", "top", F.explode(F.sequence(F.lit(0), (F.col("n") / _DEALT).cast("int"))).alias("salt")), "mixed")
     held = buckets.drop("n").join(mixed, ["key", "salt"])
     large = held.filter(F.col("n") > small).select("rid", "label").distinct()
     if lead:
         # the leader and the texts of other classes
-        pairs = held.filter("label <> top.label").select(F.col("top.rid").alias("u"), F.col("rid").alias("v"), F.col("top.label").alias("cu"), F.col("label").alias("cv"), "salt")
+        pairs = held.filter((F.col("label") != F.col("top.label")) & like(F.col("size"), F.col("top.size"))).select(F.col("top.rid").alias("u"), F.col("rid").alias("v"), F.col("top.label").alias("cu"), F.col("label").alias("cv"), "salt")
         return mixed, pairs, large
     rest = held.filter(F.col("n") <= small)
-    pairs = rest.select("key", F.col("rid").alias("u"), F.col("label").alias("cu")).join(rest.select("key", F.col("rid").alias("v"), F.col("label").alias("cv")), "key")
-    return mixed, pairs.filter("u < v AND cu <> cv").select("u", "v", "cu", "cv", F.lit(0).alias("salt")), large
+    pairs = rest.select("key", F.col("rid").alias("u"), F.col("label").alias("cu"), F.col("size").alias("su")).join(rest.select("key", F.col("rid").alias("v"), F.col("label").alias("cv"), F.col("size").alias("sv")), "key")
+    return mixed, pairs.filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & like(F.col("su"), F.col("sv"))).select("u", "v", "cu", "cv", F.lit(0).alias("salt")), large
 
 
 def classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, minima: int = 3, rounds: int = 3, small: int = 24) -> DataFrame:
@@ -323,16 +330,16 @@ def _classes(texts: DataFrame, shingle: int, similarity: float, sketches: int, m
 
     Each turn's tables stay until the last has been read.
     """
-    drawn = materialise(texts.mapInArrow(_sketch(shingle, sketches, minima), "rid long, h1 long, h2 long, keys array<long>"), "sketches")
+    drawn = materialise(texts.mapInArrow(_sketch(shingle, sketches, minima), "rid long, h1 long, h2 long, size int, keys array<long>"), "sketches")
     first = drawn.groupBy("h1", "h2").agg(F.min("rid").alias("first"))
     copies = materialise(meet(drawn.select("rid", "h1", "h2"), first, ["h1", "h2"], "rid").select("rid", "first"), "copies")
-    own = drawn.join(first.select(F.col("first").alias("rid")), "rid", "left_semi").select("rid", F.explode("keys").alias("key"))
-    own = materialise(own.groupBy("key", F.pmod(F.xxhash64("rid"), F.lit(128)).alias("part")).agg(F.collect_list("rid").alias("rids")), "sketched")
-    shared = own.groupBy("key").agg(F.sum(F.size("rids")).alias("n")).filter("n > 1")
-    buckets = materialise(own.join(shared, "key").select("key", "n", F.explode("rids").alias("rid")), "buckets")
+    own = drawn.join(first.select(F.col("first").alias("rid")), "rid", "left_semi").select(F.struct("rid", "size").alias("t"), F.explode("keys").alias("key"))
+    own = materialise(own.groupBy("key", F.pmod(F.xxhash64("t"), F.lit(128)).alias("part")).agg(F.collect_list("t").alias("t")), "sketched")
+    shared = own.groupBy("key").agg(F.sum(F.size("t")).alias("n")).filter("n > 1")
+    buckets = materialise(own.join(shared, "key").select("key", "n", F.inline("t")), "buckets")
     central = buckets.groupBy("rid").agg(F.sum("n").alias("weight"))
     salt = F.pmod(F.xxhash64("rid"), (F.col("n") / _DEALT).cast("long") + 1).cast("int")
-    buckets = materialise(buckets.join(central, "rid").select("key", "n", salt.alias("salt"), "rid", "weight", F.lit(False).alias("led"), F.col("rid").alias("label")), "buckets")
+    buckets = materialise(buckets.join(central, "rid").select("key", "n", salt.alias("salt"), "rid", "size", "weight", F.lit(False).alias("led"), F.col("rid").alias("label")), "buckets")
     # only texts that share a bucket are ever looked at again
     texts = materialise(texts.join(central.select("rid"), "rid", "left_semi"), "texts")
 
@@ -345,21 +352,23 @@ def _classes(texts: DataFrame, shingle: int, similarity: float, sketches: int, m
 
     labels = buckets.select("rid", "label").distinct()
     for turn in range(rounds + 1):
-        mixed, pairs, large = _pairs_of_turn(buckets, turn < rounds, small)
-        if turn == rounds:
-            large = materialise(large, "large")
-            if not large.isEmpty():
-                pairs = pairs.unionByName(prefix_pairs(texts, large, shingle, similarity).withColumn("salt", F.lit(0)))
-        found = verified(pairs)
-        # classes that a link joins become one
-        new = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-        new = new.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        labels = materialise(meet(labels, new, ["label"], "rid", "left").select("rid", F.coalesce("next", "label").alias("label")), "classes")
-        if turn < rounds:
-            # only buckets that held more than one class go on
-            led = mixed.select("key", "salt", F.col("top.rid").alias("leader"))
-            new = buckets.drop("label").join(led, ["key", "salt"]).withColumn("led", F.col("led") | (F.col("rid") == F.col("leader"))).drop("leader")
-            buckets = materialise(new.join(labels, "rid").select("key", "n", "salt", "rid", "weight", "led", "label"), "buckets")
-            if buckets.isEmpty():
-                break
+        # what a turn has written goes with it, but for the classes and the buckets that go on
+        with scope(texts.sparkSession):
+            mixed, pairs, large = _pairs_of_turn(buckets, turn < rounds, small, similarity)
+            if turn == rounds:
+                large = materialise(large, "large")
+                if not large.isEmpty():
+                    pairs = pairs.unionByName(prefix_pairs(texts, large, shingle, similarity).withColumn("salt", F.lit(0)))
+            found = verified(pairs)
+            # classes that a link joins become one
+            new = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+            new = new.select(F.col("id").alias("label"), F.col("label").alias("next"))
+            labels = materialise(meet(labels, new, ["label"], "rid", "left").select("rid", F.coalesce("next", "label").alias("label")), "classes", keep=True)
+            if turn < rounds:
+                # only buckets that held more than one class go on
+                led = mixed.select("key", "salt", F.col("top.rid").alias("leader"))
+                new = buckets.drop("label").join(led, ["key", "salt"]).withColumn("led", F.col("led") | (F.col("rid") == F.col("leader"))).drop("leader")
+                buckets = materialise(new.join(labels, "rid").select("key", "n", "salt", "rid", "size", "weight", "led", "label"), "buckets", keep=True)
+        if turn < rounds and buckets.isEmpty():
+            break
     return meet(copies, labels.select(F.col("rid").alias("first"), "label"), ["first"], "rid", "left").select("rid", F.coalesce("label", "first").alias("class_id"))
