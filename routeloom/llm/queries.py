@@ -46,7 +46,7 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm.quality_rules import assess
 
-    return assess(read(spark, sf_dir, "documents"))
+    return assess(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,5 +109,39 @@ def queries() -> dict:
     }
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FOLDED = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
+_PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+
+_OP2 = f"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_FOLDED}, {_PLAIN}), []) AS w FROM documents),
+i AS (SELECT item_id, coalesce(regexp_extract_all({_FOLDED}, {_PLAIN}), []) AS w FROM benchmark),
+k AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS k FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(2, len(w) - 8))) AS s FROM i WHERE len(w) > 0)),
+x AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d JOIN (SELECT DISTINCT n FROM k) l ON len(d.w) >= l.n)),
+m AS (SELECT x.doc_id, x.s, x.n, k.item_id FROM x JOIN k ON k.n = x.n AND k.k = x.k),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+_OP5 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS host, {_WORDS} AS w, text AS raw FROM documents),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 5)) AS p FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, array_to_string(w[s : s + 4], ' ')) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d)) WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, host, raw, unnest(string_split(text, chr(10))) AS line FROM d),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+f AS (SELECT doc_id, host, raw, regexp_extract_all({_FOLDED.replace("text", "line")}, {_PLAIN}) AS p FROM l),
+c AS (SELECT host, p FROM f WHERE len(p) > 0 GROUP BY host, p HAVING count(DISTINCT raw) > 50),
+g AS (SELECT f.doc_id, sum(len(f.p)) AS plain, sum(CASE WHEN c.p IS NULL THEN len(f.p) ELSE 0 END) AS left_words FROM f LEFT JOIN c ON c.host = f.host AND c.p = f.p GROUP BY f.doc_id),
+m AS (SELECT d.doc_id, len(w)::bigint AS n_words, length(array_to_string(w, ''))::bigint AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, g.plain, g.left_words
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id JOIN g ON g.doc_id = d.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND left_words >= plain * 0.1 AS kept, left_words::bigint AS left_words FROM m"""
+
+_OP6 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+x AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 34], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS c FROM x) WHERE c > 1),
+a AS (SELECT d.doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.p) FILTER (g.p IS NULL) AS kept, count(g.p) AS n FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.p = a.p GROUP BY a.doc_id)
+SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators whose results it can express; the others are tested against plain versions."""
+    return {"op2_decontaminate": _OP2, "op5_quality_rules": _OP5, "op6_substring_dedup": _OP6}
