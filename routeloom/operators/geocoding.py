@@ -8,36 +8,62 @@ from pyspark.sql import functions as F
 from routeloom.functions import geo
 from routeloom.functions import text as T
 from routeloom.functions.rules import CITY, REGION, WORK_AREA
+from routeloom.operators.graph import written
+
+
+def _apart(folded: Column) -> Column:
+    """A text between blanks, its blanks, commas and slashes made blanks: what stands between two of them is bounded."""
+    return F.concat(F.lit(" "), F.regexp_replace(folded, r"(?U)[\s,/]", " "), F.lit(" "))
+
+
+def _holds_house(house: Column, apart: Column, display: Column, display_apart: Column) -> Column:
+    # a house whose own sign is a bound must stand as it is, too
+    return F.contains(display, house) & F.contains(display_apart, apart)
 
 
 def house_matches(house: Column, display: Column, raw_house: Column | None = None) -> Column:
     """Whether a candidate has the house asked for: in its own field, or bounded in its name. No house asked for matches all."""
-    h = T.folded(house)
+    h, d = T.folded(house), T.folded(display)
     own = F.coalesce(T.folded(raw_house) == h, F.lit(False)) if raw_house is not None else F.lit(False)
-    d = T.folded(display)
-    # blanks, commas and slashes bound a house; one whose own sign is a bound must stand as it is, too
-    apart = lambda x: F.regexp_replace(x, r"(?U)[\s,/]", " ")
-    bounded = F.contains(d, h) & F.contains(F.concat(F.lit(" "), apart(d), F.lit(" ")), F.concat(F.lit(" "), apart(h), F.lit(" ")))
-    return F.coalesce(F.length(house) == 0, F.lit(True)) | own | F.coalesce(bounded, F.lit(False))
+    return F.coalesce(F.length(house) == 0, F.lit(True)) | own | F.coalesce(_holds_house(h, _apart(h), d, _apart(d)), F.lit(False))
 
 
 def provider_score(provider: Column, importance: Column, confidence: Column) -> Column:
     return F.when(provider == "opencage", F.least(F.coalesce(confidence, F.lit(0)) * 6.0, F.lit(45.0))).otherwise(F.least(F.coalesce(importance, F.lit(0.0)) * 40.0, F.lit(35.0)))
 
 
+_ASKED, _OFFERED = ("_tokens", "_first", "_house", "_house_apart", "_hint"), ("_d", "_d_apart")
+
+
+def asked(requests: DataFrame) -> DataFrame:
+    """requests (query, street, house, region_hint) with what scores read of them, worked out once for each."""
+    h = T.folded(F.col("house"))
+    first = F.slice(T.significant(F.coalesce("street", F.lit(""))), 1, 2)
+    return requests.withColumns(dict(zip(_ASKED, (T.significant(F.col("query")), first, h, _apart(h), T.folded(F.coalesce("region_hint", F.lit("")))), strict=True)))
+
+
+def offered(candidates: DataFrame) -> DataFrame:
+    """candidates (display) with what scores read of them."""
+    d = T.folded(F.coalesce("display", F.lit("")))
+    return candidates.withColumns({"_d": d, "_d_apart": _apart(d)})
+
+
 def candidate_score(df: DataFrame) -> DataFrame:
     """df with house_match, distance_m and score (0 to 100).
 
     df has query, display, provider, importance, confidence, place_rank, street, house,
-    region_hint, lat, lon, and the search area's area_lat, area_lon, area_km.
+    region_hint, lat, lon, and the search area's area_lat, area_lon, area_km. It may have come
+    through asked() and offered() before both sides were joined.
     """
-    d = T.folded(F.coalesce("display", F.lit("")))
-    held = F.size(F.filter(T.significant(F.col("query")), lambda t: F.contains(d, t))) * 4.0
+    if "_tokens" not in df.columns:
+        df = asked(df)
+    if "_d" not in df.columns:
+        df = offered(df)
+    d, h, hint = F.col("_d"), F.col("_house"), F.col("_hint")
+    held = F.size(F.filter("_tokens", lambda t: F.contains(d, t))) * 4.0
     rank = F.when(F.col("place_rank") >= 30, 10.0).when((F.col("place_rank") <= 26) & (F.length("house") > 0), -20.0).otherwise(0.0)
-    first = F.slice(T.significant(F.coalesce("street", F.lit(""))), 1, 2)
-    street = F.when((F.size(first) > 0) & F.forall(first, lambda t: F.contains(d, t)), 12.0).otherwise(0.0)
+    street = F.when((F.size("_first") > 0) & F.forall("_first", lambda t: F.contains(d, t)), 12.0).otherwise(0.0)
     house = F.when(F.length("house") > 0, F.when(F.col("house_match"), 25.0).otherwise(-35.0)).otherwise(0.0)
-    hint = T.folded(F.coalesce("region_hint", F.lit("")))
     region = (
         F.when(F.length(hint) == 0, 0.0)
         .when(F.contains(hint, F.lit("санкт")) & F.contains(d, F.lit("петербург")), 10.0)
@@ -48,9 +74,11 @@ def candidate_score(df: DataFrame) -> DataFrame:
     inside = F.coalesce(geo.in_box("lat", "lon", WORK_AREA), F.lit(False))
     metres = F.when(inside, geo.haversine("lat", "lon", "area_lat", "area_lon"))
     near = F.when(F.col("lat").isNull() | F.col("lon").isNull(), 0.0).when(~inside, -50.0).otherwise(F.when(F.col("distance_m") <= F.col("area_km") * 1000, 20.0).otherwise(-20.0) + F.when(F.col("distance_m") <= 3000, 10.0).otherwise(0.0))
-    df = df.withColumns({"house_match": house_matches(F.col("house"), F.col("display"), F.col("raw_house") if "raw_house" in df.columns else None), "distance_m": metres})
+    own = F.coalesce(T.folded(F.col("raw_house")) == h, F.lit(False)) if "raw_house" in df.columns else F.lit(False)
+    match = F.coalesce(F.length("house") == 0, F.lit(True)) | own | F.coalesce(_holds_house(h, F.col("_house_apart"), d, F.col("_d_apart")), F.lit(False))
+    df = df.withColumns({"house_match": match, "distance_m": metres})
     total = 30.0 + held + provider_score(F.col("provider"), F.col("importance"), F.col("confidence")) + rank + street + house + region + near
-    return df.withColumn("score", F.greatest(F.lit(0.0), F.least(total, F.lit(100.0))))
+    return df.withColumn("score", F.greatest(F.lit(0.0), F.least(total, F.lit(100.0)))).drop(*_ASKED, *_OFFERED)
 
 
 def best_candidates(scored: DataFrame, keys: list[str], position: str = "pos") -> DataFrame:
@@ -64,17 +92,21 @@ def best_candidates(scored: DataFrame, keys: list[str], position: str = "pos") -
 def best_for_requests(requests: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
     """The best candidate (see candidate_score) for each request, with its columns, score and status.
 
-    requests have id and what they ask for; candidates share the columns `on` with them, have a
-    place in order `pos` and whatever else scores are made of. Requests that ask for the same are
-    scored once.
+    requests have id and what they ask for (query, street, house, region_hint, the area); candidates
+    share the columns `on` with them, have a place in order `pos` and what else scores are made
+    of. Requests that ask for the same are scored once, and only a row's place and score take
+    part in the choice: the candidate's columns come back to it by `on` and `pos`.
     """
-    asked = [c for c in requests.columns if c != "id"]
-    best = best_candidates(candidate_score(requests.select(*asked).distinct().join(candidates, on)), asked)
+    ask = [c for c in requests.columns if c != "id"]
+    one = written(asked(requests.select(*ask).distinct().withColumn("_ask", F.monotonically_increasing_id())))
+    scored = candidate_score(one.join(offered(candidates), on)).select("_ask", "pos", "score", "house_match", "distance_m")
+    best = best_candidates(scored, ["_ask"])
     same = None
-    for c in asked:
-        cond = F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
+    for c in ask:
+        cond = F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}"))
         same = cond if same is None else same & cond
-    return requests.alias("r").join(best.alias("b"), same).select("r.id", "b.*")
+    chosen = one.select("_ask", *ask).join(best, "_ask").join(candidates, [*on, "pos"])
+    return requests.alias("r").join(chosen.drop("_ask").alias("o"), same).select("r.id", "o.*")
 
 
 def attempts_until_sure(attempts: DataFrame) -> DataFrame:

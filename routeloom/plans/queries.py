@@ -226,10 +226,10 @@ FROM r JOIN b ON b.name = r.name AND b.house = r.house AND b.hint IS NOT DISTINC
 )
 def candidate_best(v):
     hint = F.when(F.col("form") == 0, "Санкт-Петербург").when(F.col("form") == 1, "Ленинградская область").when(F.col("form") == 2, "")
-    r = v("requests").select("id", "name", "house", F.concat_ws(" ", "name", "house").alias("query"), hint.alias("region_hint"))
+    r = v("requests").select("id", "name", F.col("name").alias("street"), "house", F.concat_ws(" ", "name", "house").alias("query"), hint.alias("region_hint"))
+    r = r.withColumns({k: F.lit(x) for k, x in {"area_lat": 59.93, "area_lon": 30.33, "area_km": 10.0}.items()})
     s = v("streets")
     c = s.sparkSession.sql(f"{_CANDIDATES} FROM {{streets}}", streets=s)
-    c = c.withColumn("street", F.col("name")).withColumns({k: F.lit(x) for k, x in {"area_lat": 59.93, "area_lon": 30.33, "area_km": 10.0}.items()})
     out = geocoding.best_for_requests(r, c, ["name"])
     return out.select("id", "object_id", "status", F.round("score", 6).alias("score"), F.round("distance_m", 3).alias("distance_m"))
 
