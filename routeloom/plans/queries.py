@@ -247,7 +247,7 @@ def suggest_rank(v):
     return suggestions.rank(v("items")).select("query_id", "pos", "place")
 
 
-@query()
+@query("SELECT query_id, pos, name, key FROM (SELECT *, array_to_string(list_sort(list_distinct(string_split(name, ' '))), ' ') AS key FROM items) QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY confidence DESC, pos) = 1", ("items",))
 def street_completion(v):
     return suggestions.complete_streets(v("items")).select("query_id", "pos", "name", "key")
 
@@ -313,7 +313,15 @@ def batch_totals(v):
     return out.select("job", "batch", "points", F.array_join("districts", ",").alias("districts"), "district", "cost")
 
 
-@query()
+@query(
+    """WITH RECURSIVE w AS (SELECT job, ord, 0 AS g, 1 AS n, district AS d FROM stops WHERE ord = 1
+  UNION ALL SELECT job, o, CASE WHEN new THEN g + 1 ELSE g END, CASE WHEN new THEN 1 ELSE n + 1 END, CASE WHEN new THEN e ELSE coalesce(d, e) END FROM (SELECT w.*, s.ord AS o, s.district AS e, w.n >= 15 OR (w.d IS NOT NULL AND s.district IS NOT NULL AND w.d <> s.district) AS new FROM w JOIN stops s ON s.job = w.job AND s.ord = w.ord + 1)),
+g AS (SELECT w.job, w.ord, w.g, s.district FROM w JOIN stops s ON s.job = w.job AND s.ord = w.ord), m AS (SELECT job, max(g) AS last, max(ord) AS n FROM g GROUP BY job),
+r AS (SELECT job, g + 1 AS batch, ord, district, false AS is_transition FROM g UNION ALL SELECT job, 1, 0, NULL, false FROM m UNION ALL SELECT job, last + 1, n + 1, NULL, false FROM m
+  UNION ALL SELECT g.job, g.g + 2, g.ord, g.district, true FROM g JOIN m ON m.job = g.job AND g.g < m.last QUALIFY row_number() OVER (PARTITION BY g.job, g.g ORDER BY g.ord DESC) = 1)
+SELECT job, cast(batch AS int) AS batch, cast(row_number() OVER (PARTITION BY job, batch ORDER BY ord) - 1 AS int) AS place, cast(ord AS int) AS ord, district, is_transition FROM r""",
+    ("stops",),
+)
 def batch_district(v):
     return routes.batches(v("stops").unionByName(v("points").filter("type <> 'waypoint'")))
 
@@ -359,9 +367,14 @@ def grid_islands(v):
     return sheets.islands(v("marks"), 3)
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT grp, v, row_number() OVER (PARTITION BY grp ORDER BY v) AS n FROM marks), w AS (SELECT grp, n, [v] AS lines FROM r WHERE n = 1
+  UNION ALL SELECT w.grp, r.n, CASE WHEN r.v - w.lines[-1] < 4 THEN list_append(w.lines[:-2], (w.lines[-1] + r.v) // 2) ELSE list_append(w.lines, r.v) END FROM w JOIN r ON r.grp = w.grp AND r.n = w.n + 1)
+SELECT grp, array_to_string(lines, ',') AS lines FROM w QUALIFY n = max(n) OVER (PARTITION BY grp)""",
+    ("marks",),
+)
 def grid_merge(v):
-    return sheets.merged_lines(v("marks"), 4)
+    return sheets.merged_lines(v("marks"), 4).select("grp", F.array_join("lines", ",").alias("lines"))
 
 
 @query("SELECT grp, cast(dense_rank() OVER (PARTITION BY grp ORDER BY y) - 1 AS int) AS row, cast(dense_rank() OVER (PARTITION BY grp ORDER BY x) - 1 AS int) AS col, x, y, width, height FROM (SELECT b.grp, a.v AS x, a.s AS width, b.v AS y, b.s AS height FROM (SELECT grp, v, lead(v) OVER (PARTITION BY grp ORDER BY v) - v AS s FROM m) a JOIN (SELECT grp, v, lead(v) OVER (PARTITION BY grp ORDER BY v) - v AS s FROM m) b ON a.grp = b.grp WHERE a.s >= 40 AND b.s >= 30)".replace("FROM m)", "FROM (SELECT DISTINCT grp, (v // 50) * 50 AS v FROM marks))"), ("marks",))
