@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -55,6 +56,9 @@ def scope(spark: SparkSession) -> Iterator[None]:
         if set_here:
             spark.conf.set(_BATCH[0], _BATCH[1])
         release(spark, own)
+        # shuffle files go once the driver has let go of the plans that wrote them
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def materialise(df: DataFrame, label: str, codec: str = "zstd", keep: bool = False) -> DataFrame:

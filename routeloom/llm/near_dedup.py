@@ -240,15 +240,14 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, k: int, least: float) -> D
     early = F.filter("m", lambda x: x["early"])
     short = own.select("k1", "k2", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("label").alias("c"), early.alias("x")).filter("size(x) > 0")
     met = short.join(own.select("k1", "k2", "band", "label", F.col("m").alias("y")), ["k1", "k2", "band"]).filter("c <> label")
-    met = met.select("c", "label", F.explode("x").alias("x"), "y")
 
-    def can_meet(y):
-        x = F.col("x")
+    def can_meet(x, y):
         ahead = (x["size"] < y["size"]) | ((x["size"] == y["size"]) & (x["rid"] < y["rid"]))
         return ahead & (F.least(x["size"] - x["at"], y["size"] - y["at"]) + F.lit(1e-6) >= (x["size"] + y["size"]) * F.lit(least / (1 + least)))
 
-    met = met.select("c", "label", "x", F.explode(F.filter("y", can_meet)).alias("y"))
-    return met.select(F.col("x.rid").alias("u"), F.col("y.rid").alias("v"), F.col("c").alias("cu"), F.col("label").alias("cv"))
+    # pairs that sizes or places rule out never become rows
+    pairs = F.flatten(F.transform("x", lambda x: F.transform(F.filter("y", lambda y: can_meet(x, y)), lambda y: F.struct(x["rid"].alias("u"), y["rid"].alias("v")))))
+    return met.select("c", "label", F.explode(pairs).alias("p")).select("p.u", "p.v", F.col("c").alias("cu"), F.col("label").alias("cv"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -369,6 +368,7 @@ def _classes(texts: DataFrame, shingle: int, similarity: float, sketches: int, m
                 led = mixed.select("key", "salt", F.col("top.rid").alias("leader"))
                 new = buckets.drop("label").join(led, ["key", "salt"]).withColumn("led", F.col("led") | (F.col("rid") == F.col("leader"))).drop("leader")
                 buckets = materialise(new.join(labels, "rid").select("key", "n", "salt", "rid", "size", "weight", "led", "label"), "buckets", keep=True)
+            del mixed, pairs, large, found, new
         if turn < rounds and buckets.isEmpty():
             break
     return meet(copies, labels.select(F.col("rid").alias("first"), "label"), ["first"], "rid", "left").select("rid", F.coalesce("label", "first").alias("class_id"))
