@@ -187,9 +187,9 @@ def batch_totals(rows: DataFrame, leg_rows: DataFrame | None = None) -> DataFram
 
 def links(rows: DataFrame, base: str, slug: str = "", default_slug: str = "", decimals: int = 6, most_points: int = 20, longest: int = 2000) -> DataFrame:
     """(job, batch, url, warnings) for batch points (job, batch, place, lat, lon, is_transition): a map link with the stops in order, centred on their mean."""
-    number = lambda x: F.format_string(f"%.{decimals}f", x)
+    number = lambda x: F.format_string(f"%.{decimals}f", rounded(x, decimals))
     own = rows.groupBy("job", "batch").agg(
-        F.array_sort(F.collect_list(F.struct("place", "lat", "lon", "is_transition"))).alias("p"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon")
+        F.array_sort(F.collect_list(F.struct("place", "lat", "lon", "is_transition"))).alias("p"), F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lon"), 9).alias("lon")
     )
     stops = F.array_join(F.transform("p", lambda s: F.concat_ws(",", number(s["lat"]), number(s["lon"]))), "~")
     centre = F.concat_ws(",", number(F.col("lon")), number(F.col("lat")))

@@ -174,7 +174,7 @@ def places_for_cache(v):
 
 
 @query(
-    """SELECT c.id, coalesce(nullif(trim(c.address), ''), n.address) AS address, CASE WHEN n.address IS NULL THEN c.confidence ELSE greatest(c.confidence, n.confidence) END AS confidence, CASE WHEN n.address IS NULL THEN 'kept' ELSE 'updated' END AS change FROM
+    """SELECT c.id, CASE WHEN n.address IS NULL THEN c.address ELSE coalesce(nullif(trim(c.address), ''), n.address) END AS address, CASE WHEN n.address IS NULL THEN c.confidence ELSE greatest(c.confidence, n.confidence) END AS confidence, CASE WHEN n.address IS NULL THEN 'kept' ELSE 'updated' END AS change FROM
 (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'своя' END AS address, (c_custkey % 10)::double AS confidence FROM customer) c
 LEFT JOIN (SELECT o_custkey AS id, 'адрес ' || (o_orderkey % 9) AS address, (o_orderkey % 15)::double AS confidence FROM orders WHERE o_orderkey % 4 > 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey % 15) DESC, 'адрес ' || (o_orderkey % 9)) = 1) n ON n.id = c.id""",
     ("places",),

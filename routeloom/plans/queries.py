@@ -305,7 +305,7 @@ def batch_fixed(v):
     return routes.batches(v("points"), by_district=False)
 
 
-@query(f"{_FIXED}, d AS (SELECT job, batch, district, min(ord) AS o FROM rows_ WHERE NOT is_transition AND district IS NOT NULL GROUP BY job, batch, district), e AS (SELECT job, batch, string_agg(district, ',' ORDER BY o) AS districts, count(*) AS n, min(district) AS one FROM d GROUP BY job, batch), l AS (SELECT job, batch, round(sum(((job + ord * 37) % 1000) / 8.0), 2) AS cost FROM (SELECT *, lead(ord) OVER (PARTITION BY job, batch ORDER BY ord) AS nxt FROM rows_) WHERE nxt IS NOT NULL GROUP BY job, batch) SELECT r.job, cast(r.batch AS int) AS batch, count(*) AS points, coalesce(any_value(districts), '') AS districts, CASE WHEN any_value(n) = 1 THEN any_value(one) END AS district, any_value(cost) AS cost FROM rows_ r LEFT JOIN e ON e.job = r.job AND e.batch = r.batch LEFT JOIN l ON l.job = r.job AND l.batch = r.batch GROUP BY r.job, r.batch", ("points",))
+@query(f"{_FIXED}, d AS (SELECT job, batch, district, min(ord) AS o FROM rows_ WHERE NOT is_transition AND district IS NOT NULL GROUP BY job, batch, district), e AS (SELECT job, batch, string_agg(district, ',' ORDER BY o) AS districts, count(*) AS n, min(district) AS one FROM d GROUP BY job, batch), l AS (SELECT job, batch, round_even(sum(((job + ord * 37) % 1000) / 8.0), 2) AS cost FROM (SELECT *, lead(ord) OVER (PARTITION BY job, batch ORDER BY ord) AS nxt FROM rows_) WHERE nxt IS NOT NULL GROUP BY job, batch) SELECT r.job, cast(r.batch AS int) AS batch, count(*) AS points, coalesce(any_value(districts), '') AS districts, CASE WHEN any_value(n) = 1 THEN any_value(one) END AS district, any_value(cost) AS cost FROM rows_ r LEFT JOIN e ON e.job = r.job AND e.batch = r.batch LEFT JOIN l ON l.job = r.job AND l.batch = r.batch GROUP BY r.job, r.batch", ("points",))
 def batch_totals(v):
     p = v("points")
     legs = p.filter("type <> 'end'").select("job", F.col("ord").alias("from_order"), (F.col("ord") + 1).alias("to_order"), (((F.col("job") + F.col("ord") * 37) % 1000) / 8.0).alias("cost"))
