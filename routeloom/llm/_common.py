@@ -40,21 +40,26 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
+def scope(spark: SparkSession, settings: dict[str, str] | None = None) -> Iterator[None]:
     """Deletes at its end what materialise() has written in it, but for tables to keep, which belong to the scope around it.
 
-    Texts go to Python in smaller batches meanwhile, unless the session says otherwise.
+    Texts go to Python in smaller batches meanwhile, unless the session says otherwise; settings
+    hold meanwhile, too. All are put back at the end.
     """
     own: list[str] = []
-    token, set_here = _written.set((*_written.get(), own)), spark.conf.get(_BATCH[0], _BATCH[1]) == _BATCH[1]
-    if set_here:
-        spark.conf.set(_BATCH[0], _BATCH[2])
+    held = dict(settings or {})
+    if spark.conf.get(_BATCH[0], _BATCH[1]) == _BATCH[1]:
+        held[_BATCH[0]] = _BATCH[2]
+    before = {k: spark.conf.get(k, None) for k in held}
+    token = _written.set((*_written.get(), own))
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
         _written.reset(token)
-        if set_here:
-            spark.conf.set(_BATCH[0], _BATCH[1])
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         release(spark, own)
         # shuffle files go once the driver has let go of the plans that wrote them
         gc.collect()

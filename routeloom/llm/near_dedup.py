@@ -31,6 +31,8 @@ _TIMES = mix(np.arange(1, 129, dtype=np.uint64), 12) | np.uint64(1)
 _MOST = np.uint64(2**64 - 1)
 #: Cells in which shingles are counted to put rare ones first; any order gives the same pairs.
 _CELLS = 1 << 20
+#: Joins are planned with shuffles at every size, and turned into broadcasts only by sizes that Spark has measured.
+_JOINS = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
 #: Rows of a bucket that are dealt together.
 _DEALT = 1000
 
@@ -319,7 +321,7 @@ def _pairs_of_turn(buckets: DataFrame, lead: bool, small: int, least: float) ->
 
 def classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, minima: int = 3, rounds: int = 3, small: int = 24) -> DataFrame:
     """near_duplicates for rows (rid, doc_id, text) whose rid names a row."""
-    with scope(rows.sparkSession):
+    with scope(rows.sparkSession, _JOINS):
         whole = materialise(_classes(rows.select("rid", "text"), shingle, similarity, sketches, minima, rounds, small), "near-classes", keep=True)
     return rows.select("doc_id", "rid").join(whole, "rid", "left").select("doc_id", "rid", F.coalesce("class_id", "rid").alias("class_id"))
 
