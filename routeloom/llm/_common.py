@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -21,6 +21,9 @@ _written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 #: Rows that Spark hands to Python at once; its default of 10,000 whole texts takes much memory in every task.
 _BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
+#: Joins are planned with shuffles at every size, and turned into broadcasts only by sizes that Spark has measured.
+MEASURED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,7 +52,7 @@ def scope(spark: SparkSession, settings: dict[str, str] | None = None) -> Iterat
     own: list[str] = []
     held = dict(settings or {})
     if spark.conf.get(_BATCH[0], _BATCH[1]) == _BATCH[1]:
-        held[_BATCH[0]] = _BATCH[2]
+        held.setdefault(_BATCH[0], _BATCH[2])
     before = {k: spark.conf.get(k, None) for k in held}
     token = _written.set((*_written.get(), own))
     for k, v in held.items():
@@ -88,6 +91,16 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def fresh_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """A new folder in the shared one, gone at the end."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    try:
+        yield path
+    finally:
+        release(spark, [path])
+
+
 def meet(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "inner", bundles: int = 128) -> DataFrame:
     """rows joined with a table that has each key once at most, whatever share of the rows has one key.
 
@@ -100,6 +113,28 @@ def meet(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "
     return both.withColumn("_rows", F.explode("_rows")).select(*on, *(F.col("_rows")[c].alias(c) for c in rest), *(c for c in table.columns if c not in on))
 
 
+def running_sums(rows: DataFrame, group: str | None, order: list[str], sums: dict[str, str], of_group: DataFrame | None = None) -> DataFrame:
+    """rows with, for each name in sums, the sum of that column over the rows before: those of the same group, in the given order.
+
+    However large a group is, no task holds more of it than a run: rows are sorted by range into
+    runs, which are written; sums of whole runs (a row for each run and group) give what lies
+    before a run, a window within the run the rest. group has no nulls, or is None for all rows;
+    of_group is a table with each group once at most, whose columns are added on the way. Rows
+    that order can't tell apart stand in any order.
+    """
+    keys = [group] if group else []
+    runs = materialise(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_run", F.spark_partition_id()), "runs")
+    earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    whole = runs.groupBy("_run", *keys).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    base = whole.select("_run", *keys, *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    if of_group is not None:
+        base = base.join(of_group, keys)
+    within = Window.partitionBy("_run", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = runs.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()))
+    both = own.join(base, ["_run", *keys]).withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums})
+    return both.drop("_run", *(f"_{n}" for n in sums))
+
+
 def with_row_id(df: DataFrame, keep: list[str]) -> DataFrame:
     """The columns doc_id and keep, and the long column rid, which names a row; keep holds no column of that name.
 

@@ -87,6 +87,29 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm._common import fresh_folder
+    from routeloom.llm.merkle import build, check
+
+    lowered = F.translate("text", _UPPER, _UPPER.lower())
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    with fresh_folder(spark, "manifest") as path:
+        store = build(read(spark, sf_dir, "documents"), path, altered=F.when(tampered, lowered).otherwise(F.col("text")))
+        return check(store)
+
+
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm.alignment import align
+
+    return align(read(spark, sf_dir, "documents")).documents()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm.pipeline import run
 
@@ -105,6 +128,9 @@ def queries() -> dict:
         "op8_token_files": op8_token_files,
         "op9_toxicity": op9_toxicity,
         "op10_near_dedup": op10_near_dedup,
+        "op11_merkle": op11_merkle,
+        "op12_mix": op12_mix,
+        "op13_alignment": op13_alignment,
         "pipeline": pipeline,
     }
 
@@ -142,6 +168,58 @@ k AS (SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.p) FILTER (g.p IS NULL)
 SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
 
 
+
+def _field(x: str) -> str:
+    return f"coalesce(strlen(({x})::varchar)::varchar || ':' || ({x})::varchar, '-')"
+
+
+def _tree(nodes: str, levels: int) -> str:
+    """CTEs of a tree from {nodes}0 (tree, pos, n, digest) up: {nodes}K, and {nodes}sK with what stands left and right of a node."""
+    out = []
+    for k in range(levels):
+        out.append(f"{nodes}{k + 1} AS (SELECT tree, pos // 16 AS pos, (any_value(n) + 15) // 16 AS n, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM {nodes}{k} WHERE n > 1 GROUP BY tree, pos // 16)")
+        run = "PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN"
+        sides = ", ".join(f"coalesce(string_agg(digest, '') OVER ({run} {a}), '') AS {b}" for a, b in (("UNBOUNDED PRECEDING AND 1 PRECEDING", "l"), ("1 FOLLOWING AND UNBOUNDED FOLLOWING", "r")))
+        out.append(f"{nodes}s{k} AS (SELECT tree, pos, {sides} FROM {nodes}{k} WHERE n > 1)")
+    last = " UNION ALL ".join(f"SELECT tree, digest FROM {nodes}{k} WHERE n = 1" for k in range(levels + 1))
+    return ",\n".join([*out, f"{nodes}last AS ({last})"])
+
+
+def _climb(rows: str, nodes: str, levels: int) -> str:
+    """CTEs {rows}K: rows (doc_id, of, leaf, tree, pos, fold, proof) after K levels of a tree."""
+    out = []
+    for k in range(levels):
+        gone = "s.tree IS NULL"
+        out.append(f"""{rows}{k + 1} AS (SELECT p.doc_id, p.of, p.leaf, p.tree, CASE WHEN {gone} THEN p.pos ELSE p.pos // 16 END AS pos, CASE WHEN {gone} THEN p.fold ELSE sha256(s.l || p.fold || s.r) END AS fold, p.proof || coalesce(s.l || s.r, '') AS proof
+  FROM {rows}{k} p LEFT JOIN {nodes}s{k} s ON s.tree = p.tree AND s.pos = p.pos)""")
+    return ",\n".join(out)
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, [ascii(c)::bigint FOR c IN string_split(doc_id::varchar, '')]), lambda c, b : list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y : xor(x >> 1, (x & 1) * 3988292384::bigint))), 4294967295::bigint)"
+_LEAF = ["doc_id", "source", "lang", "n_chars"]
+_DOC_LEVELS, _TOP_LEVELS = 6, 4
+_OP11 = f"""WITH l AS (SELECT doc_id, coalesce('1' || source, '0') AS tree, sha256({" || ".join(_field(c) for c in [*_LEAF, "text"])}) AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN sha256({" || ".join(_field(c) for c in [*_LEAF, _FOLDED])}) END AS seen FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+d0 AS (SELECT tree, pos, n, leaf AS digest FROM o),
+{_tree("d", _DOC_LEVELS)},
+t0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, digest, tree AS of FROM dlast),
+{_tree("t", _TOP_LEVELS)},
+p0 AS (SELECT doc_id, tree AS of, leaf, tree, pos, coalesce(seen, leaf) AS fold, '' AS proof FROM o),
+{_climb("p", "d", _DOC_LEVELS)},
+q0 AS (SELECT p.doc_id, p.of, p.leaf, '' AS tree, t.pos, p.fold, p.proof FROM p{_DOC_LEVELS} p JOIN t0 t ON t.of = p.of),
+{_climb("q", "t", _TOP_LEVELS)}
+SELECT doc_id, leaf, dlast.digest AS subroot, tlast.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = tlast.digest AS verified FROM q{_TOP_LEVELS} q JOIN dlast ON dlast.tree = q.of CROSS JOIN tlast"""
+
+_OP12 = f"""WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS tree, len({_WORDS})::bigint AS size, md5('mix:' || doc_id) AS key FROM documents),
+s AS (SELECT tree, sum(size)::hugeint AS source_size, (row_number() OVER (ORDER BY tree) - 1) % 3 + 1 AS w FROM d GROUP BY tree),
+r AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total, sum(w) OVER () AS heavy, coalesce(sum(3 * source_size) OVER o, 0) AS caps, coalesce(sum(w) OVER o, 0) AS heavier FROM s WINDOW o AS (ORDER BY 6 // w * source_size, tree ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, (total - caps) * w > cap * (heavy - heavier) AS capped FROM r),
+t AS (SELECT tree, source_size::bigint AS source_size, CASE WHEN capped THEN cap::double ELSE ((total - coalesce(sum(cap) FILTER (capped) OVER (), 0)) * w)::double / (heavy - coalesce(sum(w) FILTER (capped) OVER (), 0))::double END AS target FROM f),
+b AS (SELECT d.*, t.source_size, t.target, floor(t.target)::bigint AS budget, coalesce(sum(size) OVER (PARTITION BY d.tree ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM d JOIN t ON t.tree = d.tree),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM b)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::bigint AS taken FROM e"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose results it can express; the others are tested against plain versions."""
-    return {"op2_decontaminate": _OP2, "op5_quality_rules": _OP5, "op6_substring_dedup": _OP6}
+    return {"op2_decontaminate": _OP2, "op5_quality_rules": _OP5, "op6_substring_dedup": _OP6, "op11_merkle": _OP11, "op12_mix": _OP12}
