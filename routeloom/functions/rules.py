@@ -125,17 +125,17 @@ DISTRICT_BOXES = (
 # Towns that delivery sheets name, and those whose houses have no street.
 SHEET_TOWNS = ("Санкт-Петербург", "СПб", "Коммунар", "Гатчина", "Вырица", "Луга", "Сиверский", "Мшинская", "Пудомяги", "Белогорка", "Мины", "Дружная Горка", "Семрино", "Сусанино", "Форносово")
 HOUSE_ONLY_TOWNS = ("Пудомяги", "Сусанино", "Форносово", "Белогорка", "Мины", "Семрино")
-# What recognition makes of words, as patterns, and the words.
-MISREAD = (
-    (r"\b(?:yn|yA|yx|ya)\.?\b", "ул."), (r"\b(?:np|pr)\.?\b", "пр."), (r"\bуп\.?\b", "ул."), (r"\bПуга\b", "Луга"), (r"\bNyra\b", "Луга"), (r"\bМимы\b", "Мины"),
-    (r"\bДружмая\b", "Дружная"), (r"\bЖепезнодорожмая\b", "Железнодорожная"), (r"\bСтронктелей\b", "Строителей"), (r"\bСтроктелей\b", "Строителей"),
-    (r"\bГ\s+ороев\b", "Героев"), (r"\bГероее\b", "Героев"), (r"\bСоболовского\b", "Соболевского"), (r"\bСоболеоского\b", "Соболевского"),
-    (r"\bГатчинска\s+ул\b", "Гатчинская ул"), (r"\bХвалыиская\b", "Хвалынская"), (r"\bсусаниио\b", "Сусанино"), (r"\bоммунар\b", "Коммунар"),
-    (r"\bУрицкого\s+пр\.?\s*713\b", "Урицкого пр. 77/3"), (r"\bУрицкого\s+пр[-.\s]+73\b", "Урицкого пр. 77/3"),
-)
-# Street types of sheets, which go without a dot or with one after a short form, and the parts of a house.
-SHEET_TYPES = (("ул", "улица"), ("пр", "проспект"), ("ш", "шоссе"), ("пер", "переулок"), ("пл", "площадь"), ("наб", "набережная"), ("", "б-р"), ("", "бульвар"), ("", "линия"), ("", "пр-д"), ("", "проезд"))
-SHEET_PARTS = (("к", False), ("корп", True), ("лит", True), ("стр", True))
+# What recognition makes of words and phrases (in small letters, without dots), and what they are.
+MISREAD_WORDS = {
+    "yn": "ул.", "ya": "ул.", "yx": "ул.", "уп": "ул.", "np": "пр.", "pr": "пр.", "пуга": "Луга", "nyra": "Луга", "мимы": "Мины", "дружмая": "Дружная", "жепезнодорожмая": "Железнодорожная", "стронктелей": "Строителей",
+    "строктелей": "Строителей", "героее": "Героев", "соболовского": "Соболевского", "соболеоского": "Соболевского", "хвалыиская": "Хвалынская", "сусаниио": "Сусанино", "оммунар": "Коммунар",
+}
+MISREAD_PHRASES = {"г ороев": "Героев", "гатчинска ул": "Гатчинская ул", "урицкого пр 713": "Урицкого пр. 77/3", "урицкого пр 73": "Урицкого пр. 77/3", "урицкого пр - 73": "Урицкого пр. 77/3", "урицкого пр-73": "Урицкого пр. 77/3"}
+# Street types of sheets, the parts of a house, the marks of a house and a town, and what in an address speaks for a street.
+SHEET_TYPES = ("ул", "улица", "пр", "проспект", "ш", "шоссе", "пер", "переулок", "пл", "площадь", "наб", "набережная", "б-р", "бульвар", "линия", "пр-д", "проезд")
+SHEET_PARTS = ("к", "корп", "лит", "стр")
+HOUSE_MARK, TOWN_MARK = "д", "г"
+STREET_SIGNS = ("ул", "пр", "ш", "наб", "линия")
 # What speaks for an address in a table's cell, for a header row, and for a fragment of a line.
 CELL_MARKERS = ("ул", "улица", "пр", "проспект", "пр-т", "шоссе", "наб", "набережная", "пер", "переулок", "пл", "площадь", "дом", "д.", "корп", "лит", "санкт-петербург", "спб", "ленинградская")
 HEADER_MARKERS = ("адрес", "название", "магазин", "комментар", "номер", "order", "address", "name")
