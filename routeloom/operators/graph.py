@@ -1,41 +1,36 @@
-"""Connected components by spreading least labels."""
+"""Tables that several joins read, written where all executors can read them."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+_folders: dict[str, str] = {}
 
-def _reliable(spark: SparkSession) -> None:
-    """Checkpoints need a folder: the session's, or one of our own where none is named and driver and tasks are one process (tests)."""
-    if not spark.sparkContext.getCheckpointDir():
+
+def _folder(spark: SparkSession) -> str:
+    """A folder of the application's own, gone when Python ends: in the shared folder that the cluster names, or a local one where none is named and driver and tasks are one process (tests)."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='routeloom-')}")
+        _folders[app] = f"{(named or 'file://' + tempfile.mkdtemp(prefix='routeloom-')).rstrip('/')}/routeloom-{app}"
+        atexit.register(_delete, spark, _folders[app])
+    return _folders[app]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, for tables that several joins read."""
-    _reliable(df.sparkSession)
-    return df.checkpoint()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, label) for the ids in links (u, v), label the least id of the component.
-
-    Each turn takes the least label of all neighbours and then that label's own label, so
-    chains shorten by half; lineage is cut each turn.
-    """
-    _reliable(links.sparkSession)
-    both = links.select("u", "v").union(links.select("v", "u")).distinct().checkpoint()
-    labels = both.groupBy(F.col("u").alias("id")).agg(F.least("u", F.min("v")).alias("label")).checkpoint()
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
-        new = least.join(labels.select(F.col("id").alias("next"), F.col("label").alias("far")), "next").select("id", "label", F.least("next", "far").alias("next")).checkpoint()
-        if new.filter("label <> next").isEmpty():
-            return labels
-        labels = new.select("id", F.col("next").alias("label"))
+    """df with its lineage cut: written to the shared folder as Parquet and read again."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeloom.functions import geo, rules
 from routeloom.functions.scalars import first_filled
-from routeloom.functions.similarity import containing_pairs, ratio
+from routeloom.functions.similarity import char_counts, containing_pairs, ratio, ratio_bound, with_ratio
 from routeloom.functions.text import brand_text, cache_key
 
 
@@ -67,52 +68,75 @@ def duplicate_pairs(places: DataFrame, same_m: float = 30.0, near_m: float = 80.
     met = geo.pairs_within(left, right, near_m, ("brand",)).filter("ao < bo")
     close = met.filter(F.col("distance_m") <= same_m)
     # only these need the costly comparison
-    far = met.filter((F.col("distance_m") > same_m) & (F.length("aa") > 0) & (F.length("ba") > 0)).filter(ratio("aa", "ba") >= least)
+    far = with_ratio(met.filter((F.col("distance_m") > same_m) & (F.length("aa") > 0) & (F.length("ba") > 0)), "aa", "ba", least).drop("ratio")
     return close.unionByName(far).select("brand", "a", "b", "distance_m")
 
 
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("ord", kind="stable")
-    score = dict(zip(rows["id"], rows["confidence"], strict=True))
-    rank = {r.id: (r.filled, r.kind) for r in rows.itertuples()}
-    of: dict = {}
-    for r in rows.itertuples():
-        if r.id in of or r.near is None or not len(r.near):
-            continue
-        group = [r.id, *r.near]
-        keeper = max(group, key=lambda i: (*rank[i], score[i]))
-        for i in group:
-            if i != keeper:
-                of[i] = keeper
-                score[i] = round(max(0.0, score[i] - 0.2), 4)
-    ids = rows["id"].tolist()
-    return pd.DataFrame({"id": ids, "duplicate_of": pd.array([of.get(i) for i in ids], dtype="Int64"), "confidence": [score[i] for i in ids]})
-
-
-def mark_duplicates(places: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, duplicate_of, confidence) for places (id, ord, filled, kind, confidence): greedy, in `ord`.
-
-    A place that isn't marked yet gathers its later neighbours; the best of the group by
-    (filled, kind, confidence) keeps, the others are marked and lose 0.2. That depends on the
-    order, but only within a component of the pairs: components are what one task gets, never a
-    whole brand, and places without a pair don't go there at all.
-    """
-    from routeloom.operators.graph import components
-
-    labels = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    near = pairs.join(places.select(F.col("id").alias("b"), F.col("ord").alias("bo")), "b").groupBy(F.col("a").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("bo", "b"))), lambda s: s["b"]).alias("near"))
-    rows = places.select("id", "ord", "filled", "kind", "confidence").join(labels, "id").join(near, "id", "left")
-    marked = rows.groupBy("label").applyInPandas(_replay, "id long, duplicate_of long, confidence double")
-    alone = places.join(labels, "id", "left_anti").select("id", F.lit(None).cast("long").alias("duplicate_of"), F.col("confidence").cast("double").alias("confidence"))
-    return marked.unionByName(alone)
+def mark_duplicates(places: DataFrame, same_m: float = 30.0, near_m: float = 80.0, least: float = 0.86) -> DataFrame:
+    """(id, duplicate_of, confidence) for places (id, ord, brand, lat, lon, address, filled, kind, confidence): greedy, in `ord`, which no two share.
 
+    A place that isn't marked yet gathers its later neighbours, as duplicate_pairs() has them;
+    the best of the group by (filled, kind, confidence), the earliest of equal ones, keeps, the
+    others are marked and lose 0.2. Places without a brand or coordinates have no neighbours.
 
-def text_score(query: Column, address: Column, name: Column, brand: Column) -> Column:
-    """How well a query names a place: the blocks that match, more if the query is the address or stands in the place's words, less if it is only the brand."""
+    That is done in rounds. Places on one spot (a brand at one point) are neighbours of each
+    other, so only spots are paired, and of each only its first open place can go next; it goes
+    when no spot within two steps has an earlier one. What it gathers are rows of the spots
+    around it, joined by spot. Rows with nothing open around them leave the rounds. There are as
+    many rounds as open places follow one another through neighbouring spots, whatever the
+    number of places on a spot.
+    """
+    from routeloom.operators.graph import written
+
+    rows = places.select("id", "ord", "brand", "lat", "lon", "address", "filled", "kind", F.col("confidence").cast("double").alias("score"))
+    spots = rows.filter("brand IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").groupBy("brand", "lat", "lon").agg(F.min("id").alias("spot"), F.count("*").alias("n"))
+    spots = written(spots)
+    near = geo.pairs_within(spots.drop("n"), spots.select("brand", "lat", "lon", F.col("spot").alias("other")), near_m, ("brand",))
+    near = written(near.filter("spot <> other").select("spot", "other", (F.col("distance_m") <= same_m).alias("close")))
+    busy = spots.filter("n > 1").select("brand", "lat", "lon", "spot").unionByName(spots.join(near.select("spot").distinct(), "spot", "left_semi").select("brand", "lat", "lon", "spot")).distinct()
+    rows = rows.join(busy, ["brand", "lat", "lon"], "left").select("id", "ord", "spot", "address", "filled", "kind", "score", F.lit(None).cast("long").alias("duplicate_of"), F.col("spot").isNotNull().alias("open"))
+    rows, done = written(rows), []
+    while True:
+        # the first open place of each spot, and the earliest of those up to one and two steps away
+        heads = rows.filter("open").groupBy("spot").agg(F.min(F.struct("ord", "id", "address", "filled", "kind", "score")).alias("head"))
+        heads = written(heads)
+        if heads.isEmpty():
+            done.append(rows)
+            break
+        reach = heads.select("spot", F.col("head.ord").alias("least"))
+        around = []
+        for _ in range(2):
+            reach = reach.unionByName(near.select("spot", "other").join(reach.withColumnRenamed("spot", "other"), "other").select("spot", "least")).groupBy("spot").agg(F.min("least").alias("least"))
+            around.append(reach)
+        ready = heads.join(around[1], "spot").filter(F.col("head.ord") == F.col("least")).select("spot", "head")
+        cover = written(ready.withColumn("close", F.lit(True)).unionByName(near.join(ready, "spot").select(F.col("other").alias("spot"), "head", "close")))
+        live = rows.join(around[0].select("spot"), "spot", "left_semi")
+        met = live.join(cover, "spot").filter(F.col("ord") > F.col("head.ord"))
+        far = met.filter(~F.col("close") & (F.length("address") > 0) & (F.length("head.address") > 0)).withColumn("first", F.col("head.address"))
+        met = met.filter("close").drop("close").unionByName(with_ratio(far, "first", "address", least).drop("close", "first", "ratio"))
+        met = written(met.select("id", "head", F.struct("filled", "kind", "score", (-F.col("ord")).alias("o"), "id").alias("rank")))
+        own = F.struct("head.filled", "head.kind", "head.score", (-F.col("head.ord")).alias("o"), "head.id")
+        best = met.groupBy("head").agg(F.greatest(F.max("rank"), own)["id"].alias("keeper"))
+        hits = met.select("id", "head").join(best, "head").select("id", "keeper").unionByName(best.select("head.id", "keeper")).filter("id <> keeper")
+        gone = ready.select(F.col("head.id").alias("id"), F.lit(True).alias("went"))
+        new = rows.join(hits, "id", "left").join(gone, "id", "left")
+        hit = F.col("keeper").isNotNull()
+        new = new.select("id", "ord", "spot", "address", "filled", "kind", F.when(hit, F.round(F.greatest(F.lit(0.0), F.col("score") - 0.2), 4)).otherwise(F.col("score")).alias("score"), F.coalesce("keeper", "duplicate_of").alias("duplicate_of"), (F.col("open") & ~hit & F.col("went").isNull()).alias("open"), "spot")
+        new = written(new.select(*rows.columns))
+        done.append(rows.join(around[0].select("spot"), "spot", "left_anti"))
+        rows = written(new.join(around[0].select("spot"), "spot", "left_semi"))
+    return reduce(DataFrame.unionByName, (d.select("id", "duplicate_of", F.col("score").alias("confidence")) for d in done))
+
+
+def _texts(query: Column, address: Column, name: Column, brand: Column) -> dict[str, Column]:
     a, n, b, q = (brand_text(c) for c in (address, name, brand, query))
-    hay = F.concat_ws(" ", *(F.nullif(x, F.lit("")) for x in (a, n, b)))
+    return {"q": q, "a": a, "b": b, "hay": F.concat_ws(" ", *(F.nullif(x, F.lit("")) for x in (a, n, b)))}
+
+
+def text_score(base: Column, q: Column, a: Column, b: Column, hay: Column) -> Column:
+    """How well a query names a place: by the blocks that match (base), more if the query is the address or stands in the place's words, less if it is only the brand."""
     located = (F.size(F.split(q, " ")) >= 3) | F.rlike(q, F.lit("[0-9]"))
-    base = F.when((q != "") & (hay != ""), ratio(q, hay)).otherwise(0.0)
+    base = F.when((q != "") & (hay != ""), base).otherwise(0.0)
     held = F.contains(hay, q)
     score = F.when((q != "") & (q == a), 1.0).when((q != "") & held & located, F.greatest(base, F.lit(0.96))).when((q != "") & held, F.greatest(base, F.lit(0.88))).otherwise(base)
     return F.when((q != "") & (q == b), F.least(score, F.lit(0.72))).otherwise(score)
@@ -124,12 +148,28 @@ def place_score(text: Column, sure: Column, distance_m: Column) -> Column:
 
 
 def search(queries: DataFrame, places: DataFrame, radius_m: float = 5000.0, top: int = 5) -> DataFrame:
-    """(query_id, id, distance_m, score, place) for queries (query_id, text, lat, lon): the best places within radius_m."""
-    p = places.select("id", "name", "brand", "address", F.col("confidence").alias("sure"), "lat", "lon")
-    met = geo.pairs_within(queries.select("query_id", "text", "lat", "lon"), p, radius_m)
-    scored = met.withColumn("score", place_score(text_score(F.col("text"), F.col("address"), F.col("name"), F.col("brand")), F.col("sure"), F.col("distance_m")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select("query_id", "id", "distance_m", "score", "place")
+    """(query_id, id, distance_m, score, place): the best `top` candidates of by_class() for queries (query_id, text, brand, lat, lon), by score, match and id.
+
+    Every candidate has a bound of its score from the characters that query and place have in
+    common. The comparison of texts runs in Python for the `top` candidates of the highest
+    bounds first; then only for those whose bound reaches the least score of these, the others
+    can't be among the best any more.
+    """
+    from routeloom.operators.graph import written
+
+    p = places.select("id", "name", "brand", "address", F.col("confidence").alias("sure"))
+    met = by_class(queries, places, radius_m, top).drop("place").join(p.withColumnRenamed("brand", "own"), "id").join(queries.select("query_id", "text"), "query_id")
+    met = met.select("query_id", "id", "match", "distance_m", "sure", F.struct(*(c.alias(k) for k, c in _texts(F.col("text"), F.col("address"), F.col("name"), F.col("own")).items())).alias("t"))
+    t = {k: F.col(f"t.{k}") for k in ("q", "a", "b", "hay")}
+    bound = place_score(text_score(ratio_bound(char_counts(t["q"]), char_counts(t["hay"])), **t), F.col("sure"), F.col("distance_m"))
+    order = lambda c: Window.partitionBy("query_id").orderBy(F.desc(c), "match", "id")
+    met = written(met.withColumn("bound", bound).withColumn("n", F.row_number().over(order("bound"))))
+    scored = lambda df: df.withColumn("score", place_score(text_score(ratio("t.q", "t.hay"), **t), F.col("sure"), F.col("distance_m")))
+    first = written(scored(met.filter(F.col("n") <= top)))
+    least = first.groupBy("query_id").agg(F.min("score").alias("least"))
+    more = scored(met.filter(F.col("n") > top).join(least, "query_id").filter(F.col("bound") >= F.col("least")).drop("least"))
+    best = first.unionByName(more).withColumn("place", F.row_number().over(order("score"))).filter(F.col("place") <= top)
+    return best.select("query_id", "id", "distance_m", "score", "place")
 
 
 def query_text(text: Column) -> Column:
@@ -152,7 +192,14 @@ def by_class(queries: DataFrame, places: DataFrame, radius_m: float = 5000.0, li
     bare = q.filter("brand IS NULL AND length(low) > 0")
     asked = bare.select("query_id", F.explode(F.array_distinct(F.array("key", "low"))).alias("l"))
     held = asked.join(containing_pairs(asked.select("l"), texts.select("r")), "l").join(texts, "r").select("query_id", "id").distinct()
-    named = q.filter("brand IS NOT NULL").select("query_id", F.col("brand").alias("own")).join(p.select("id", "own"), "own").select("query_id", "id")
+    named = q.filter("brand IS NOT NULL").withColumnRenamed("brand", "own")
+    placed = named.filter("lat IS NOT NULL AND lon IS NOT NULL").select("query_id", "own", "lat", "lon")
+    # a query with a point meets its brand's places near it, never all of a chain
+    around = geo.pairs_within(placed, p.select("id", "own", F.col("plat").alias("lat"), F.col("plon").alias("lon")), radius_m, ("own",))
+    # places without coordinates stay: their distance isn't known
+    lost = placed.join(p.filter("plat IS NULL OR plon IS NULL").select("id", "own"), "own")
+    anywhere = named.filter("lat IS NULL OR lon IS NULL").select("query_id", "own").join(p.select("id", "own"), "own")
+    named = reduce(DataFrame.unionByName, (x.select("query_id", "id") for x in (around, lost, anywhere)))
     met = held.unionByName(named).join(q, "query_id").join(p, "id")
     metres = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), geo.haversine("lat", "lon", "plat", "plon"))
     holds = lambda c, t: F.coalesce(F.contains(F.lower(c), F.col(t)), F.lit(False))

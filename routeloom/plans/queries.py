@@ -85,25 +85,46 @@ def cache_keys(v):
     return v("requests").select("id", T.cache_key(F.col("raw")).alias("key"))
 
 
-@query()
-def query_variants(v):
-    return geocoding.query_variants(T.parsed(v("requests")))
-
-
 @query(f"SELECT query_id, id, round({_METRES}, 3) AS distance_m FROM (SELECT query_id, id, {_H} AS h FROM queries a CROSS JOIN places b) WHERE {_METRES} <= 500", ("places", "queries"))
 def places_within(v):
     out = geo.pairs_within(v("queries").select("query_id", "lat", "lon"), v("places").select("id", "lat", "lon"), 500.0)
     return out.select("query_id", "id", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query()
+#: Queries that name an address, a name, a brand or a street, some with a brand, some without a point.
+_SOUGHT = """SELECT query_id, query_id % 4 AS f, query_id % 40 AS street, query_id % 7 AS house, CASE query_id % 4 WHEN 0 THEN concat('Street ', cast(query_id % 40 AS string), ' ', cast(query_id % 7 AS string)) WHEN 1 THEN 'Customer#00000000' WHEN 2 THEN 'Machinery' ELSE concat('street ', cast(query_id % 40 AS string)) END AS text,
+  CASE WHEN query_id % 4 = 2 THEN 'MACHINERY' END AS brand, CASE WHEN query_id % 5 > 0 THEN lat END AS lat, CASE WHEN query_id % 5 > 0 THEN lon END AS lon FROM {queries}"""
+#: The search in SQL: the queries' texts stand in the places' words, so the whole of them is the block that matches.
+_SEARCH = f""", s AS ({_SOUGHT.replace("{queries}", "queries")}),
+t AS (SELECT *, lower(text) AS low, CASE f WHEN 0 THEN 'street ' || street || ' ' || house WHEN 1 THEN 'customer00000000' ELSE lower(text) END AS q FROM s),
+m AS (SELECT a.query_id, a.q, a.brand AS asked, a.lat IS NOT NULL AS placed, b.id, b.confidence, lower(b.brand) AS brand, replace(b.address, ',', '') AS address, replace(b.address, ',', '') || ' ' || replace(lower(b.name), '#', '') || ' ' || lower(b.brand) AS hay,
+  CASE WHEN contains(replace(lower(b.address), ',', ''), a.low) THEN 0 WHEN contains(lower(b.name), a.low) THEN 2 ELSE 3 END AS match, {_H} AS h
+  FROM t a JOIN places b ON CASE WHEN a.brand IS NULL THEN contains(replace(lower(b.address), ',', ''), a.low) OR contains(lower(b.name), a.low) OR contains(lower(b.brand), a.low) ELSE a.brand = b.brand END),
+c AS (SELECT *, CASE WHEN placed THEN {_METRES} END AS d FROM m WHERE NOT placed OR {_METRES} <= 5000 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY match, confidence DESC, id) <= CASE WHEN asked IS NULL THEN 100 ELSE 300 END),
+x AS (SELECT *, 2.0::double * length(q) / (length(q) + length(hay)) AS base FROM c),
+y AS (SELECT *, CASE WHEN q = address THEN 1.0::double WHEN q = brand THEN 0.72::double WHEN regexp_matches(q, '[0-9]') THEN greatest(base, 0.96::double) ELSE greatest(base, 0.88::double) END AS t FROM x),
+z AS (SELECT query_id, id, d, match, round(greatest(0, least(1, t * 0.62::double + confidence * 0.28::double + CASE WHEN d IS NULL THEN 0 ELSE greatest(0, least(1, 1 - d / 5000)) END * 0.1::double)), 4) AS score FROM y),
+found AS (SELECT query_id, id, round(d, 3) AS distance_m, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match, id) AS int) AS place FROM z QUALIFY place <= 5)"""
+
+
+def _search(v):
+    q = v("queries")
+    p = v("places").withColumns({"normalized_address": F.replace("address", F.lit(","), F.lit("")), "updated_at": F.lit(0)})
+    return places.search(q.sparkSession.sql(_SOUGHT, queries=q), p)
+
+
+@query(f"{_SEARCH} SELECT query_id, id, distance_m, score, place FROM found", ("queries", "places"))
 def place_search(v):
-    return places.search(v("queries"), v("places"))
+    return _search(v).withColumn("distance_m", F.round("distance_m", 3))
 
 
-@query()
+@query(
+    f"""{_SEARCH}, b AS (SELECT query_id, max(CASE WHEN place = 1 THEN score END) AS s1, max(CASE WHEN place = 2 THEN score END) AS s2, max(CASE WHEN place = 1 THEN id END) AS first FROM found GROUP BY query_id), v AS (SELECT *, s1 >= 0.86 AND (s2 IS NULL OR s1 - s2 >= 0.08) AS sure FROM b)
+SELECT query_id, CASE WHEN sure THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN sure THEN first END AS id FROM v""",
+    ("queries", "places"),
+)
 def place_resolve(v):
-    return places.resolve(places.search(v("queries"), v("places")))
+    return places.resolve(_search(v))
 
 
 @query(f"SELECT brand, a, b, round({_METRES}, 3) AS distance_m FROM (SELECT a.brand, a.id AS a, b.id AS b, a.address = b.address AS same, {_H} AS h FROM near_places a JOIN near_places b ON a.brand = b.brand AND a.id < b.id) WHERE {_METRES} <= 30 OR same AND {_METRES} <= 80", ("near_places",))
@@ -111,17 +132,26 @@ def duplicate_pairs(v):
     return places.duplicate_pairs(v("near_places")).select("brand", "a", "b", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query()
+#: The greedy choice in SQL: one place after another, with the marks and scores of its brand in lists.
+_MARKED = f""", n AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY ord) AS i FROM near_places),
+e AS (SELECT brand, i, list(j ORDER BY j) AS later FROM (SELECT a.brand, a.i, b.i AS j, a.address = b.address AS same, {_H} AS h FROM n a JOIN n b ON a.brand = b.brand AND a.i < b.i) WHERE {_METRES} <= 30 OR same AND {_METRES} <= 80 GROUP BY brand, i),
+g AS (SELECT brand, list(id ORDER BY i) AS ids, list(filled ORDER BY i) AS fills, list(kind ORDER BY i) AS kinds, list(confidence ORDER BY i) AS scores, list(NULL::bigint ORDER BY i) AS marks, count(*) AS n FROM n GROUP BY brand),
+w AS (SELECT brand, 0::bigint AS i, scores, marks FROM g
+  UNION ALL SELECT w.brand, w.i + 1, CASE WHEN k.best IS NULL THEN w.scores ELSE list_transform(w.scores, lambda s, x: CASE WHEN x <> k.best AND list_contains(k.own, x) THEN round(greatest(0, s - 0.2), 4) ELSE s END) END, CASE WHEN k.best IS NULL THEN w.marks ELSE list_transform(w.marks, lambda m, x: CASE WHEN x <> k.best AND list_contains(k.own, x) THEN k.best ELSE m END) END
+  FROM w JOIN g ON g.brand = w.brand AND w.i < g.n LEFT JOIN e ON e.brand = w.brand AND e.i = w.i + 1,
+  LATERAL (SELECT own, CASE WHEN own IS NOT NULL THEN -list_reverse_sort([{{'f': g.fills[x], 'k': g.kinds[x], 's': w.scores[x], 'n': -x}} FOR x IN own])[1].n END AS best FROM (SELECT CASE WHEN w.marks[w.i + 1] IS NULL AND e.later IS NOT NULL THEN list_prepend(w.i + 1, e.later) END AS own)) k),
+marked AS (SELECT unnest(g.ids) AS id, unnest(list_transform(w.marks, lambda m: g.ids[m])) AS duplicate_of, unnest(w.scores) AS confidence FROM w JOIN g ON g.brand = w.brand AND w.i = g.n)"""
+
+
+@query(f"WITH RECURSIVE {_MARKED[2:]} SELECT id, duplicate_of, confidence FROM marked", ("near_places",))
 def duplicates_marked(v):
-    p = v("places")
-    return places.mark_duplicates(p, places.duplicate_pairs(p))
+    return places.mark_duplicates(v("near_places"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_MARKED[2:]} SELECT p.brand, count(*) AS n, count(duplicate_of) AS duplicates, count(CASE WHEN m.confidence < 0.75 THEN 1 END) AS low, count(CASE WHEN coalesce(trim(p.address), '') = '' THEN 1 END) AS no_address FROM near_places p JOIN marked m ON m.id = p.id GROUP BY p.brand", ("near_places",))
 def place_report(v):
-    p = v("places")
-    marked = places.mark_duplicates(p, places.duplicate_pairs(p))
-    return places.report(p.drop("confidence").join(marked, "id"))
+    p = v("near_places")
+    return places.report(p.drop("confidence").join(places.mark_duplicates(p), "id"))
 
 
 _ALIASES = "(VALUES ('A', 'ring', 0), ('A', 'small ring', 1), ('B', 'Widget', 2), ('C', 'red', 3), ('D', 'gear', 4), ('E', 'bl', 5)) AS t(brand, alias, ord)"
@@ -349,13 +379,6 @@ def ocr_lines(v):
     return sheets.lines_of(v("words"))
 
 
-@query("SELECT id // 50 AS image, id AS pos, house FROM requests WHERE form = 0", ("requests",))
-def line_records(v):
-    rows = v("requests").withColumn("text", F.when(F.col("form") == 0, F.concat(F.lit("Ленина ул. "), "house")).otherwise("склад"))
-    out = sheets.delivery_records(rows.select(F.floor(F.col("id") / 50).alias("image"), F.col("id").alias("pos"), "text"))
-    return out.select("image", "pos", F.regexp_extract("address", r"(\d+)$", 1).alias("house"))
-
-
 @query()
 def sheet_fuzzy_dedupe(v):
     rows = v("requests").select(F.floor(F.col("id") / 50).alias("image"), F.col("id").alias("pos"), F.col("raw").alias("address"), F.lit(0.7).alias("confidence"))

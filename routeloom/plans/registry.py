@@ -14,6 +14,9 @@ ORACLES: dict[str, str] = {}
 
 def query(oracle: str | None = None, views: tuple[str, ...] = ()):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(lambda name: view(spark, sf_dir, name))
 

@@ -96,7 +96,7 @@ def test_batches_by_district(spark):
 
 def test_greedy_duplicates_follow_the_order(spark):
     p = spark.createDataFrame([(i, i, "b", "n", "addr", 59.9 + i * 0.0002, 30.3, 0.5 + i / 10, i % 2, 1) for i in range(4)], "id long, ord long, brand string, name string, address string, lat double, lon double, confidence double, filled int, kind int")
-    got = {r.id: (r.duplicate_of, round(r.confidence, 4)) for r in places.mark_duplicates(p, places.duplicate_pairs(p)).collect()}
+    got = {r.id: (r.duplicate_of, round(r.confidence, 4)) for r in places.mark_duplicates(p).collect()}
     # 22 m apiece: 0 gathers 1, 2 and 3; of those filled, 3 is surest and keeps, and 1 and 2 are marked already
     assert got == {0: (3, 0.3), 1: (3, 0.4), 2: (3, 0.5), 3: (None, 0.8)}
 
