@@ -16,6 +16,7 @@ alike have a shingle in common so early that those of a shared template seldom c
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -35,6 +36,12 @@ _CELLS = 1 << 20
 _JOINS = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
 #: Rows of a bucket that are dealt together.
 _DEALT = 1000
+#: Edits up to which an alignment is looked for diagonal by diagonal.
+_FEW_EDITS = 48
+#: Cells of a block, and arrays of a block that are added together.
+_BLOCK, _TOGETHER = 1 << 16, 64
+#: Bundles of a token that meet in one task.
+_MET = 64
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +125,9 @@ def aligned(a: list[int], b: list[int], most: int) -> int:
     n, m = len(a), len(b)
     if n + m == 0 or not n or not m:
         return lead + tail if n + m <= most else -1
+    # few edits show at once: the furthest places that d of them reach, diagonal by diagonal
     reach = {1: 0}
-    for d in range(min(most, n + m) + 1):
+    for d in range(min(most, n + m, _FEW_EDITS) + 1):
         for k in range(-d + 2 * max(0, d - m), d - 2 * max(0, d - n) + 1, 2):
             x = reach.get(k + 1, -1) if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach.get(k - 1, -1) + 1
             y = x - k
@@ -129,7 +137,26 @@ def aligned(a: list[int], b: list[int], most: int) -> int:
             reach[k] = x
             if x >= n and y >= m:
                 return lead + tail + (n + m - d) // 2
-    return -1
+    if most <= _FEW_EDITS:
+        return -1
+    # many: rows of the table as long numbers, a zero bit for each place where a match adds to the best
+    places: dict[int, list[int]] = {}
+    for x, v in enumerate(a):
+        places.setdefault(v, []).append(x)
+    whole = (1 << n) - 1
+    row = whole
+    for y, v in enumerate(b):
+        own = places.get(v)
+        if own is None:
+            continue
+        # only what lies within the band
+        hit = 0
+        for x in own[bisect.bisect_left(own, y - most) : bisect.bisect_right(own, y + most)]:
+            hit |= 1 << x
+        hit &= row
+        row = ((row + hit) | (row - hit)) & whole
+    matches = n - row.bit_count()
+    return lead + tail + matches if n + m - 2 * matches <= most else -1
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -173,20 +200,61 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return (mix(h, 21) >> np.uint64(44)).astype(np.int64)
 
 
+def _blocks(n: np.ndarray):
+    """(block, cells, counts) of the counts that aren't 0, as little-endian numbers."""
+    for block in range(_CELLS // _BLOCK):
+        own = n[block * _BLOCK : (block + 1) * _BLOCK]
+        at = np.flatnonzero(own)
+        if len(at):
+            yield block, at.astype("<u2").tobytes(), own[at].astype("<i8").tobytes()
+
+
 def _count_cells(k: int):
     def run(batches):
+        from pyspark import TaskContext
+
         n = np.zeros(_CELLS, np.int64)
         for b in batches:
             for _, _, data, offsets in pieces(b.column("text")):
                 n += np.bincount(_cells(_labelled(*_shingles(Words(data, offsets, SPACES), k))), minlength=_CELLS)
-        some = np.flatnonzero(n)
-        for i in range(0, len(some), 10_000):
-            at = some[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+        rows = [(TaskContext.get().partitionId(), *x) for x in _blocks(n)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "cells", "counts"])
 
     return run
 
 
+def _added(batches):
+    """The counts of each row's arrays put together."""
+    for b in batches:
+        out = []
+        for part, block, arrays in zip(*(b.column(c).to_pylist() for c in ("part", "block", "m")), strict=True):
+            n = np.zeros(_BLOCK, np.int64)
+            for x in arrays:
+                n[np.frombuffer(x["cells"], "<u2")] += np.frombuffer(x["counts"], "<i8")
+            at = np.flatnonzero(n)
+            out.append((part, block, at.astype("<u2").tobytes(), n[at].astype("<i8").tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "cells", "counts"])
+
+
+def cell_levels(texts: DataFrame, k: int) -> np.ndarray:
+    """How common the shingles of each cell are, on a scale of logarithms: a byte for each cell, whatever the size of the input.
+
+    Tasks count into arrays, which are added up _TOGETHER at a time until one is left.
+    """
+    shape = "part int, block int, cells binary, counts binary"
+    counted = materialise(texts.select("text").mapInArrow(_count_cells(k), shape), "cells")
+    while counted.agg(F.max("part")).first()[0]:
+        some = counted.groupBy((F.col("part") / _TOGETHER).cast("int").alias("part"), "block").agg(F.collect_list(F.struct("cells", "counts")).alias("m"))
+        counted = materialise(some.mapInArrow(_added, shape), "cells")
+    level = np.zeros(_CELLS, np.uint8)
+    for r in counted.collect():
+        n = np.frombuffer(r["counts"], "<i8")
+        level[r["block"] * _BLOCK + np.frombuffer(r["cells"], "<u2").astype(np.int64)] = np.minimum(255, np.ceil(8 * np.log2(n)))
+    return level
+
+
 def _prefixes(k: int, least: float, level: np.ndarray):
     """Rows (rid, token, at, size, early) of the shingles, with occurrence numbers, by which a text can meet one that is alike.
 
@@ -220,11 +288,7 @@ def _prefixes(k: int, least: float, level: np.ndarray):
 def prefix_pairs(texts: DataFrame, labels: DataFrame, k: int, least: float) -> DataFrame:
     """All pairs (u, v, cu, cv) of the texts in labels (rid, label), of different labels cu and cv, that can be alike by `least`; some more than once."""
     rest = texts.join(labels.select("rid"), "rid", "left_semi")
-    counted = rest.select("text").mapInArrow(_count_cells(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
-    # a byte for each cell, whatever the size of the input
-    level = np.zeros(_CELLS, np.uint8)
-    for c in counted.select("cell", F.least(F.lit(255), F.ceil(8 * F.log2("n"))).cast("int").alias("level")).toLocalIterator():
-        level[c["cell"]] = c["level"]
+    level = cell_levels(rest, k)
     tokens = rest.mapInArrow(_prefixes(k, least, level), "rid long, token long, at int, size int, early boolean")
     tokens = materialise(tokens.join(labels, "rid"), "prefixes")
     # neighbouring shingles are shared by the same texts: tokens with the same texts, told by hashes over them, count as one
@@ -238,10 +302,19 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, k: int, least: float) -> D
     counted = packed.groupBy(*group).agg((F.count("*") / _DEALT).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("rid"), F.col("parts") + 1).alias("part")
     own = meet(packed, counted, group, "rid").groupBy(*group, part).agg(F.collect_list(F.struct("rid", "at", "size", "early")).alias("m"))
-    own = materialise(own, "meetings")
+    # of a bundle: the least size, and the most shingles that stand from a place on
     early = F.filter("m", lambda x: x["early"])
+    sizes = lambda m: (F.array_min(F.transform(m, lambda x: x["size"])), F.array_max(F.transform(m, lambda x: x["size"] - x["at"])))
+    own = materialise(own.withColumns({"least": sizes("m")[0], "rest": sizes("m")[1]}), "meetings")
+    # bundles of a token that many classes share are dealt over salts, what meets them goes to each
+    many = own.groupBy("k1", "k2", "band").agg((F.count("*") / _MET).cast("int").alias("salts")).filter("salts > 0")
+    at = F.pmod(F.xxhash64("label", "part"), F.coalesce("salts", F.lit(0)) + 1).alias("salt")
+    dealt = own.join(many, ["k1", "k2", "band"], "left").select("k1", "k2", "band", at, "label", "least", "rest", F.col("m").alias("y"))
     short = own.select("k1", "k2", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("label").alias("c"), early.alias("x")).filter("size(x) > 0")
-    met = short.join(own.select("k1", "k2", "band", "label", F.col("m").alias("y")), ["k1", "k2", "band"]).filter("c <> label")
+    short = short.withColumns({"xleast": sizes("x")[0], "xrest": sizes("x")[1]}).join(many, ["k1", "k2", "band"], "left")
+    short = short.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(0))))).drop("salts")
+    reach = F.least("xrest", "rest") + F.lit(1e-6) >= (F.col("xleast") + F.col("least")) * F.lit(least / (1 + least))
+    met = short.join(dealt, ["k1", "k2", "band", "salt"]).filter((F.col("c") != F.col("label")) & reach)
 
     def can_meet(x, y):
         ahead = (x["size"] < y["size"]) | ((x["size"] == y["size"]) & (x["rid"] < y["rid"]))
@@ -273,7 +346,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", F.col("next").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, minima: int = 3, rounds: int = 3, small: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, minima: int = 3, rounds: int = 1, small: int = 24) -> DataFrame:
     """Rows (doc_id, rid, class_id), one for each row of docs; class_id is the least rid of the class.
 
     rid is doc_id where that is a unique integer, else an id of its own. Two texts are linked
@@ -319,7 +392,7 @@ def _pairs_of_turn(buckets: DataFrame, lead: bool, small: int, least: float) ->
     return mixed, pairs.filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & like(F.col("su"), F.col("sv"))).select("u", "v", "cu", "cv", F.lit(0).alias("salt")), large
 
 
-def classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, minima: int = 3, rounds: int = 3, small: int = 24) -> DataFrame:
+def classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, sketches: int = 16, minima: int = 3, rounds: int = 1, small: int = 24) -> DataFrame:
     """near_duplicates for rows (rid, doc_id, text) whose rid names a row."""
     with scope(rows.sparkSession, _JOINS):
         whole = materialise(_classes(rows.select("rid", "text"), shingle, similarity, sketches, minima, rounds, small), "near-classes", keep=True)

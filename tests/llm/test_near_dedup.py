@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -57,6 +58,31 @@ def test_alignment():
         assert aligned(a, b, 100) == m and aligned(a, b, left) == m and (left == 0 or aligned(a, b, left - 1) == -1)
 
 
+def test_alignment_of_long_sequences():
+    r = random.Random(2)
+    for n in (500, 900):
+        a = [r.randrange(n // 2) for _ in range(n)]
+        b = [x for x in a if r.random() > 0.1]
+        b = [r.randrange(n) if r.random() < 0.04 else x for x in b]
+        t = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(new[j], t[j + 1], t[j] + (x == y)))
+            t = new
+        left = len(a) + len(b) - 2 * t[-1]
+        assert left > 60 and aligned(a, b, left) == t[-1] == aligned(a, b, left + 9) and aligned(a, b, left - 1) == -1
+
+
+def test_alignment_of_a_hundred_thousand_words_takes_seconds():
+    r = random.Random(3)
+    a = list(range(100_000))
+    b = [x for x in a if r.random() > 0.09]
+    begun = time.time()
+    assert aligned(a, b, 22_000) == len(b) and time.time() - begun < 5
+    assert aligned(a, a[::-1], 22_000) == -1
+
+
 def check(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("rid", "key", "label", "u")})
     got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
