@@ -61,7 +61,7 @@ def find_forms(rows: DataFrame) -> DataFrame:
 
     def each(kind: str, form: str) -> Column:
         pieces = F.arrays_zip(F.split("text", form, -1).alias("gap"), F.col(kind).alias("match"))
-        own = F.transform(pieces, lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(p["gap"]).alias("gap"), p["match"].alias("match"), F.lower(F.regexp_extract(F.right(p["gap"], F.lit(60)), r"(?:^|\s)(\S+\s+\S+\s+)$", 1)).alias("context")))
+        own = F.transform(pieces, lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(p["gap"]).alias("gap"), p["match"].alias("match"), F.lower(F.reverse(F.regexp_extract(F.reverse(p["gap"]), r"^(\s++\S++\s++\S++)", 1))).alias("context")))
         return F.when(F.size(kind) > 0, F.filter(own, lambda x: x["match"].isNotNull()))
 
     empty = F.array().cast("array<struct<kind:string,i:int,gap:int,match:string,context:string>>")

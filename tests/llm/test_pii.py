@@ -79,3 +79,11 @@ def test_patterns_grow(spark):
     rows += [(c, f"u{i}(at)x", None) for c in ("write to:", "reach them:") for i in range(10)] + [("reach them:", "new7", None), ("see no:", "u1(at)x", None), ("see no:", "n1", None)]
     seen = spark.createDataFrame(rows, "context string, instance string, kind string")
     assert {tuple(r) for r in learn(seen, 3, 5, 0.8).collect()} == {("write to:", "email"), ("reach them:", "email")}
+
+
+def test_contexts_have_no_bound(spark):
+    long = "w" * 200
+    rows = [(i, f"words here write to: user{i}@mail.example now") for i in range(12)] + [(50 + i, f"words {long} to: user{i}@mail.example now") for i in range(12)]
+    rows += [(20, "please write" + " " * 70 + "to: jo.smith(at)mail7 now"), (21, f"please {long} to: jo.smith(at)mail7 now"), (22, f"please x{long} to: jo.smith(at)mail7 now"), (23, "please write to:" + "\n" * 90 + "jo.smith(at)mail7 now")]
+    by = {r.doc_id: r.spans for r in lists(spark, rows)}
+    assert by[20] == "email:86:103" and by[21] == "email:212:229" and by[22] == "" and by[23] == "email:106:123"
