@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import materialise, meet, scope
+from routeloom.llm._common import materialise, meet, scope, with_row_id
 from routeloom.llm._words import NON_ALNUM, SPACES, Words, mix, pieces, spans
 
 SYMBOLS = "#*$%&|<>"
@@ -153,15 +153,14 @@ def _without(text: pa.Array, lost: pa.Array) -> pa.Array:
 def without_boilerplate(docs: DataFrame, **settings) -> DataFrame:
     """docs with all their columns, without the rows that assess() rejects and, in those kept, without boilerplate lines.
 
-    Texts without such lines stay to the letter. docs need the columns that assess() needs;
-    what holds for a text and its source holds for each row that has them.
+    Texts without such lines stay to the letter. docs need the columns that assess() needs.
     """
-    columns = ("host", "text_hash", "kept", "lost_lines")
-    judged = _assessed(docs.select("doc_id", "text", "source"), **settings).select(*columns)
-    verdicts = judged.filter("NOT kept OR lost_lines IS NOT NULL").groupBy("host", "text_hash").agg(F.bool_or("kept").alias("kept"), F.first("lost_lines").alias("lost_lines"))
-    host = F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host")
-    keyed = docs.select(host, F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text", F.struct(*docs.columns).alias("routeloom_row"))
-    both = keyed.join(verdicts, ["host", "text_hash"], "left").filter("kept IS NULL OR kept")
+    rows = with_row_id(docs.select("doc_id", "source", F.struct(*docs.columns).alias("routeloom_row")), ["source", "routeloom_row"])
+    text = F.col("routeloom_row")["text"].alias("text")
+    judged = _assessed(rows.select(F.col("rid").alias("doc_id"), text, "source"), **settings)
+    # verdicts go by row: copies of one text are many rows, never one key
+    verdicts = judged.filter("NOT kept OR lost_lines IS NOT NULL").select(F.col("doc_id").alias("rid"), "kept", "lost_lines")
+    both = rows.select("rid", text, "routeloom_row").join(verdicts, "rid", "left").filter("kept IS NULL OR kept")
     cut = F.arrow_udf(_without, "string")(F.when(F.col("lost_lines").isNotNull(), F.col("text")), F.col("lost_lines"))
     both = both.select(F.coalesce(cut, F.col("text")).alias("text"), "routeloom_row")
     return both.select(*(F.col("text") if c == "text" else F.col("routeloom_row")[c].alias(c) for c in docs.columns))
