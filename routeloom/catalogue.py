@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def _registered():
     # each module registers its queries as it is imported
-    from routeloom.plans import address_queries, job_queries, queries, sheet_queries  # noqa: F401
+    from routeloom.plans import address_queries, job_queries, map_queries, queries, sheet_queries  # noqa: F401
     from routeloom.plans import registry
 
     return registry

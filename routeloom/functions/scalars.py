@@ -51,10 +51,9 @@ def percent(x: Column) -> Column:
     return F.regexp_extract(x, r"^\s*([0-9.]+)\s*%\s*$", 1).try_cast("double")
 
 
-def nearest_rank(x: Column, share: float) -> Column:
-    """Aggregate: the value at place round(share * (n - 1)) in order, half to even."""
-    ordered = F.sort_array(F.collect_list(x))
-    return F.when(F.size(ordered) > 0, F.element_at(ordered, (F.bround(F.lit(share) * (F.size(ordered) - 1)) + 1).cast("int")))
+def bound(value: Column, then) -> Column:
+    """then(value), where the value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def rounded(x: Column, decimals: int = 2, even: bool = True) -> Column:

@@ -76,6 +76,9 @@ VIEWS = {
         CASE o_orderkey % 3 WHEN 0 THEN 'database' ELSE 'remote' END AS source, cast(o_orderkey % 50 AS double) AS confidence, cast(o_orderkey % 4 AS double) AS lat, cast(o_orderkey % 3 AS double) AS lon
         FROM {orders} JOIN {part} ON p_partkey = o_orderkey % 200""",
     "calls": "SELECT event_type AS status, cast(event_id % 3 AS string) AS provider, CASE event_id % 10 WHEN 0 THEN cast(NULL AS string) ELSE cast(event_id % 4 AS string) END AS source, value AS latency FROM {events}",
+    "map_nodes": """SELECT p_partkey AS osm_id, CASE p_partkey % 11 WHEN 0 THEN NULL WHEN 1 THEN cast(95 AS double) ELSE cast(59 AS double) + cast(p_partkey * 37 % 1000 AS double) / 1000 END AS lat, cast(30 AS double) + cast(p_partkey * 53 % 1000 AS double) / 1000 AS lon,
+        CASE p_partkey % 5 WHEN 0 THEN p_name END AS shop FROM {part}""",
+    "map_refs": "SELECT l_orderkey AS way_id, l_linenumber AS pos, CASE l_partkey % 13 WHEN 0 THEN -1 ELSE l_partkey END AS node FROM {lineitem}",
     "words": "SELECT l_orderkey AS image, l_linenumber % 2 AS block, 0 AS par, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS pos, concat('w', cast(l_partkey AS string)) AS text, cast(l_suppkey % 12 - 1 AS double) AS confidence FROM {lineitem}",
     "marks": "SELECT DISTINCT l_suppkey AS grp, l_partkey AS v FROM {lineitem}",
 }
