@@ -162,7 +162,8 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array(self.kinds), pa.array(np.concatenate(self.ids)), tags, lat, lon, pa.array(self.refs, pa.list_(pa.int64()))], schema=_ARROW)
 
 
-def _file(path: str):
+def open_file(path: str):
+    """A file to read from, in a local, shared or remote store that pyarrow knows."""
     from pyarrow import fs
 
     if "://" not in path and not path.startswith("file:"):
@@ -197,7 +198,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Run]:
         out, begin = [], 0
-        with _file(self.path) as f:
+        with open_file(self.path) as f:
             whole = f.size()
             for _, place, size in _blobs(f, 0, whole):
                 if place + size - begin >= self.run_bytes or place + size == whole:
@@ -206,7 +207,7 @@ class _Reader(DataSourceReader):
         return out or [_Run(self.path, 0, 0)]
 
     def read(self, partition: _Run) -> Iterator[pa.RecordBatch]:
-        with _file(partition.path) as f:
+        with open_file(partition.path) as f:
             for kind, place, size in _blobs(f, partition.begin, partition.end):
                 if kind == "OSMData" and (b := _Block(_unpacked(memoryview(f.read_at(size, place)))).batch()) is not None:
                     yield b

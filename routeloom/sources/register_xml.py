@@ -1,15 +1,16 @@
-"""The official address register, read from its XML files with Spark's own XML source.
+"""The official address register, read from its XML files or from a zip archive of them.
 
-Files are told apart by name, so a filter on the file's name prunes them before any is opened;
-rows are elements with attributes in capitals, all read as text under a given schema.
+Files are told apart by name; rows are elements, whatever the case of their names, and all
+attributes are read as text. Of several rows for one key the last in the last file counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.operators.register import in_regions, object_rows
+from routeloom.sources import xml_records
 
 #: The attributes that may hold a field; the first that isn't empty counts.
 ITEM_FIELDS = {
@@ -59,13 +60,12 @@ def kind_of(file_name: Column) -> Column:
 
 
 def _rows(spark: SparkSession, path: str, kind: str, tag: str, fields: dict[str, tuple[str, ...]]) -> DataFrame:
-    names = dict.fromkeys(a for options in fields.values() for a in options)
-    schema = ", ".join(f"`{a}` string" for a in [*names, *(() if "UPDATEDATE" in names else ("UPDATEDATE",))])
-    raw = spark.read.format("xml").options(rowTag=tag, attributePrefix="", recursiveFileLookup="true", pathGlobFilter="*.[xX][mM][lL]").schema(schema).load(path)
-    raw = raw.filter(kind_of(F.col("_metadata.file_name")) == kind)
+    found = xml_records.pieces(spark, path)
+    found = found.filter(kind_of(F.element_at(F.split("file", "/"), -1)) == kind)
+    raw = xml_records.elements(found, (tag,))
     out = {}
     for field, options in fields.items():
-        value = F.coalesce(*(F.nullif(F.col(a), F.lit("")) for a in options))
+        value = F.coalesce(*(F.nullif(F.element_at("attributes", F.lit(a)), F.lit("")) for a in options))
         if field in _NUMBERS:
             value = F.trim(value).try_cast("long")
         elif field == "object_level":
@@ -73,14 +73,13 @@ def _rows(spark: SparkSession, path: str, kind: str, tag: str, fields: dict[str,
         elif field in _FLAGS:
             value = F.lower(F.trim(value)).isin(*YES)
         out[field] = value
-    return raw.select(*(v.alias(k) for k, v in out.items()), F.col("_metadata.file_path").alias("_file"), F.col("UPDATEDATE").alias("_dated"))
+    return raw.select(*(v.alias(k) for k, v in out.items()), F.struct("file", "begin", "number").alias("_place"))
 
 
 def _last(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each key: of the last file by name, then of the latest UPDATEDATE, then the greatest row, since rows have no place in a file."""
-    rest = [c for c in rows.columns if c not in (key, "_file", "_dated")]
-    last = Window.partitionBy(key).orderBy(F.desc("_file"), F.desc_nulls_last("_dated"), *(F.desc_nulls_last(c) for c in rest))
-    return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_file", "_dated")
+    """One row for each key: the last one of the last file by name."""
+    rest = [c for c in rows.columns if c not in (key, "_place")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_place").alias("r")).select(key, "r.*")
 
 
 def hierarchy(spark: SparkSession, path: str, regions: list[str] | None = None) -> DataFrame:
