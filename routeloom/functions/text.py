@@ -242,3 +242,8 @@ def significant(x: Column) -> Column:
 
 def match_tokens(x: Column) -> Column:
     return F.filter(F.regexp_extract_all(folded(F.coalesce(x, F.lit(""))), F.lit("[0-9a-zа-я]+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~F.rlike(t, F.lit("^[0-9]+$")) & ~t.isin(*rules.STREET_STOP_WORDS))
+
+
+def match_key(x: Column) -> Column:
+    """The match tokens of an address put together."""
+    return F.array_join(match_tokens(x), "")

@@ -89,6 +89,15 @@ def best_candidates(scored: DataFrame, keys: list[str], position: str = "pos") -
     return best.withColumn("status", status)
 
 
+def first_status(candidates: DataFrame, keys: list[str], position: str = "pos", gap: float = 0.02) -> DataFrame:
+    """(keys, importance, status) of each key's first candidate: ambiguous if the second one's importance, both being known, is less than `gap` away, else found."""
+    order = Window.partitionBy(*keys).orderBy(position)
+    two = candidates.select(*keys, "importance", F.row_number().over(order).alias("n")).filter("n <= 2")
+    own = two.groupBy(*keys).agg(F.max(F.when(F.col("n") == 1, F.col("importance"))).alias("importance"), F.max(F.when(F.col("n") == 2, F.col("importance"))).alias("_second"))
+    close = F.coalesce(F.abs(F.col("importance") - F.col("_second")) < gap, F.lit(False))
+    return own.select(*keys, "importance", F.when(close, "ambiguous").otherwise("found").alias("status"))
+
+
 def best_for_requests(requests: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
     """The best candidate (see candidate_score) for each request, with its columns, score and status.
 

@@ -68,10 +68,18 @@ def failure_of_jobs(failures: DataFrame) -> DataFrame:
     return j.select("job", code.otherwise("ADDRESS_NOT_FOUND").alias("code"), message.otherwise(ANY_MESSAGE).alias("message"), "failed")
 
 
+#: Columns of a job's row that may say which district it is in; the last is a label for what has no address.
+DISTRICT_TEXTS = ("address", "original_address", "normalized_address", "address_for_geocoding", "display_name")
+
+
+def district_text(rows: DataFrame) -> Column:
+    """What a row's texts say, one after another; columns that rows haven't, null and empty ones are left out."""
+    return F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in DISTRICT_TEXTS if c in rows.columns))
+
+
 def points(rows: DataFrame) -> DataFrame:
     """(job, stop, type, lat, lon, district) of jobs whose addresses all have a place, one start and one end; the others are left out (see failed)."""
-    words = F.concat_ws(" ", "address", "display_name")
-    near = geo.district("lat", "lon", words, list(rules.DISTRICT_HINTS), list(rules.DISTRICT_BOXES))
+    near = geo.district("lat", "lon", district_text(rows), list(rules.DISTRICT_HINTS), list(rules.DISTRICT_BOXES))
     ok = rows.groupBy("job").agg(F.min(F.coalesce(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("status").isin("found", "manual"), F.lit(False))).alias("_ok"), F.count_if(F.col("role") == "start").alias("_s"), F.count_if(F.col("role") == "end").alias("_e"))
     fit = ok.filter("_ok AND _s = 1 AND _e = 1").select("job")
     return rows.join(fit, "job", "left_semi").select("job", F.col("original_index").cast("int").alias("stop"), F.col("role").alias("type"), "lat", "lon", near.alias("district"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from routeloom.functions import scalars
-from routeloom.operators import checks, imports, route_jobs, routes
+from routeloom.functions import text as T
+from routeloom.operators import addresses, checks, geocoding, imports, route_jobs, routes
 from routeloom.plans.registry import query
 
 @query("SELECT id, round_even((id::decimal(20,6) / 8)::decimal(20,6), 2)::double AS half_even, CASE WHEN m < 1000 THEN floor(m + 0.5)::bigint || ' м' ELSE replace(CASE WHEN m % 500 = 250 THEN printf('%.1f', ceil(m / 100) / 10) ELSE printf('%.1f', m / 1000) END, '.', ',') || ' км' END AS distance, CASE WHEN hh = 0 THEN mm || ' мин' WHEN mm = 0 THEN hh || ' ч' ELSE hh || ' ч ' || mm || ' мин' END AS duration, printf('%.6f', m / 7) AS coordinate FROM (SELECT id, (id * 7 % 5000)::double AS m, (id * 97 % 20000) // 3600 AS hh, floor(((id * 97 % 20000) % 3600) / 60.0 + 0.5)::bigint AS mm FROM attempts_ids)".replace("attempts_ids", "(SELECT pos AS id FROM attempts)"), ("attempts",))
@@ -190,3 +191,30 @@ def notes_deleted(v):
     i = F.col("address_id")
     rows = v("cache").select(i.alias("id"), F.when(F.col("provider") == "known_poi", "manual").otherwise("x").alias("provider"), F.when(i % 3 == 0, "a GRID").when((i % 3 == 1) & (i % 2 == 0), "Testing").when(i % 3 == 1, "other").alias("notes"))
     return imports.without_notes(rows).select("id")
+
+
+@query("SELECT query_id, importance, CASE WHEN abs(importance - second) < 0.02 THEN 'ambiguous' ELSE 'found' END AS status FROM (SELECT query_id, importance, lead(importance) OVER (PARTITION BY query_id ORDER BY pos) AS second, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM found_json) WHERE n = 1", ("found_json",))
+def importance_gap(v):
+    return geocoding.first_status(v("found_json"), ["query_id"])
+
+
+@query("SELECT id, 'ул' || w1 || w2 || CASE WHEN letter <> '' THEN house ELSE '' END AS key FROM asks", ("asks",))
+def match_keys(v):
+    return v("asks").select("id", T.match_key(F.col("raw")).alias("key"))
+
+
+@query("SELECT job, original_index, concat_ws(' ', address, CASE WHEN ord % 2 = 0 THEN 'Невский' END, CASE WHEN ord % 3 > 0 THEN 'у. ' || job END, display_name) AS said FROM (SELECT *, original_index AS ord FROM job_rows)", ("job_rows",))
+def district_texts(v):
+    i = F.col("original_index")
+    rows = v("job_rows").withColumns({"original_address": F.when(i % 2 == 0, "Невский"), "normalized_address": F.when(i % 3 > 0, F.concat(F.lit("у. "), "job")).otherwise("")})
+    return rows.select("job", "original_index", route_jobs.district_text(rows).alias("said"))
+
+
+@query(
+    """SELECT id, '{"source":"known_pois","known_poi_id":' || id || ',"canonical_brand":"' || brand || '","name":"' || name || '","address":' || CASE WHEN id % 4 = 0 THEN 'null' ELSE '"' || address || '"' END || ',"distance_m":' || CASE WHEN id % 5 = 0 THEN 'null' ELSE (id % 9) || '.5' END || ',"match_score":0.' || (id % 9 + 1) || '}' AS raw FROM places""",
+    ("places",),
+)
+def kept_answers(v):
+    i = F.col("id")
+    p = v("places").withColumns({"address": F.when(i % 4 > 0, F.col("address")), "distance_m": F.when(i % 5 > 0, i % 9 + 0.5), "score": ((i % 9 + 1) / 10.0).cast("double")})
+    return p.select("id", addresses.raw_response().alias("raw"))
