@@ -162,13 +162,17 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array(self.kinds), pa.array(np.concatenate(self.ids)), tags, lat, lon, pa.array(self.refs, pa.list_(pa.int64()))], schema=_ARROW)
 
 
-def open_file(path: str):
-    """A file to read from, in a local, shared or remote store that pyarrow knows."""
+def store_of(path: str):
+    """The local, shared or remote store of a path, as pyarrow knows it, and the path in it."""
     from pyarrow import fs
 
-    if "://" not in path and not path.startswith("file:"):
-        path = f"file://{path}"
-    store, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    if "://" not in path:
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str):
+    store, name = store_of(path)
     return store.open_input_file(name)
 
 
