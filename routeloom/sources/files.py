@@ -14,6 +14,8 @@ IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp")
 REPORT_FILES = "poi_{import,low_confidence,duplicates}_*.csv"
 ENRICHED = "_reverse_geocoded_"
 LOW_CONFIDENCE = 0.75
+#: The columns of a report.
+REPORT_COLUMNS = ("canonical_brand", "name", "address", "latitude", "longitude", "confidence_score", "warnings", "osm_type", "osm_id", "source", "is_duplicate")
 
 
 def address_list(spark: SparkSession, path: str) -> DataFrame:
@@ -124,8 +126,16 @@ def markdown_row(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(clean, " | "), F.lit(" |"))
 
 
-def write_delimited(rows: DataFrame, path: str, sep: str = ",") -> None:
-    """CSV with a header; lists become their items joined by ;."""
+def report_rows(candidates: DataFrame) -> DataFrame:
+    """Candidates (brand, original_address, lat, lon, ...) as rows of a report: its fixed columns, empty where candidates have none."""
+    named = {"canonical_brand": "brand", "address": "original_address", "latitude": "lat", "longitude": "lon"}
+    return candidates.select(*(F.col(named.get(c, c)).alias(c) if named.get(c, c) in candidates.columns else F.lit(None).cast("string").alias(c) for c in REPORT_COLUMNS))
+
+
+def write_delimited(rows: DataFrame, path: str, sep: str = ",", mark: bool = False) -> None:
+    """CSV with a header; lists become their items joined by ;. With mark, files begin with the byte order mark by which spreadsheets know UTF-8."""
+    if mark:
+        rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
     flat = [F.array_join(F.col(c).cast("array<string>"), ";").alias(c) if t.startswith("array<") else F.col(c) for c, t in rows.dtypes]
     rows.select(*flat).write.options(header="true", sep=sep, escape='"').csv(path)
 
@@ -134,9 +144,9 @@ def write_place_reports(items: DataFrame, folder: str, stamp: str) -> dict[str,
     """Writes all items as JSON and CSV, duplicates and those of low confidence as CSV; the paths by kind. The stamp is given, no clock is read."""
     out = {"json": f"{folder}/poi_import_{stamp}.json", "csv": f"{folder}/poi_import_{stamp}.csv", "duplicates_csv": f"{folder}/poi_duplicates_{stamp}.csv", "low_confidence_csv": f"{folder}/poi_low_confidence_{stamp}.csv"}
     items.write.json(out["json"])
-    write_delimited(items, out["csv"])
-    write_delimited(items.filter("is_duplicate"), out["duplicates_csv"])
-    write_delimited(items.filter(F.col("confidence_score") < LOW_CONFIDENCE), out["low_confidence_csv"])
+    write_delimited(items, out["csv"], mark=True)
+    write_delimited(items.filter("is_duplicate"), out["duplicates_csv"], mark=True)
+    write_delimited(items.filter(F.col("confidence_score") < LOW_CONFIDENCE), out["low_confidence_csv"], mark=True)
     return out
 
 

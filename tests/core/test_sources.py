@@ -50,6 +50,14 @@ def test_lines_of_a_sheet_answer(spark):
     assert got == [(0, "a", None), (0, "b", 0.5), (1, "1 p", None), (2, "r", None), (2, "x y", 0.25)]
 
 
+def test_reports_have_fixed_columns_and_a_mark(spark, tmp_path):
+    found = spark.createDataFrame([("b", "n", "ул. 5", 59.5, 30.5, 0.5, ["X", "Y"], "node", 7, False)], "brand string, name string, original_address string, lat double, lon double, confidence_score double, warnings array<string>, osm_type string, osm_id long, is_duplicate boolean")
+    paths = files.write_place_reports(files.report_rows(found), str(tmp_path / "out"), "1")
+    parts = [p.read_bytes().decode() for p in (tmp_path / "out" / "poi_import_1.csv").iterdir() if p.suffix == ".csv"]
+    assert next(t for t in parts if "ул. 5" in t) == "\ufeff" + ",".join(files.REPORT_COLUMNS) + "\nb,n,ул. 5,59.5,30.5,0.5,X;Y,node,7,,false\n"
+    assert spark.read.option("header", "true").csv(paths["csv"]).first().canonical_brand == "b"
+
+
 def test_lists_reports_and_tables(spark, tmp_path):
     (tmp_path / "list.txt").write_text("# head\n\n  Невский 1 \nМира 2\n")
     assert sorted(r.address for r in files.address_list(spark, str(tmp_path / "list.txt")).collect()) == ["Мира 2", "Невский 1"]
