@@ -34,3 +34,9 @@ def latency(calls: DataFrame, keys: list[str], value: str = "latency") -> DataFr
     upto = F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("v")) + F.col("before")
     at = lambda p: F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("n") - 1)), F.col("v")))
     return placed.withColumn("upto", upto).groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("least"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.max("v").alias("greatest"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+
+
+def request_rows(calls: DataFrame) -> DataFrame:
+    """calls (http_status, geocoding_status, failure, said_error, ...) with ok and error: ok are answers of status 200 without a failure whose result isn't an error; a failure is told before what the answer says."""
+    ok = F.coalesce(F.col("http_status") == 200, F.lit(False)) & F.col("failure").isNull() & F.coalesce(F.col("geocoding_status") != "error", F.lit(True))
+    return calls.withColumns({"ok": ok, "error": F.coalesce(F.nullif("failure", F.lit("")), F.col("said_error"))}).drop("failure", "said_error")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import scalars
 from routeloom.functions import text as T
-from routeloom.operators import addresses, checks, geocoding, imports, route_jobs, routes
+from routeloom.operators import addresses, checks, geocoding, imports, metrics, places, route_jobs, routes
 from routeloom.plans.registry import query
+from routeloom.sources import responses
 
 @query("SELECT id, round_even((id::decimal(20,6) / 8)::decimal(20,6), 2)::double AS half_even, CASE WHEN m < 1000 THEN floor(m + 0.5)::bigint || ' м' ELSE replace(CASE WHEN m % 500 = 250 THEN printf('%.1f', ceil(m / 100) / 10) ELSE printf('%.1f', m / 1000) END, '.', ',') || ' км' END AS distance, CASE WHEN hh = 0 THEN mm || ' мин' WHEN mm = 0 THEN hh || ' ч' ELSE hh || ' ч ' || mm || ' мин' END AS duration, printf('%.6f', m / 7) AS coordinate FROM (SELECT id, (id * 7 % 5000)::double AS m, (id * 97 % 20000) // 3600 AS hh, floor(((id * 97 % 20000) % 3600) / 60.0 + 0.5)::bigint AS mm FROM attempts_ids)".replace("attempts_ids", "(SELECT pos AS id FROM attempts)"), ("attempts",))
 def shown_values(v):
@@ -218,3 +219,38 @@ def kept_answers(v):
     i = F.col("id")
     p = v("places").withColumns({"address": F.when(i % 4 > 0, F.col("address")), "distance_m": F.when(i % 5 > 0, i % 9 + 0.5), "score": ((i % 9 + 1) / 10.0).cast("double")})
     return p.select("id", addresses.raw_response().alias("raw"))
+
+
+@query(
+    """SELECT id, cast(1 AS int) AS pos, cast(CASE WHEN id % 3 = 0 THEN 0 ELSE id % 50 END AS int) AS source_row_index, cast(CASE WHEN id % 4 > 0 THEN id % 9 END AS int) AS original_order, CASE WHEN id % 2 = 0 THEN 'Магнит' END AS name, 'ул. Мира, ' || id AS address, CASE WHEN id % 5 = 0 THEN 'строка ' || id ELSE 'ул. Мира, ' || id END AS raw_row_text, CASE WHEN id % 7 > 0 THEN 0.5::double END AS confidence, CASE WHEN id % 6 = 0 THEN 'A,B' ELSE '' END AS warnings FROM areas""",
+    ("areas",),
+)
+def payload_points(v):
+    i = F.col("id")
+    said = lambda when, text: F.when(when, text).otherwise("")
+    own = F.concat(
+        F.lit('{"address":" ул. Мира, '), i, F.lit(' "'), said(i % 3 > 0, F.concat(F.lit(',"source_row_index":'), i % 50)), F.lit(',"original_order":'), F.when(i % 4 > 0, F.concat(F.lit('"'), i % 9, F.lit('"'))).otherwise(F.lit('"x"')),
+        said(i % 2 == 0, F.lit(',"name":" Магнит"')), said(i % 5 == 0, F.concat(F.lit(',"raw_text":"строка '), i, F.lit('"'))), said(i % 7 > 0, F.lit(',"confidence":0.5')), said(i % 6 == 0, F.lit(',"warnings":["A","B"]')), F.lit("}"),
+    )
+    raw = v("areas").select("id", F.concat(F.lit('{"route_points":[{"address":" "},'), own, F.lit(',"no object"]}')).alias("response"))
+    out = responses.route_points(raw, ["id"])
+    return out.withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query("SELECT id, CASE WHEN id % 4 = 0 THEN 500 ELSE 200 END AS http_status, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'error' ELSE 'found' END AS geocoding_status, id % 4 > 0 AND id % 7 > 0 AND coalesce(id % 5 <> 1, true) AS ok, CASE WHEN id % 7 = 0 THEN 'timeout' WHEN id % 5 = 1 THEN 'bad' END AS error FROM areas", ("areas",))
+def request_results(v):
+    i = F.col("id")
+    rows = v("areas").select("id", F.when(i % 4 == 0, 500).otherwise(200).alias("http_status"), F.when(i % 5 == 0, None).when(i % 5 == 1, "error").otherwise("found").alias("geocoding_status"), F.when(i % 7 == 0, "timeout").alias("failure"), F.when(i % 5 == 1, "bad").alias("said_error"))
+    return metrics.request_rows(rows)
+
+
+@query("SELECT id, cast(" + " + ".join(f"CASE WHEN id % {n} > 0 THEN 1 ELSE 0 END" for n in range(2, 11)) + " AS int) AS filled FROM places", ("places",))
+def filled_fields(v):
+    tags = F.map_from_arrays(F.array(*(F.lit(f"addr:{k}") for k in ("city", "region", "district", "suburb", "street", "housenumber", "postcode", "place", "full"))), F.array(*(F.when(F.col("id") % n > 0, "x").otherwise("") for n in range(2, 11))))
+    return v("places").select("id", places.completeness(*places.address_fields(tags).values()).alias("filled"))
+
+
+@query("SELECT job, CASE WHEN job % 3 = 0 AND n > 1 THEN 'duplicate batch_number values' END AS error FROM (SELECT job, count(*) AS n FROM job_points GROUP BY job)", ("job_points",))
+def batch_numbers(v):
+    rows = v("job_points").select("job", F.col("ord").alias("pos"), F.when(F.col("job") % 3 == 0, 1).when(F.col("job") % 3 == 1, F.col("ord") + 1).alias("number"))
+    return checks.batch_numbers(rows)

@@ -92,3 +92,24 @@ def sheet_lines(answers: DataFrame, keys: list[str], column: str = "response") -
     made = answers.select(*keys, said(lines).alias("a"), said(points).alias("b"), said(table).alias("c"))
     best = F.when(F.size("a") > 0, F.col("a")).when(F.size("b") > 0, F.col("b")).otherwise(F.col("c"))
     return made.select(*keys, F.posexplode(best).alias("pos", "l")).select(*keys, "pos", "l.text", "l.confidence")
+
+
+def route_points(answers: DataFrame, keys: list[str], column: str = "response") -> DataFrame:
+    """(keys, pos, source_row_index, original_order, name, address, raw_row_text, confidence, warnings) of the route points in a reader's answer.
+
+    Points without an address, and what isn't an object, are left out, but count in pos; what is
+    no number where one is due is null, and 0 for the row's index.
+    """
+    number = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    filled = lambda x, path: F.nullif(_text(x, path), F.lit(""))
+    point = lambda x: F.struct(
+        F.coalesce(number(x, "$.source_row_index", "int"), F.lit(0)).alias("source_row_index"),
+        number(x, "$.original_order", "int").alias("original_order"),
+        filled(x, "$.name").alias("name"),
+        filled(x, "$.address").alias("address"),
+        F.coalesce(filled(x, "$.raw_row_text"), filled(x, "$.raw_text"), filled(x, "$.address")).alias("raw_row_text"),
+        number(x, "$.confidence", "double").alias("confidence"),
+        F.coalesce(number(x, "$.warnings", "array<string>"), F.array().cast("array<string>")).alias("warnings"),
+    )
+    points = F.transform(_list(F.try_parse_json(column), "$.route_points"), point)
+    return answers.select(*keys, F.posexplode(points).alias("pos", "p")).select(*keys, "pos", "p.*").filter("address IS NOT NULL")
