@@ -114,6 +114,14 @@ def _table_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[b.columns[0], "tbl", "row", "cells"])
 
 
+def intake(found: DataFrame, most: int) -> DataFrame:
+    """images() whose folders are uploads: with more than `most` files, all of an upload have the error TOO_MANY_FILES."""
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    n = found.groupBy(folder.alias("_folder")).agg(F.count("*").alias("_n"))
+    both = found.withColumn("_folder", folder).join(n, "_folder")
+    return both.withColumn("error", F.when(F.col("_n") > most, "TOO_MANY_FILES").otherwise(F.col("error"))).select(*found.columns)
+
+
 def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, tbl, row, cells) of all tables of HTML texts; rows without cells go, null texts have none."""
     kind = pages.schema[key].dataType.simpleString()

@@ -50,6 +50,14 @@ def test_lines_of_a_sheet_answer(spark):
     assert got == [(0, "a", None), (0, "b", 0.5), (1, "1 p", None), (2, "r", None), (2, "x y", 0.25)]
 
 
+def test_uploads_have_a_limit(spark, tmp_path):
+    for name in ("a/1.png", "a/2.png", "a/3.txt", "b/1.png", "b/2.doc"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = files.intake(files.images(spark, str(tmp_path), 5), 2).select("path", "error").collect()
+    assert sorted((r.path[-7:], r.error) for r in got) == [("a/1.png", "TOO_MANY_FILES"), ("a/2.png", "TOO_MANY_FILES"), ("a/3.txt", "TOO_MANY_FILES"), ("b/1.png", None), ("b/2.doc", "UNSUPPORTED_TYPE")]
+
+
 def test_reports_have_fixed_columns_and_a_mark(spark, tmp_path):
     found = spark.createDataFrame([("b", "n", "ул. 5", 59.5, 30.5, 0.5, ["X", "Y"], "node", 7, False)], "brand string, name string, original_address string, lat double, lon double, confidence_score double, warnings array<string>, osm_type string, osm_id long, is_duplicate boolean")
     paths = files.write_place_reports(files.report_rows(found), str(tmp_path / "out"), "1")
