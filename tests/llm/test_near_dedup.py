@@ -161,3 +161,29 @@ def test_prefix_pairs(spark):
     seqs = {d: _sequence(t, 2) for d, t in rows}
     alike = {(u, v) for u in seqs for v in seqs if u < v and similar(seqs[u], seqs[v], 0.8)}
     assert len(alike) > 50 and alike <= {tuple(x) for x in found}
+
+
+def test_few_rows_go_to_every_task(spark, monkeypatch):
+    from routeloom.llm import near_dedup
+
+    r = random.Random(9)
+    rows = []
+    for g in range(3):
+        base = [f"b{g}x{i}" for i in range(120)]
+        for c in range(40):
+            own = list(base)
+            for _ in range(r.choice([1, 3, 6])):
+                own[r.randrange(len(own))] = f"n{len(rows)}x{r.random()}"
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def run():
+        # shuffles have numbers in the order in which they are planned
+        before = spark.sparkContext._jsc.sc().newShuffleId()
+        out = {x.doc_id: x.class_id for x in near_duplicates(df).collect()}
+        return out, spark.sparkContext._jsc.sc().newShuffleId() - before
+
+    few, shuffles = run()
+    monkeypatch.setattr(near_dedup, "_FEW", -1)
+    many, more = run()
+    assert few == many == brute(rows) and 2 * shuffles < more
