@@ -107,6 +107,9 @@ class Encoder:
         # plain parts are normalised and cut already: the same model, with nothing but blanks to part them
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # printed ASCII is its own byte-level spelling
+        self.printed = Tokenizer(self.tokenizer.model)
+        self.printed.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         # the memory: parts, and their ids one after another
@@ -118,9 +121,9 @@ class Encoder:
     def _encode(tokenizer, data: bytes) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([data.decode()], add_special_tokens=False)[0].ids, "<u2")
 
-    def _plain(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, parts: pa.Array, tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of parts that hold no blank and are their own pre-token, and each one's number of them."""
-        ids = self._encode(self.plain, b" ".join(parts.to_pylist()))
+        ids = self._encode(tokenizer or self.plain, b" ".join(parts.to_pylist()))
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(parts):
             return ids, np.diff(ends, prepend=0)
@@ -140,16 +143,21 @@ class Encoder:
         own = [self._encode(tokenizer, s) for s in parts.to_pylist()]
         return np.concatenate(own), np.array([len(x) for x in own])
 
-    def _learn(self, names: pa.Array, odd: np.ndarray) -> None:
-        """Adds parts to the memory; odd tells those that aren't plain."""
+    def _learn(self, names: pa.Array, odd: np.ndarray) -> np.ndarray:
+        """Adds parts to the memory and tells each one's place there; odd tells those that aren't plain."""
         new = [self.names], [self.ids], [self.sizes]
-        for which, encode, together in ((~odd, self._plain, self.together), (odd, self._odd, 256)):
-            own = names.filter(pa.array(which))
+        printed = pc.match_substring_regex(names, "^[!-~]+$").to_numpy(zero_copy_only=False) & ~odd
+        kinds = [np.flatnonzero(x) for x in (printed, ~printed & ~odd, odd)]
+        places = np.empty(len(names), np.int32)
+        places[np.concatenate(kinds)] = np.arange(len(names), dtype=np.int32) + len(self.names)
+        for which, encode, together in zip(kinds, (lambda x: self._plain(x, self.printed), self._plain, self._odd), (self.together, self.together, 256), strict=True):
+            own = names.take(pa.array(which))
             for i in range(0, len(own), together):
                 part = own.slice(i, together)
                 for a, b in zip(new, (part, *encode(part)), strict=True):
                     a.append(b)
         self.names, self.ids, self.sizes = pa.concat_arrays(new[0]), np.concatenate(new[1]), np.concatenate(new[2])
+        return places
 
     def _forget(self) -> None:
         """Keeps the newer half of a full memory, and no part that is very long."""
@@ -169,16 +177,13 @@ class Encoder:
         offsets = np.append(at[starts] - 1, at[-1:])
         parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low[whole])]).dictionary_encode()
         which, names = parts.indices.to_numpy(), parts.dictionary
-        found = pc.index_in(names, self.names)
-        if found.null_count:
-            new = found.is_null()
+        found = pc.fill_null(pc.index_in(names, self.names), -1).to_numpy(zero_copy_only=False)
+        new = found < 0
+        if new.any():
             is_odd = np.zeros(len(names), bool)
             is_odd[which[odd]] = True
-            before = len(self.names)
-            self._learn(names.filter(new), is_odd[new.to_numpy(zero_copy_only=False)])
-            learnt = pc.add(pc.index_in(names, self.names.slice(before)), pa.scalar(before, pa.int32()))
-            found = pc.coalesce(found, learnt)
-        found = found.to_numpy(zero_copy_only=False)
+            found = found.copy()
+            found[new] = self._learn(names.filter(pa.array(new)), is_odd[new])
         firsts = (np.cumsum(self.sizes) - self.sizes)[found].astype(np.int32)
         n = self.sizes[found].astype(np.int32)[which]
         ends = np.cumsum(n, dtype=np.int32)

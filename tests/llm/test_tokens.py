@@ -3,6 +3,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from routeloom.llm._common import tokenizer_path
@@ -54,6 +55,17 @@ def test_letters_before_signs_and_mixed_rows():
         assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_printed_parts_pass_without_byte_level_spelling():
+    e = Encoder(PATH)
+    parts = pa.array([b"ofhablely", b"!!", b"\x02", b"7", "é".encode(), b"~#", b"\x7f"], pa.binary())
+    places = e._learn(parts, np.zeros(len(parts), bool))
+    at = np.cumsum(e.sizes) - e.sizes
+    for s, k in zip(parts.to_pylist(), places.tolist(), strict=True):
+        assert e.names[k].as_py() == s and e.ids[at[k] : at[k] + e.sizes[k]].tolist() == library().encode(s.decode(), add_special_tokens=False).ids
+    assert sorted(places.tolist()) == list(range(len(parts)))
+    assert e.printed.encode("of habl!!", add_special_tokens=False).ids == e.plain.encode("of habl!!", add_special_tokens=False).ids
+
+
 def test_plan_places_everything_and_wastes_little():
     r = random.Random(1)
     for capacity in (10, 64, 2048):
