@@ -43,10 +43,10 @@ def _unfolded(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go, and boilerplate lines go from the others (operator 5)."""
-    changed = without_boilerplate(docs.withColumn(_REST, F.col("text")))
+    changed = without_boilerplate(docs, changed=_REST)
     if "n_chars" in docs.columns:
         # only texts that lost lines are counted anew
-        changed = changed.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col(_REST)), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        changed = changed.withColumn("n_chars", F.when(F.col(_REST), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
 
 

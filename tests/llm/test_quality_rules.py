@@ -86,3 +86,25 @@ def test_without_boilerplate(spark):
     out = quality_rules(spark, df, "").collect()
     assert {r.doc_id: r.text for r in out} == right
     assert all(r.n_chars == (7 if r.doc_id in (100, 101) else len(r.text)) for r in out)
+
+
+def test_texts_stay_where_they_lie(spark):
+    """With few boilerplate lines no text is shuffled, not even for size; with more of them the result is the same."""
+    own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(200)]
+    rows = [(i, f"Menu of {i % 3} pages\n\n{own[i]}é\n{'' if i % 7 else 'menu, of 0 pages'}", f"h{i % 2}" if i % 5 else None, len(own[i])) for i in range(200)]
+    rows += [(300, None, "h0", 0), (301, "", None, 0), (302, "menu of 0 pages\n" * 20 + own[0], "h0", 1), (303, "Menu of 0 pages\n" + own[1], "h2", 1), (None, own[2] + "\nmenu of 1 pages", "h1", 1), (None, own[2] + "\nmenu of 1 pages", "h1", 1)]
+    rows += [(400 + i, f"Menu of 0 pages {own[0]}\nb c d e f g h i j k {i}", "h0", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    held = {"max_docs": 20, "min_left": 0.4}
+    here = without_boilerplate(df, **held)
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    joined = without_boilerplate(df, few=0, **held)
+    assert "Exchange" in joined._jdf.queryExecution().executedPlan().toString()
+    got, as_joined = (sorted(map(tuple, x.collect()), key=str) for x in (here, joined))
+    assert got == as_joined
+    # against the plain version: who stays, and that only boilerplate lines went
+    stays = {r[0] for r in brute([(i, t, s) for i, (_, t, s, _) in enumerate(rows)], **held) if r[7]}
+    assert sorted((str(rows[i][0]) for i in stays)) == sorted(str(r[0]) for r in got)
+    assert 0 < len(got) < len(rows) and any(r[1] != rows[r[0]][1] for r in got if (r[0] or 999) < 200)
+    assert without_boilerplate(df.limit(0)).count() == 0
