@@ -1,6 +1,10 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
+from routeloom.llm import quality_rules
+from routeloom.llm._common import materialise
 from routeloom.llm.quality_rules import assess, without_boilerplate
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,8 +100,11 @@ def test_texts_stay_where_they_lie(spark):
     rows += [(400 + i, f"Menu of 0 pages {own[0]}\nb c d e f g h i j k {i}", "h0", 1) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     held = {"max_docs": 20, "min_left": 0.4}
-    here = without_boilerplate(df, **held)
-    plan = here._jdf.queryExecution().executedPlan().toString()
+    written = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_rules, "materialise", lambda out, label, **k: written.append((label, out._jdf.queryExecution().executedPlan().toString())) or materialise(out, label, **k))
+        here = without_boilerplate(df, **held)
+    plan = dict(written)["cleaned"]
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
     joined = without_boilerplate(df, few=0, **held)
     assert "Exchange" in joined._jdf.queryExecution().executedPlan().toString()
