@@ -118,6 +118,12 @@ def for_cache(places: DataFrame, default_city: str = "санкт-петербу
 
 
 def way_point(nodes: DataFrame) -> DataFrame:
-    """(way_id, lat, lon): the mean of a way's nodes (way_id, lat, lon) that have valid coordinates, null if none has."""
+    """(way_id, lat, lon): the mean of a way's nodes (way_id, lat, lon) that have valid coordinates, null if none has.
+
+    Nodes are added in the order of their coordinates, so that the last digits, and with them
+    whether a mean lies on a border, don't turn on how rows are dealt.
+    """
     good = F.coalesce(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180), F.lit(False))
-    return nodes.groupBy("way_id").agg(*(F.avg(F.when(good, F.col(c))).alias(c) for c in ("lat", "lon")))
+    own = nodes.groupBy("way_id").agg(F.array_sort(F.collect_list(F.when(good, F.struct("lat", "lon")))).alias("p"))
+    mean = lambda c: F.when(F.size("p") > 0, F.aggregate("p", F.lit(0.0), lambda a, x: a + x[c]) / F.size("p"))
+    return own.select("way_id", *(mean(c).alias(c) for c in ("lat", "lon")))

@@ -1,0 +1,13 @@
+"""What went wrong on larger tables: each test holds the rows, and what made the work grow."""
+
+from itertools import permutations
+
+from routeloom.operators import enrichment
+
+
+def test_mean_of_a_way_does_not_turn_on_the_order_of_its_nodes(spark):
+    lats = (0.1, 0.2, 0.3, 0.7)
+    rows = [(n, x, -x) for n, p in enumerate(permutations(lats)) for x in p] + [(-1, None, 1.0), (-2, 95.0, 1.0), (-2, 0.5, 2.0)]
+    got = {r.way_id: (r.lat, r.lon) for r in enrichment.way_point(spark.createDataFrame(rows, "way_id long, lat double, lon double").coalesce(1)).collect()}
+    assert got.pop(-1) == (None, None) and got.pop(-2) == (0.5, 2.0)
+    assert len(got) == 24 and len(set(got.values())) == 1
