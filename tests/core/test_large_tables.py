@@ -2,7 +2,7 @@
 
 from itertools import permutations
 
-from routeloom.operators import enrichment
+from routeloom.operators import enrichment, sheets
 
 
 def test_mean_of_a_way_does_not_turn_on_the_order_of_its_nodes(spark):
@@ -11,3 +11,13 @@ def test_mean_of_a_way_does_not_turn_on_the_order_of_its_nodes(spark):
     got = {r.way_id: (r.lat, r.lon) for r in enrichment.way_point(spark.createDataFrame(rows, "way_id long, lat double, lon double").coalesce(1)).collect()}
     assert got.pop(-1) == (None, None) and got.pop(-2) == (0.5, 2.0)
     assert len(got) == 24 and len(set(got.values())) == 1
+
+
+def test_cells_of_a_grid_are_made_last(spark):
+    xs = spark.createDataFrame([(1, 0), (1, 50), (1, 60), (1, 110), (2, 0), (3, 5), (3, 90)], "grp int, v long")
+    ys = spark.createDataFrame([(1, 0), (1, 30), (1, 80), (2, 0), (2, 99)], "grp int, v long")
+    out = sheets.grid_cells(xs, ys, 40, 30)
+    want = [(1, r, c, x, y, w, h) for r, (y, h) in enumerate([(0, 30), (30, 50)]) for c, (x, w) in enumerate([(0, 50), (60, 50)])]
+    assert sorted(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window"), plan
