@@ -2,6 +2,9 @@
 
 from itertools import permutations
 
+from pyspark.sql import functions as F
+
+from routeloom.functions import text
 from routeloom.operators import enrichment, sheets
 
 
@@ -21,3 +24,14 @@ def test_cells_of_a_grid_are_made_last(spark):
     assert sorted(map(tuple, out.collect())) == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Window"), plan
+
+
+def test_key_of_an_address_is_read_once_for_each_different_address(spark):
+    same = "Магазин: наб. реки 5 | дом 7"
+    df = spark.createDataFrame([(n, same if n % 2 else None) for n in range(4)] + [(9, "ул. Мира д. 5"), (10, " "), (11, "Гатчина, ул. Мира к. 2")], "id int, raw string")
+    got = {r.id: r.key for r in text.with_cache_key(df, "raw").select("id", "key").collect()}
+    want = {r.id: r.key for r in df.select("id", text.cache_key(F.col("raw")).alias("key")).collect()}
+    assert got == want and got[1] == "санкт-петербург, набережная реки 5, дом 7" and got[0] is None and got[10] is None
+    # parts that are read several times are not written out each time (that made 150)
+    plan = df.select(text.cache_key(F.col("raw")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") < 30, plan.count("translate(")
