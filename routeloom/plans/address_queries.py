@@ -26,7 +26,7 @@ def similar_street(v):
 
 @query("SELECT a.id, c.address_id, c.status FROM asks a LEFT JOIN cache c ON c.normalized_address = 'санкт-петербург, улица ' || a.w1 || ' ' || a.w2 || ' дом ' || a.h || a.letter", ("asks", "cache"))
 def cache_exact(v):
-    r = v("asks").select("id", T.cache_key(F.col("raw")).alias("key"))
+    r = T.with_cache_key(v("asks").select("id", "raw"), "raw").select("id", "key")
     return addresses.exact(r, v("cache")).select("id", "hit.address_id", "hit.status")
 
 
