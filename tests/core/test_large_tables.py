@@ -2,9 +2,10 @@
 
 from itertools import permutations
 
+import pytest
 from pyspark.sql import functions as F
 
-from routeloom.functions import text
+from routeloom.functions import geo, text
 from routeloom.operators import enrichment, sheets
 
 
@@ -35,3 +36,19 @@ def test_key_of_an_address_is_read_once_for_each_different_address(spark):
     # parts that are read several times are not written out each time (that made 150)
     plan = df.select(text.cache_key(F.col("raw")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") < 30, plan.count("translate(")
+
+
+@pytest.mark.parametrize("spheroid", [False, True])
+def test_distances_are_worked_out_once_for_two_points(spark, spheroid):
+    points = [(59.9 + n / 1000, 30.3 + n / 700) for n in range(4)]
+    left = [(k, n, *points[n % 4]) for k in "ab" for n in range(400)] + [("a", -1, None, 30.3)]
+    right = [(k, n, *points[n % 4]) for k in "bc" for n in range(200)]
+    a, b = spark.createDataFrame(left, "brand string, i int, lat double, lon double"), spark.createDataFrame(right, "brand string, j int, lat double, lon double")
+    out = geo.pairs_within(a, b, 200.0, ("brand",), spheroid, decimals=1)
+    assert out.columns == ["brand", "i", "lat", "lon", "j", "distance_m"]
+    each = (geo.geodesic if spheroid else geo.haversine)("lat", "lon", "_lat", "_lon")
+    want = a.join(b.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), "brand").withColumn("d", each).filter("d <= 200").select("brand", "i", "j", F.round("d", 1)).collect()
+    assert sorted(map(tuple, want)) == sorted(map(tuple, out.select("brand", "i", "j", "distance_m").collect()))
+    # the join above which a distance is worked out is one of points
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("ATAN2"), plan
