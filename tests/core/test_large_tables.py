@@ -5,8 +5,8 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.functions import geo, text
-from routeloom.operators import enrichment, sheets
+from routeloom.functions import geo, similarity, text
+from routeloom.operators import enrichment, places, sheets
 
 
 def test_mean_of_a_way_does_not_turn_on_the_order_of_its_nodes(spark):
@@ -52,3 +52,31 @@ def test_distances_are_worked_out_once_for_two_points(spark, spheroid):
     # the join above which a distance is worked out is one of points
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("ATAN2"), plan
+
+
+def test_places_of_one_point_and_like_queries(spark):
+    here, there = (59.9, 30.3), (59.91, 30.3)
+    rows = [(n, None if n % 3 else "Ленинка", f"Дом {n}", "улица Мира 5", "улица мира 5", n % 50 / 50, 0, *(here if n < 130 else there)) for n in range(300)]
+    rows += [(999, None, None, "улица Мира 5", None, 0.5, 0, None, None)]
+    p = spark.createDataFrame(rows, "id long, brand string, name string, address string, normalized_address string, confidence double, updated_at int, lat double, lon double")
+    asks = [(n, "улица Мира", None, *here) for n in range(5)] + [(10, "улица Мира", None, None, None), (11, "улица Мира", None, None, None), (12, "дом", "Ленинка", *here), (13, "дом", "Ленинка", *here)]
+    q = spark.createDataFrame(asks, "query_id long, text string, brand string, lat double, lon double")
+    got = {}
+    for r in places.by_class(q, p, 500.0).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.match))
+    near = [x for x in rows if x[7] == 59.9 or x[7] is None]
+    key = lambda x: (x[4] is None, -x[5], x[0])
+    match = lambda x: 0 if x[4] else 1
+    assert all(got[n] == [(x[0], match(x)) for x in sorted(near, key=key)[:100]] for n in range(5))
+    assert got[10] == got[11] == [(x[0], match(x)) for x in sorted(rows, key=key)[:100]]
+    assert got[12] == got[13] == [(x[0], 2) for x in sorted((x for x in near if x[1]), key=lambda x: (-x[5], x[0]))]
+    found = places.search(q, p, 500.0).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "id", "score")))).collect()
+    by = {r[0]: r[1] for r in found}
+    assert len(by) == 9 and all(by[n] == by[0] for n in range(5)) and by[10] == by[11] and by[12] == by[13]
+
+
+def test_few_texts_go_to_every_task(spark):
+    a, b = spark.createDataFrame([("ab",), ("мира",)], "l string"), spark.createDataFrame([("улица мира",), ("cab",), ("x",)], "r string")
+    out = similarity.containing_pairs(a, b)
+    assert sorted(map(tuple, out.collect())) == [("ab", "cab"), ("мира", "улица мира")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
