@@ -101,16 +101,22 @@ def optimised(durations: DataFrame, distances: DataFrame, by: str = "duration")
     """
     if by not in ("duration", "distance"):
         raise ValueError("by must be duration or distance")
-    fit = written(both_matrices(durations, distances).filter("error IS NULL").select("job"))
-    durations, distances = (m.join(fit, "job", "left_semi") for m in (durations, distances))
-    chosen = durations if by == "duration" else distances
-    first, last = (written(routes.order_stops(chosen, improve)) for improve in (False, True))
-    cost = lambda order, m, name: routes.path_cost(order, m).withColumnRenamed("cost", name)
-    t = cost(last, distances, "distance").join(cost(last, durations, "duration"), "job").join(cost(first, durations, "initial"), "job")
-    t = t.join(last.groupBy("job").agg(F.count("*").alias("points")), "job")
+    plan = written(_planned(durations, distances, by))
+    return plan.select("job", "ord", "stop"), _totals(plan)
+
+
+def _planned(durations: DataFrame, distances: DataFrame, by: str) -> DataFrame:
+    """(job, ord, stop, duration, distance, initial): what the leg to the next stop costs, and what that of the first order takes; jobs with an invalid matrix left out."""
+    plan = routes.planned([durations, distances], ("duration", "distance").index(by))
+    cost = lambda c: F.when(~F.isnan(c), F.col(c))
+    return plan.select("job", "ord", "stop", cost("cost0").alias("duration"), cost("cost1").alias("distance"), cost("first0").alias("initial"))
+
+
+def _totals(plan: DataFrame) -> DataFrame:
+    t = plan.groupBy("job").agg(F.count("*").alias("points"), *(F.sum(c).alias(c) for c in ("distance", "duration", "initial"))).filter("points > 1")
     saved = F.greatest(F.lit(0.0), F.col("initial") - F.col("duration"))
     share = F.when(F.col("initial") > 0, saved / F.col("initial") * 100).otherwise(0.0)
-    return last, t.select("job", "points", rounded(F.col("distance")).alias("distance_m"), rounded(F.col("duration")).alias("duration_s"), rounded(F.col("initial")).alias("initial_s"), rounded(saved).alias("saved_s"), rounded(share).alias("saved_percent"))
+    return t.select("job", "points", rounded(F.col("distance")).alias("distance_m"), rounded(F.col("duration")).alias("duration_s"), rounded(F.col("initial")).alias("initial_s"), rounded(saved).alias("saved_s"), rounded(share).alias("saved_percent"))
 
 
 def legs_match(order: DataFrame, legs: DataFrame) -> DataFrame:
@@ -129,11 +135,15 @@ def answer(rows: DataFrame, durations: DataFrame, distances: DataFrame, base: st
     rows are with_chosen()'s; the matrices' points are the rows' original_index.
     """
     p = written(points(rows))
-    order, totals = optimised(durations.join(p.select("job").distinct(), "job", "left_semi"), distances, by)
+    if by not in ("duration", "distance"):
+        raise ValueError("by must be duration or distance")
+    can = p.select("job").distinct()
+    plan = written(_planned(*(m.join(can, "job", "left_semi") for m in (durations, distances)), by))
+    order, totals = plan.select("job", "ord", "stop"), _totals(plan)
     placed = written(order.join(p, ["job", "stop"]))
     ordered = placed.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("ord", "type", F.col("stop").alias("original_index"), "lat", "lon", "district"))).alias("ordered_points"))
-    leg_s, leg_m = routes.legs(order, durations), routes.legs(order, distances).select("job", "from_order", "to_order", F.col("cost").alias("m"))
-    both = written(leg_s.join(leg_m, ["job", "from_order", "to_order"]))
+    last = F.max("ord").over(Window.partitionBy("job"))
+    both = plan.withColumn("_last", last).filter("ord < _last").select("job", F.col("ord").alias("from_order"), (F.col("ord") + 1).alias("to_order"), F.col("duration").alias("cost"), F.col("distance").alias("m"))
     leg_s = both.select("job", "from_order", "to_order", "cost")
     steps = both.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("from_order", "to_order", rounded(F.col("m")).alias("distance_m"), rounded(F.col("cost")).alias("duration_s")))).alias("legs"))
     cut = written(routes.batches(placed.select("job", "ord", "type", "district"), size, by_district))

@@ -6,6 +6,8 @@ order is one group of that size or a fold over its sorted array.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,87 +36,126 @@ def check_matrix(matrix: DataFrame) -> DataFrame:
     return out.select("job", n.alias("points"), error.alias("error"))
 
 
-def _nearest(cost: np.ndarray) -> list[int]:
-    last = len(cost) - 1
-    order, left = [0], np.arange(1, last)
-    while len(left):
-        k = int(np.argmin(cost[order[-1], left]))  # the first of equal ones: the smaller index
-        order.append(int(left[k]))
-        left = np.delete(left, k)
-    return [*order, last]
-
-
-def _improved(order: list[int], cost: np.ndarray, most: int = 100, least: float = 1e-9) -> list[int]:
-    """Reversals of stretches, the first that shortens the directed path each time; both ways' sums price all ends of a start at once."""
-    o = np.array(order)
-    n = len(o)
+#: Cells of matrices that a task holds at once, and of one array that it works on.
+_HELD, _AT_ONCE = 400_000, 400_000
+
+
+def _nearest(cost: np.ndarray) -> np.ndarray:
+    """Orders for matrices of one size (jobs, n, n): the nearest next stop, the first of equal ones."""
+    jobs, n, _ = cost.shape
+    each = np.arange(jobs)
+    order = np.full((jobs, n), n - 1)
+    order[:, 0] = 0
+    gone = np.zeros((jobs, n), bool)
+    gone[:, [0, n - 1]] = True
+    for k in range(1, n - 1):
+        order[:, k] = np.where(gone, np.inf, cost[each, order[:, k - 1]]).argmin(axis=1)
+        gone[each, order[:, k]] = True
+    return order
+
+
+def _improved(order: np.ndarray, cost: np.ndarray, most: int = 100, least: float = 1e-9) -> np.ndarray:
+    """Reversals of stretches, of each job the first that shortens the directed path each time; both ways' sums price all stretches at once."""
+    order = order.copy()
+    n = order.shape[1]
+    s, e = np.arange(1, n - 2), np.arange(2, n - 1)
+    later = e[None, :] > s[:, None]
+    at = np.arange(n)
+    live = np.arange(len(order)) if n > 3 else np.arange(0)
     for _ in range(most):
-        ahead = np.concatenate([[0.0], np.cumsum(cost[o[:-1], o[1:]])])
-        back = np.concatenate([[0.0], np.cumsum(cost[o[1:], o[:-1]])])
-        for s in range(1, n - 2):
-            e = np.arange(s + 1, n - 1)
-            gain = ahead[e + 1] - ahead[s - 1] - cost[o[s - 1], o[e]] - (back[e] - back[s]) - cost[o[s], o[e + 1]]
-            better = np.flatnonzero(gain > least)
-            if len(better):
-                e = int(e[better[0]])
-                o[s : e + 1] = o[s : e + 1][::-1].copy()
-                break
-        else:
+        if not len(live):
             break
-    return o.tolist()
-
-
-def _matrix_of(cells: np.ndarray) -> np.ndarray | None:
-    """The matrix of rows (i, j, cost), or None if it breaks a rule of check_matrix."""
-    n = int(cells[:, :2].max()) + 1
-    if n > MAX_POINTS or len(cells) != n * n or cells[:, :2].min() < 0:
-        return None
-    cost = np.full((n, n), np.nan)
-    cost[cells[:, 0].astype(int), cells[:, 1].astype(int)] = cells[:, 2]
-    fine = np.isfinite(cost).all() and (cost >= 0).all() and (np.abs(np.diagonal(cost)) <= 1.0).all()
-    return cost if fine else None
-
-
-def order_stops(matrix: DataFrame, improve: bool = True) -> DataFrame:
-    """(job, ord, stop): from point 0 to the last one by the nearest next stop, then (improve) by reversals while these help.
-
-    Jobs whose matrix breaks a rule have no rows here; check_matrix names the rule. Rows are
-    dealt by job and sorted, and one call of the function takes the many jobs of a task, each a
-    matrix of MAX_POINTS points at most; what a larger one brings is passed over as it comes.
+        o = order[live]
+        way = cost[live[:, None, None], o[:, :, None], o[:, None, :]]
+        none = np.zeros((len(live), 1))
+        ahead = np.concatenate([none, np.cumsum(way[:, at[:-1], at[1:]], axis=1)], axis=1)
+        back = np.concatenate([none, np.cumsum(way[:, at[1:], at[:-1]], axis=1)], axis=1)
+        gain = ahead[:, None, e + 1] - ahead[:, s - 1, None] - way[:, s[:, None] - 1, e[None, :]] - (back[:, None, e] - back[:, s, None]) - way[:, s[:, None], e[None, :] + 1]
+        better = ((gain > least) & later).reshape(len(live), -1)
+        some = better.any(axis=1)
+        live, first = live[some], better[some].argmax(axis=1)
+        begin, end = s[first // len(e)][:, None], e[first % len(e)][:, None]
+        order[live] = np.take_along_axis(o[some], np.where((at >= begin) & (at <= end), begin + end - at, at), axis=1)
+    return order
+
+
+def _sound(cost: np.ndarray) -> np.ndarray:
+    """Which matrices (jobs, n, n) break no rule of check_matrix for values."""
+    with np.errstate(invalid="ignore"):
+        return np.isfinite(cost).all(axis=(1, 2)) & (cost >= 0).all(axis=(1, 2)) & (np.abs(np.diagonal(cost, axis1=1, axis2=2)) <= 1.0).all(axis=1)
+
+
+def _planned(cells: pd.DataFrame, kinds: int, by: int, improve: bool):
+    """Tables (job, ord, stop, first, and cost0, first0, ... of the leg to the next stop in both orders) for whole jobs' sorted cells (job, kind, i, j, cost)."""
+    jobs, i, j, cost = cells["job"].to_numpy(), *(cells[c].to_numpy(float) for c in ("i", "j", "cost"))
+    kind = cells["kind"].to_numpy()
+    cuts = np.concatenate([[0], np.flatnonzero(jobs[1:] != jobs[:-1]) + 1, [len(jobs)]])
+    begin, count = cuts[:-1], np.diff(cuts)
+    side = np.rint(np.sqrt(count / kinds)).astype(int)
+    for n in np.unique(side[(side > 0) & (side <= MAX_POINTS) & (side * side * kinds == count)]):
+        own = begin[(side == n) & (n * n * kinds == count)]
+        k = np.arange(n * n * kinds)
+        for part in np.array_split(own, -(-len(own) * len(k) // _AT_ONCE)):
+            at = part[:, None] + k
+            fits = ((i[at] == k // n % n) & (j[at] == k % n) & (kind[at] == k // (n * n))).all(axis=1)
+            at = at[fits]
+            m = cost[at].reshape(len(at), kinds, n, n)
+            fits = np.logical_and.reduce([_sound(m[:, c]) for c in range(kinds)])
+            m, names = m[fits], jobs[at[fits, 0]]
+            if not len(m):
+                continue
+            first = _nearest(m[:, by])
+            order = _improved(first, m[:, by]) if improve else first
+            out = {"job": np.repeat(names, n), "ord": np.tile(np.arange(n, dtype=np.int32), len(m)), "stop": order.ravel().astype(np.int32)}
+            each = np.arange(len(m))[:, None]
+            for c in range(kinds):
+                for name, o in ((f"cost{c}", order), (f"first{c}", first)):
+                    legs_ = np.full((len(m), n), np.nan)
+                    legs_[:, :-1] = m[:, c][each, o[:, :-1], o[:, 1:]]
+                    out[name] = legs_.ravel()
+            yield pd.DataFrame(out)
+
+
+def planned(matrices: list[DataFrame], by: int = 0, improve: bool = True) -> DataFrame:
+    """(job, ord, stop, and cost0, first0, ... for each matrix): from point 0 to the last one by the nearest next stop, then (improve) by reversals while these help; what the leg to the next stop costs in this order and in the first one.
+
+    Jobs of which a matrix breaks a rule, or whose matrices differ in size, have no rows here;
+    check_matrix names the rule. Rows are dealt by job and sorted, and one call of the function
+    takes the many jobs of a task, those of one size together, each a matrix of MAX_POINTS
+    points at most; what a larger one brings is passed over as it comes.
     """
-    job = matrix.schema["job"].dataType.simpleString()
+    job, kinds = matrices[0].schema["job"].dataType.simpleString(), len(matrices)
+    most = kinds * MAX_POINTS**2
 
     def run(parts):
-        held, name, size = [], None, 0
-
-        def done() -> pd.DataFrame | None:
-            cost = _matrix_of(np.concatenate(held)) if held and size <= MAX_POINTS**2 else None
-            if cost is None:
-                return None
-            order = _nearest(cost) if len(cost) > 1 else [0]
-            if improve and len(cost) > 3:
-                order = _improved(order, cost)
-            return pd.DataFrame({"job": name, "ord": np.arange(len(order), dtype=np.int32), "stop": np.array(order, np.int32)})
-
+        held, rest, size = [], [], 0
         for part in parts:
-            jobs, cells = part["job"].to_numpy(), part[["i", "j", "cost"]].to_numpy(float)
+            if not len(part):
+                continue
+            jobs = part["job"].to_numpy()
             cuts = np.flatnonzero(jobs[1:] != jobs[:-1]) + 1
-            out = []
-            for begin, end in zip([0, *cuts], [*cuts, len(jobs)], strict=True):
-                if end > begin and jobs[begin] != name:
-                    out.append(done())
-                    held, name, size = [], jobs[begin], 0
-                size += end - begin
-                if size <= MAX_POINTS**2:
-                    held.append(cells[begin:end])
-            out = [x for x in out if x is not None]
-            if out:
-                yield pd.concat(out)
-        if (last := done()) is not None:
-            yield last
-
-    dealt = matrix.select("job", "i", "j", "cost").filter("job IS NOT NULL").repartition("job").sortWithinPartitions("job", "i", "j")
-    return dealt.mapInPandas(run, f"job {job}, ord int, stop int")
+            same = bool(rest) and rest[-1]["job"].iloc[-1] == jobs[0]
+            if rest and not same:
+                held, rest = [*held, *rest], []
+            if len(cuts):
+                held, rest = [*held, *rest, part.iloc[: cuts[-1]]], [part.iloc[cuts[-1] :]]
+            elif sum(map(len, rest)) <= most:
+                rest.append(part)
+            size = sum(map(len, held))
+            if size >= _HELD:
+                yield from _planned(pd.concat(held), kinds, by, improve)
+                held = []
+        if held or rest:
+            yield from _planned(pd.concat([*held, *rest]), kinds, by, improve)
+
+    every = [m.select("job", F.lit(k).cast("byte").alias("kind"), "i", "j", "cost").filter("job IS NOT NULL") for k, m in enumerate(matrices)]
+    dealt = reduce(DataFrame.unionByName, every).repartition("job").sortWithinPartitions("job", "kind", "i", "j")
+    return dealt.mapInPandas(run, f"job {job}, ord int, stop int" + "".join(f", cost{k} double, first{k} double" for k in range(kinds)))
+
+
+def order_stops(matrix: DataFrame, improve: bool = True) -> DataFrame:
+    """(job, ord, stop) of planned(), for one matrix."""
+    return planned([matrix], improve=improve).select("job", "ord", "stop")
 
 
 def legs(order: DataFrame, matrix: DataFrame) -> DataFrame:

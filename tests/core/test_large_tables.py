@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeloom.functions import geo, similarity, text
-from routeloom.operators import enrichment, places, sheets
+from routeloom.operators import enrichment, places, routes, sheets
 
 
 def test_mean_of_a_way_does_not_turn_on_the_order_of_its_nodes(spark):
@@ -80,3 +80,42 @@ def test_few_texts_go_to_every_task(spark):
     out = similarity.containing_pairs(a, b)
     assert sorted(map(tuple, out.collect())) == [("ab", "cab"), ("мира", "улица мира")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+
+
+def test_jobs_of_one_size_are_ordered_together(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    cells = lambda job, m: [(job, i, j, float(x)) for (i, j), x in np.ndenumerate(m)]
+    sizes = {job: 1 + job % 12 for job in range(60)} | {60: routes.MAX_POINTS, 61: routes.MAX_POINTS + 1}
+    matrices = {job: r.integers(1, 30, (n, n)) * (1 - np.eye(n)) for job, n in sizes.items()}
+    bad = {5: -1.0, 17: float("nan"), 29: None}
+    rows = [(job, i, j, bad[job] if job in bad and (i, j) == (0, 1) else x) for job, m in matrices.items() for job, i, j, x in cells(job, m)]
+    rows = [x for x in rows if not (x[0] == 30 and x[1:3] == (1, 1))]
+    a = spark.createDataFrame(rows, "job long, i int, j int, cost double")
+    b = a.withColumn("cost", F.when(F.col("job") == 41, -F.lit(1.0)).otherwise(F.col("cost") * 2))
+    got = {}
+    for x in routes.planned([a, b]).orderBy("job", "ord").collect():
+        got.setdefault(x.job, []).append(x)
+    assert set(got) == set(sizes) - {*bad, 30, 41, 61}
+
+    def plain(m):
+        left, order = list(range(1, len(m) - 1)), [0]
+        while left:
+            order.append(min(left, key=lambda k: (m[order[-1]][k], k)))
+            left.remove(order[-1])
+        order += [len(m) - 1] if len(m) > 1 else []
+        first, total = order, lambda o: sum(m[x][y] for x, y in zip(o, o[1:], strict=False))
+        for _ in range(100):
+            new = (order[:s] + order[s : e + 1][::-1] + order[e + 1 :] for s in range(1, len(m) - 2) for e in range(s + 1, len(m) - 1))
+            better = next((o for o in new if total(o) < total(order) - 1e-9), None)
+            if better is None:
+                break
+            order = better
+        return order, total(order), total(first)
+
+    for job, out in got.items():
+        if job < 60:
+            order, cost, first = plain(matrices[job].tolist())
+            legs = out[:-1]
+            assert [x.stop for x in out] == order and sum(x.cost0 for x in legs) == cost and sum(x.cost1 for x in legs) == 2 * cost and sum(x.first0 for x in legs) == first
