@@ -242,18 +242,38 @@ def suggest(queries: DataFrame, cache: DataFrame, candidates: DataFrame, limit:
     that the query names rank first unless it names a house, then what the cache has, then
     confidence.
     """
+    from routeloom.operators.graph import written
+
     limit = max(1, min(limit, 10))
     q = queries.filter(F.length(F.trim("query")) >= 3).select("query_id", "query", "key")
+    # what the cache has is found and read once for each different text; null keys count as one
+    once = q.groupBy("query", "key").agg(F.min("query_id").alias("query_id"))
+    same = once.select(F.col("query_id").alias("asked"), F.col("query").alias("_q"), F.col("key").alias("_k"))
+    members = written(q.join(same, (F.col("query") == F.col("_q")) & F.col("key").eqNullSafe(F.col("_k"))).select("query_id", "query", "asked"))
     house = has_house_number(F.col("query"))
-    own = items_of_cache(cached(q, cache, limit)).join(q.select("query_id", "query"), "query_id")
-    found = items_of_candidates(candidates).join(q.select("query_id", "query"), "query_id")
-    parts = [streets_of(own.filter(~house)), own, found]
+    own = items_of_cache(cached(once, cache, limit)).join(once.select("query_id", "query"), "query_id")
+    parts = [streets_of(own.filter(~house)), own]
+    same_place = ["query_id", F.round("lat", 6), F.round("lon", 6), F.lower(F.trim("display_name"))]
     every = None
     for n, part in enumerate(parts):
         part = part.select("query_id", "query", F.lit(n).alias("part"), "pos", *ITEM)
         every = part if every is None else every.unionByName(part)
-    same = Window.partitionBy("query_id", F.round("lat", 6), F.round("lon", 6), F.lower(F.trim("display_name"))).orderBy("part", "pos")
-    first = every.withColumn("_n", F.row_number().over(same)).filter("_n = 1")
+
+    def first(items: DataFrame) -> DataFrame:
+        return items.withColumn("_n", F.row_number().over(Window.partitionBy(*same_place).orderBy("part", "pos"))).filter("_n = 1").drop("_n")
+
     street = ~house & is_street(F.col("address"), F.col("category"), F.col("type")) & names_query(street_of_item(F.col("address"), F.col("main_text"), F.col("display_name")), F.col("query"))
-    order = Window.partitionBy("query_id").orderBy(F.when(street, 0).otherwise(1), F.col("source") != "database", F.desc(F.coalesce("confidence", F.lit(0.0))), "part", "pos")
-    return first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("query_id", "place", *ITEM)
+    rank_of = lambda items: items.withColumn("_street", F.when(street, 0).otherwise(1))
+    order = Window.partitionBy("query_id").orderBy("_street", F.col("source") != "database", F.desc(F.coalesce("confidence", F.lit(0.0))), "part", "pos")
+    best = lambda items: items.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    own = written(rank_of(first(every)).withColumnRenamed("query", "_query"))
+
+    # a candidate with the name and the place of anything that the cache has for its query is left out
+    found = items_of_candidates(candidates).join(members, "query_id").select("query_id", "asked", "query", F.lit(2).alias("part"), "pos", *ITEM)
+    point = lambda d, p: [F.round("lat", 6).alias(f"{p}lat"), F.round("lon", 6).alias(f"{p}lon"), F.lower(F.trim("display_name")).alias(f"{p}name")]
+    taken = own.select(F.col("query_id").alias("_asked"), *point(own, "_t")).distinct()
+    seen = (F.col("asked") == F.col("_asked")) & F.round("lat", 6).eqNullSafe(F.col("_tlat")) & F.round("lon", 6).eqNullSafe(F.col("_tlon")) & F.lower(F.trim("display_name")).eqNullSafe(F.col("_tname"))
+    found = rank_of(first(found.join(taken, seen, "left_anti").drop("asked")))
+    # of a text's own items no more than `limit` can be among the best of any query
+    top = best(own).drop("place", "_query").withColumnRenamed("query_id", "asked").join(members.select("query_id", "asked"), "asked").drop("asked")
+    return best(top.unionByName(found.drop("query"))).select("query_id", "place", *ITEM)

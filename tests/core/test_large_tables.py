@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeloom.functions import geo, similarity, text
-from routeloom.operators import enrichment, places, routes, sheets
+from routeloom.operators import enrichment, places, routes, sheets, suggestions
 
 
 def test_mean_of_a_way_does_not_turn_on_the_order_of_its_nodes(spark):
@@ -119,3 +119,22 @@ def test_jobs_of_one_size_are_ordered_together(spark):
             order, cost, first = plain(matrices[job].tolist())
             legs = out[:-1]
             assert [x.stop for x in out] == order and sum(x.cost0 for x in legs) == cost and sum(x.cost1 for x in legs) == 2 * cost and sum(x.first0 for x in legs) == first
+
+
+def test_suggestions_are_found_once_for_each_text(spark, monkeypatch):
+    cache = [(n, f"улица мира дом {n}", f"ул. Мира д. {n}", f"улица Мира, {n}, Санкт-Петербург", "found", 59.9 + n / 1000, 30.3, "nominatim", 5.0 + n, 0, n, None, None) for n in range(1, 30)]
+    cache = spark.createDataFrame(cache, "address_id long, normalized_address string, original_address string, display_name string, status string, lat double, lon double, provider string, confidence double, updated_at int, last_used_at int, score double, raw string")
+    queries = spark.createDataFrame([(n, "улица мира" if n % 2 else "мира", None) for n in range(40)], "query_id long, query string, key string")
+    # the first is what the cache has, the second isn't
+    raw = '{"osm_type":"way","osm_id":7,"address":{"road":"Мира"}}'
+    found = spark.createDataFrame([(n, n, f"улица Мира, {n}, Санкт-Петербург", 59.9 + n / 1000 + d, 30.3, 0.5, 30, raw) for n in (2, 3) for d in (0.0, 0.5)], "query_id long, pos long, display string, lat double, lon double, importance double, place_rank int, raw string")
+    asked, cached = [], suggestions.cached
+    monkeypatch.setattr(suggestions, "cached", lambda q, *rest: (asked.append(q.count()), cached(q, *rest))[1])
+    got = {}
+    for r in suggestions.suggest(queries, cache, found).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.place, r.id, r.lat))
+    assert asked == [2] and len(got) == 40
+    assert all([p for p, _, _ in v] == list(range(1, len(v) + 1)) for v in got.values())
+    assert all(got[n] == got[n % 2] for n in range(4, 40))
+    near = [x for n in (2, 3) for x in got[n] if x[1].startswith("nominatim") and x[2] < 60.2]
+    assert not near
